@@ -54,7 +54,7 @@ def anchor_at(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int) ->
     start = np.repeat(offsets[:-1] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
     low = (least[start] & _LOW).astype(np.int64)
     place = start + ((low - start) & int(_LOW))
-    return start, place, h[place]
+    return start, place, C.mix(h[place])  # least hashes are small; mixed, they spread over the buckets
 
 
 class Runs:
