@@ -21,7 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A null doc_id is treated as this one: larger than every other.
@@ -47,12 +47,13 @@ def layout(docs: DataFrame, chunk_bytes: int = 8 << 20, least_chunks: int = 64,
     return Layout(max(least_chunks, -(-total // each)), min(buckets, 1 << 20), total)
 
 
-def with_chunks(docs: DataFrame, chunks: int) -> DataFrame:
-    """(chunk, doc_id, text) of every document; null text is empty, null doc_id the largest."""
+def with_chunks(docs: DataFrame, chunks: int, **more: Column) -> DataFrame:
+    """(chunk, doc_id, text) of every document; null text is empty, null doc_id the largest. ``more``: further columns."""
     return docs.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
+        *(c.alias(k) for k, c in more.items()),
     )
 
 
