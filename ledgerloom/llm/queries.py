@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe
+from .classlm import op7_class_lm
+from .jaccard import op9_jaccard_join
+from .langid import op4_language_id
+from .lines import OP8_SQL, op8_line_dedup
+from .mixing import OP6_SQL, op6_mixing
+from .neighbours import op2_neighbours
+from .spotsigs import op1_spotsigs
 from .substring import op3_substring_dedup
 from .suffixes import op10_suffix_dedup
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op10_suffix_dedup": op10_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_spotsigs, op2_neighbours, op3_substring_dedup, op4_language_id, op5_bpe, op6_mixing, op7_class_lm, op8_line_dedup, op9_jaccard_join, op10_suffix_dedup)}
+ORACLE_SQL = {"op6_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL}
