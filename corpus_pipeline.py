@@ -1,11 +1,72 @@
-"""The corpus pipeline: stages that each read what the one before it kept."""
+"""The corpus pipeline: stages over ``documents`` that each work on all that the one before it kept.
 
-STAGES: list = []
+1. language ID: documents that the classifier rejects go;
+2. line dedup: later occurrences of three-line windows are cut out of the texts;
+3. n-gram Jaccard join: of each group of near duplicates (five words, 80 percent) the document with the
+   smallest doc_id stays;
+4. mixing: documents are repeated or left out, so that sources come near their target weights;
+5. BPE: every remaining document is encoded and decoded.
+
+Each stage takes (spark, docs, sf_dir); ``docs`` and all results but the last have the columns of
+``documents``. Nulls, ties and repeated rows are treated as the operators' modules say; documents with a
+null doc_id are never dropped as near duplicates.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import bpe, jaccard, langid, lines, mixing
+from ledgerloom.session import checkpoint_dir
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with enough certainty."""
+    docs = docs.select(*COLUMNS)
+    return langid.predict(docs, langid.fit(docs)).where(~F.col("rejected")).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated three-line windows; n_chars follows the text."""
+    return lines.dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    docs = docs.select(*COLUMNS)
+    gone = jaccard.near_components(docs).where("doc_id <> component_id or (doc_id is null and component_id is not null)").where("doc_id is not null").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    docs = docs.select(*COLUMNS)
+    copies = mixing.mix_sources(mixing.with_sizes(docs)).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
+    side = copies.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "copies")
+    taken = docs.join(side, docs["doc_id"].eqNullSafe(side["__id"]) & docs["source"].eqNullSafe(side["__source"]))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of every document, as digests."""
+    return bpe.digests(bpe.bpe_round_trip(docs, bpe.vocabulary_path()))
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mix", mix), ("encode", encode)]
+#: The classifier cannot be expressed in SQL; tests/llm compares the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what each keeps is written as Parquet in the shared folder and read again."""
+    import uuid
+
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
