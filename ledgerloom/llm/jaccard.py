@@ -11,8 +11,9 @@ subsets that differ by one token, through one-deletion neighbourhoods that are i
 segments. R is chosen for each band by cost: signatures sent against expected false candidates.
 
 Equal sets are one node. Blocks of signatures go to buckets; groups of up to ``SMALL`` nodes give all
-their candidate pairs, larger ones first only pairs with their least node. Candidates are verified
-exactly: a node's set is sent once to each chunk that holds partners. Links give components; in large
+their candidate pairs, larger ones first only pairs with their least node. Candidates whose
+sizes and parity sketches allow it are verified exactly: a node's set is sent once to each chunk that
+holds partners. Links give components; in large
 groups only pairs between different components are then still open, and those are verified as well.
 
 Defined results: null text has no words; sets without words are empty, linked with nothing and their own
@@ -38,7 +39,9 @@ from . import chunks as C
 from .components import roots
 from .suffixes import ragged
 
-SMALL = 16
+SMALL, BITS = 16, 1024
+#: Up to this many documents (12 bytes each) are named in a broadcast; beyond, all documents are dealt.
+BROADCAST_ROWS = 1_000_000
 INDEX, PROBE, DELETED = 1, 2, 4
 _OTHER = np.uint64(0xA5A5A5A5F00DBEEF)
 
@@ -196,8 +199,17 @@ def groups(value: np.ndarray, node: np.ndarray, role: np.ndarray) -> tuple[np.nd
     return a, b, order[big]
 
 
+def sketches(sets: Sets) -> np.ndarray:
+    """For each set, ``BITS`` parities: of how many tokens hash to each bit. Two sets differ in at least as many
+    tokens as their sketches differ in bits."""
+    n = len(sets.digest)
+    at = np.repeat(np.arange(n), sets.sizes) * BITS + (C.mix(sets.hashes + _OTHER) % np.uint64(BITS)).astype(np.int64)
+    odd = np.bincount(at, minlength=n * BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(n, BITS // 64)
+
+
 def set_table(docs: DataFrame, chunks: int, width: int) -> DataFrame:
-    """(chunk, doc_id, n, node) of every document; node is the digest of its set."""
+    """(chunk, doc_id, n, node, sketch) of every document; node is the digest of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,9 +217,26 @@ def set_table(docs: DataFrame, chunks: int, width: int) -> DataFrame:
             for lo, hi in C.pieces(off, 2 << 20):
                 s = sets_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width)
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s.sizes.astype(np.int64)), pa.array(s.digest.view(np.int64))], ["chunk", "doc_id", "n", "node"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s.sizes.astype(np.int64)), pa.array(s.digest.view(np.int64)), pa.array(list(sketches(s)), pa.list_(pa.int64()))], ["chunk", "doc_id", "n", "node", "sketch"])
+
+    return C.with_chunks(docs, chunks).mapInArrow(run, "chunk int, doc_id long, n long, node long, sketch array<long>")
+
+
+def may_be_alike(percent: int):
+    """Whether the sizes and sketches of a and b allow them to be alike."""
+    n = F.col("n_a") + F.col("n_b")
+    bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (bits * (100 + percent) <= n * (100 - percent))
+
+
+def described(nodes: DataFrame, side: str) -> DataFrame:
+    """The nodes with all columns named for one side of a pair; the node itself is named as the side."""
+    return nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "chunk", "doc_id", "sketch")))
+
 
-    return C.with_chunks(docs, chunks).mapInArrow(run, "chunk int, doc_id long, n long, node long")
+def in_reach(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may be alike."""
+    return pairs.join(described(nodes, "a"), "a").join(described(nodes, "b"), "b").where(may_be_alike(percent)).select("a", "b")
 
 
 def candidates(docs: DataFrame, width: int, scheme: Scheme, buckets: int) -> DataFrame:
@@ -277,12 +306,17 @@ def candidates(docs: DataFrame, width: int, scheme: Scheme, buckets: int) -> Dat
     return sent.groupBy("bucket").applyInArrow(meet, "a long, b long, value long, role int")
 
 
-def verified(dealt: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that are at least ``percent`` alike. ``nodes``: node, n, chunk and doc_id of one
-    document that has the set."""
-    left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("chunk").alias(f"chunk_{x}"), F.col("doc_id").alias(f"doc_{x}")) for x in "ab")
-    pairs = pairs.join(left, "a").join(right, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+def verified(docs: DataFrame, chunks: int, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that are at least ``percent`` alike. ``nodes``: node, chunk and doc_id of one
+    document that has the set. Only those documents are dealt while their list is short enough to broadcast."""
+    places = nodes.select("node", "chunk", "doc_id")
+    left, right = (places.select(F.col("node").alias(x), F.col("chunk").alias(f"chunk_{x}"), F.col("doc_id").alias(f"doc_{x}")) for x in "ab")
+    pairs = pairs.join(left, "a").join(right, "b").checkpoint()
     asked = pairs.select(F.col("chunk_a").alias("chunk"), F.col("chunk_b").alias("to"), "a", "doc_a").distinct()
+    dealt = C.with_chunks(docs, chunks)
+    needed = pairs.select(F.col("chunk_a").alias("chunk"), F.col("doc_a").alias("doc_id")).unionAll(pairs.select("chunk_b", "doc_b")).distinct().checkpoint()
+    if needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        dealt = dealt.join(F.broadcast(needed), ["chunk", "doc_id"], "left_semi")
 
     def chosen(table: pa.Table, doc_ids) -> tuple[Sets, dict[int, int]]:
         table = table.filter(pa.compute.is_in(table["doc_id"], value_set=doc_ids.combine_chunks() if isinstance(doc_ids, pa.ChunkedArray) else doc_ids))
@@ -324,18 +358,19 @@ def verified(dealt: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, p
     return dealt.groupBy("chunk").cogroup(given.unionAll(rows).groupBy("chunk")).applyInArrow(compare, "a long, b long")
 
 
-def open_pairs(members: DataFrame, tree: DataFrame) -> DataFrame:
-    """Pairs in large groups that may match and are not connected yet: those outside a group's most frequent
+def open_pairs(members: DataFrame, tree: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs in large groups that may be alike and are not connected yet: those outside a group's most frequent
     component, against members of other components."""
-    member = members.join(tree.withColumnRenamed("node", "a"), "a", "left").select("value", "a", "role", F.coalesce("root", "a").alias("root"))
+    member = members.join(tree.withColumnRenamed("node", "a"), "a", "left").select("value", F.col("a").alias("node"), "role", F.coalesce("root", "a").alias("root"))
     by_root = member.groupBy("value", "root").agg(F.count("*").alias("c"))
     split = by_root.groupBy("value").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("main")).where("parts > 1")
-    member = member.join(split.select("value", "main"), "value")
-    x = member.where("root <> main").select("value", F.col("a").alias("x"), F.col("role").alias("rx"), F.col("root").alias("root_x"))
-    y = member.select("value", F.col("a").alias("y"), F.col("role").alias("ry"), F.col("root").alias("root_y"))
+    member = member.join(split.select("value", "main"), "value").join(nodes.select("node", "n", "sketch"), "node")
+    x, y = (member.select("value", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "role", "root", "n", "sketch")), *([] if s == "b" else ["main"])) for s in "ab")
     has = lambda c, bit: F.col(c).bitwiseAND(bit) > 0
-    meet = ((has("rx", PROBE) & has("ry", INDEX)) | (has("rx", INDEX) & has("ry", PROBE))) & ~(has("rx", DELETED) & has("ry", DELETED))
-    return x.join(y, "value").where(meet & (F.col("root_x") != F.col("root_y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    meet = ((has("role_a", PROBE) & has("role_b", INDEX)) | (has("role_a", INDEX) & has("role_b", PROBE))) & ~(has("role_a", DELETED) & has("role_b", DELETED))
+    apart = (F.col("root_a") != F.col("main")) & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
+    found = x.alias("x").join(y.alias("y"), (F.col("x.value") == F.col("y.value")) & apart & meet & may_be_alike(percent))
+    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk_bytes: int = 8 << 20) -> DataFrame:
@@ -343,22 +378,21 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk_by
     checkpoint_dir(docs.sparkSession)
     plan = C.layout(docs, chunk_bytes, bucket_bytes=32 << 20)
     table = set_table(docs, plan.chunks, width).checkpoint()
-    nodes = table.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "chunk", "n")).alias("one")).select("node", "one.*").checkpoint()
+    nodes = table.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "chunk", "n", "sketch")).alias("one")).select("node", "one.*").checkpoint()
     # sizes of sets come to the driver as counts by band of 1/64 of their power of two at most
     size_key = F.when(F.col("n") < 128, F.col("n")).otherwise(F.floor(F.col("n") / F.pow(F.lit(2), F.floor(F.log2("n")) - 6)) * F.pow(F.lit(2), F.floor(F.log2("n")) - 6)).cast("long")
     counts = nodes.groupBy(size_key.alias("size")).agg(F.count("*").alias("c"), F.max("n").alias("most")).toPandas()
     sizes = np.append(counts["size"].to_numpy(np.int64), counts["most"].max() if len(counts) else 1)
     scheme = scheme_for(percent, sizes, np.append(counts["c"].to_numpy(np.int64), 0))
     found = candidates(docs, width, scheme, plan.buckets).checkpoint()
-    dealt = C.with_chunks(docs, plan.chunks)
     pairs = found.where("value is null").select("a", "b").distinct()
-    links = verified(dealt, nodes, pairs, width, percent).checkpoint()
+    links = verified(docs, plan.chunks, nodes, in_reach(pairs, nodes, percent), width, percent).checkpoint()
     tree = roots(links).checkpoint()
     members = found.where("value is not null")
     if not members.isEmpty():
-        more = open_pairs(members, tree).checkpoint()
+        more = open_pairs(members, tree, nodes, percent).checkpoint()
         if not more.isEmpty():
-            links = links.unionAll(verified(dealt, nodes, more, width, percent)).checkpoint()
+            links = links.unionAll(verified(docs, plan.chunks, nodes, more, width, percent)).checkpoint()
             tree = roots(links).checkpoint()
     joined = table.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
