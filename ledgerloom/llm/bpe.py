@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from .suffixes import ragged
 
 # Fixed value: the pattern of byte-level BPE pre-tokenization.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONG, WORDS_KEPT = 128, 150_000
+LONG, WORDS_KEPT = 128, 400_000
 NEVER = 1 << 60
 
 
@@ -52,6 +53,10 @@ class Encoder(dict):
         self.ids = {to_bytes(t): i for t, i in spec["model"]["vocab"].items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.ranks = {(to_bytes(a), to_bytes(b)): k for k, (a, b) in enumerate(pairs)}
+        self.step = len(spec["model"]["vocab"]) + 1
+        self.rank_of = {self.ids[a] * self.step + self.ids[b]: k for (a, b), k in self.ranks.items()}
+        self.joined = [self.ids[a + b] for a, b in self.ranks]
+        self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         table = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         size = np.zeros(max(table) + 1, np.int64)
@@ -64,32 +69,31 @@ class Encoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         raw = word.encode()
-        parts = self.merge_long(raw) if len(raw) > LONG else self.merge(raw)
-        out = np.array([self.ids[p] for p in parts], np.int32).tobytes()
+        parts = [self.ids[p] for p in self.merge_long(raw)] if len(raw) > LONG else self.merge(raw)
+        out = array("i", parts).tobytes()
         if len(raw) <= LONG:
             if len(self) >= WORDS_KEPT:
                 self.clear()
             self[word] = out
         return out
 
-    def merge(self, raw: bytes) -> list[bytes]:
-        """The parts of a short word."""
-        if raw in self.ids and len(raw) == 1:
-            return [raw]
-        rank = self.ranks.get
-        bounds = list(range(len(raw) + 1))
-        near = [rank((raw[i : i + 1], raw[i + 1 : i + 2]), NEVER) for i in range(len(raw) - 1)]
+    def merge(self, raw: bytes) -> list[int]:
+        """The ids of a short word's parts. Each entry of ``near`` is a boundary: the rank of joining both its sides."""
+        rank, step, joined = self.rank_of.get, self.step, self.joined
+        parts = [self.byte_ids[b] for b in raw]
+        near = [rank(a * step + b, NEVER) for a, b in zip(parts, parts[1:])]  # noqa: B905
         while near:
             least = min(near)
             if least == NEVER:
                 break
             k = near.index(least)
-            del bounds[k + 1], near[k]
+            parts[k] = joined[least]
+            del parts[k + 1], near[k]
             if k:
-                near[k - 1] = rank((raw[bounds[k - 1] : bounds[k]], raw[bounds[k] : bounds[k + 1]]), NEVER)
+                near[k - 1] = rank(parts[k - 1] * step + parts[k], NEVER)
             if k < len(near):
-                near[k] = rank((raw[bounds[k] : bounds[k + 1]], raw[bounds[k + 1] : bounds[k + 2]]), NEVER)
-        return [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                near[k] = rank(parts[k] * step + parts[k + 1], NEVER)
+        return parts
 
     def merge_long(self, raw: bytes) -> list[bytes]:
         """The same parts for a long word, with a heap of (rank, start) and links between parts."""
