@@ -199,13 +199,20 @@ def groups(value: np.ndarray, node: np.ndarray, role: np.ndarray) -> tuple[np.nd
     return a, b, order[big]
 
 
-def sketches(sets: Sets) -> np.ndarray:
-    """For each set, ``BITS`` parities: of how many tokens hash to each bit. Two sets differ in at least as many
-    tokens as their sketches differ in bits."""
-    n = len(sets.digest)
-    at = np.repeat(np.arange(n), sets.sizes) * BITS + (C.mix(sets.hashes + _OTHER) % np.uint64(BITS)).astype(np.int64)
-    odd = np.bincount(at, minlength=n * BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(n, BITS // 64)
+def sketches(sets: Sets) -> list[np.ndarray]:
+    """For each set, parities of how many tokens hash to each bit: ``BITS`` of them for up to 2 * BITS tokens, four
+    times as many for each four times as many tokens. Two sets of equally long sketches differ in at least as
+    many tokens as their sketches differ in bits."""
+    level = np.ceil(np.log2(np.maximum(sets.sizes, 1) / (2 * BITS)) / 2).clip(0).astype(np.int64)
+    out: list = [None] * len(level)
+    for k in np.unique(level):
+        use, bits = np.flatnonzero(level == k), BITS << int(2 * k)
+        token = ragged(sets.first[use], sets.sizes[use])
+        at = np.repeat(np.arange(len(use)), sets.sizes[use]) * bits + (C.mix(sets.hashes[token] + _OTHER) % np.uint64(bits)).astype(np.int64)
+        odd = np.packbits((np.bincount(at, minlength=len(use) * bits) & 1).astype(np.uint8)).view(np.int64).reshape(len(use), -1)
+        for i, row in zip(use.tolist(), odd, strict=True):
+            out[i] = row
+    return out
 
 
 def set_table(docs: DataFrame, chunks: int, width: int) -> DataFrame:
@@ -217,7 +224,7 @@ def set_table(docs: DataFrame, chunks: int, width: int) -> DataFrame:
             for lo, hi in C.pieces(off, 2 << 20):
                 s = sets_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width)
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s.sizes.astype(np.int64)), pa.array(s.digest.view(np.int64)), pa.array(list(sketches(s)), pa.list_(pa.int64()))], ["chunk", "doc_id", "n", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s.sizes.astype(np.int64)), pa.array(s.digest.view(np.int64)), pa.array(sketches(s), pa.list_(pa.int64()))], ["chunk", "doc_id", "n", "node", "sketch"])
 
     return C.with_chunks(docs, chunks).mapInArrow(run, "chunk int, doc_id long, n long, node long, sketch array<long>")
 
@@ -226,7 +233,8 @@ def may_be_alike(percent: int):
     """Whether the sizes and sketches of a and b allow them to be alike."""
     n = F.col("n_a") + F.col("n_b")
     bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (bits * (100 + percent) <= n * (100 - percent))
+    unlike_lengths = F.size("sketch_a") != F.size("sketch_b")
+    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (unlike_lengths | (bits * (100 + percent) <= n * (100 - percent)))
 
 
 def described(nodes: DataFrame, side: str) -> DataFrame:
