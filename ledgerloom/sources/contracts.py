@@ -30,19 +30,25 @@ ALIASES = {
 }
 
 
+#: Endings given to the customers' names, by line number.
+SUFFIXES = (", INC.", " LLC", " L.L.C.", " Corp.", "")
+
+
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contracts of the given tables, with the contractor family stored once."""
     l, o, c, n, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation", "part"))  # noqa: E741
-    rows = l.join(o, l.l_orderkey == o.o_orderkey).join(c, c.c_custkey == o.o_custkey).join(n, n.n_nationkey == c.c_nationkey).join(p, p.p_partkey == l.l_partkey)
+    # names are normalised once for each customer and suffix, not once for each row
+    c = c.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", F.posexplode(F.array(*map(F.lit, SUFFIXES))).alias("k", "suffix")).withColumn("contractor", F.concat("c_name", "suffix"))
+    c = c.withColumn("family", text.contractor_family(F.col("contractor")))
+    rows = l.join(o, l.l_orderkey == o.o_orderkey).join(c, (c.c_custkey == o.o_custkey) & (c.k == l.l_linenumber % 5)).join(n, n.n_nationkey == c.c_nationkey).join(p, p.p_partkey == l.l_partkey)
     at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
     line, ship = F.col("l_linenumber"), F.col("l_shipdate").cast("date")
-    suffix = F.get(F.array(*map(F.lit, (", INC.", " LLC", " L.L.C.", " Corp.", ""))), line % 5)
     return rows.select(
         (F.col("l_orderkey") * 100 + F.row_number().over(at)).alias("id"),
         F.concat(F.year("o_orderdate").cast("string"), F.lit("-"), F.lpad(F.col("l_orderkey").cast("string"), 6, "0")).alias("contract_number"),
         F.col("n_name").alias("entity"),
         F.col("c_nationkey").cast("string").alias("entity_number"),
-        F.concat("c_name", suffix).alias("contractor"),
+        "contractor",
         F.when(line == 1, "").when((line == 7) & (F.col("l_orderkey") % 10 == 0), "ORIGINAL").otherwise(F.substr(F.lit("ABCDEF"), line - 1, F.lit(1))).alias("amendment"),
         F.col("p_type").alias("service_category"),
         F.col("p_name").alias("service_type"),
@@ -56,7 +62,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("cancelled"),
         parse.fiscal_year(ship).alias("fiscal_year"),
         F.lit("csv").alias("source_type"),
-        text.contractor_family(F.concat("c_name", suffix)).alias("family"),
+        "family",
     )
 
 
