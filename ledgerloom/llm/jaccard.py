@@ -13,8 +13,10 @@ segments. R is chosen for each band by cost: signatures sent against expected fa
 Equal sets are one node. Blocks of signatures go to buckets; groups of up to ``SMALL`` nodes give all
 their candidate pairs, larger ones first only pairs with their least node. Candidates whose
 sizes and parity sketches allow it are verified exactly: a node's set is sent once to each chunk that
-holds partners. Links give components; in large
-groups only pairs between different components are then still open, and those are verified as well.
+holds partners. Links give components. In
+large groups only pairs between different components are then still open. They are verified first as far as
+nodes meet in the few groups that each picks, which connects most copies of one text without finding a pair in each
+of many shared groups; then all that are still open.
 
 Defined results: null text has no words; sets without words are empty, linked with nothing and their own
 component; a null doc_id is larger than every other and comes back null; rows that share a doc_id are
@@ -40,6 +42,8 @@ from .components import roots
 from .suffixes import ragged
 
 SMALL, BITS = 16, 1024
+#: In how many groups each node meets others before nodes meet in all of them.
+PICKS = 4
 #: Up to this many documents (12 bytes each) are named in a broadcast; beyond, all documents are dealt.
 BROADCAST_ROWS = 1_000_000
 INDEX, PROBE, DELETED = 1, 2, 4
@@ -366,13 +370,27 @@ def verified(docs: DataFrame, chunks: int, nodes: DataFrame, pairs: DataFrame, w
     return dealt.groupBy("chunk").cogroup(given.unionAll(rows).groupBy("chunk")).applyInArrow(compare, "a long, b long")
 
 
-def open_pairs(members: DataFrame, tree: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs in large groups that may be alike and are not connected yet: those outside a group's most frequent
-    component, against members of other components."""
+def split_groups(members: DataFrame, tree: DataFrame) -> DataFrame:
+    """Members (value, node, role, root) of the large groups that lie in several components, and the most frequent
+    one of these (main)."""
     member = members.join(tree.withColumnRenamed("node", "a"), "a", "left").select("value", F.col("a").alias("node"), "role", F.coalesce("root", "a").alias("root"))
     by_root = member.groupBy("value", "root").agg(F.count("*").alias("c"))
     split = by_root.groupBy("value").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("main")).where("parts > 1")
-    member = member.join(split.select("value", "main"), "value").join(nodes.select("node", "n", "sketch"), "node")
+    return member.join(split.select("value", "main"), "value")
+
+
+def picked(member: DataFrame) -> DataFrame:
+    """The members in ``PICKS`` groups of each node: those with the least hashes, so that nodes that share most of
+    their groups pick the same one."""
+    least = [F.min_by("value", F.xxhash64(F.lit(k), "value")) for k in range(PICKS)]
+    picks = member.groupBy("node").agg(F.explode(F.array_distinct(F.array(*least))).alias("value"))
+    return member.join(picks, ["node", "value"])
+
+
+def open_pairs(member: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs in large groups that may be alike and are not connected yet: those outside a group's main component,
+    against members of other components."""
+    member = member.join(nodes.select("node", "n", "sketch"), "node")
     x, y = (member.select("value", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "role", "root", "n", "sketch")), *([] if s == "b" else ["main"])) for s in "ab")
     has = lambda c, bit: F.col(c).bitwiseAND(bit) > 0
     meet = ((has("role_a", PROBE) & has("role_b", INDEX)) | (has("role_a", INDEX) & has("role_b", PROBE))) & ~(has("role_a", DELETED) & has("role_b", DELETED))
@@ -397,11 +415,12 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk_by
     links = verified(docs, plan.chunks, nodes, in_reach(pairs, nodes, percent), width, percent).checkpoint()
     tree = roots(links).checkpoint()
     members = found.where("value is not null")
-    if not members.isEmpty():
-        more = open_pairs(members, tree, nodes, percent).checkpoint()
+    for few in [] if members.isEmpty() else [True, False]:
+        member = split_groups(members, tree).checkpoint()
+        more = open_pairs(picked(member) if few else member, nodes, percent).checkpoint()
         if not more.isEmpty():
-            links = links.unionAll(verified(docs, plan.chunks, nodes, more, width, percent)).checkpoint()
-            tree = roots(links).checkpoint()
+            links = verified(docs, plan.chunks, nodes, more, width, percent)
+            tree = roots(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links)).checkpoint()
     joined = table.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return joined.join(least, "root", "left").select(
