@@ -41,7 +41,7 @@ from . import chunks as C
 from .components import roots
 from .suffixes import ragged
 
-SMALL, BITS = 16, 1024
+SMALL, BITS = 16, 128
 #: In how many groups each node meets others before nodes meet in all of them.
 PICKS = 4
 #: Up to this many documents (12 bytes each) are named in a broadcast; beyond, all documents are dealt.
@@ -204,16 +204,16 @@ def groups(value: np.ndarray, node: np.ndarray, role: np.ndarray) -> tuple[np.nd
 
 
 def sketches(sets: Sets) -> list[np.ndarray]:
-    """For each set, parities of how many tokens hash to each bit: ``BITS`` of them for up to 2 * BITS tokens, four
-    times as many for each four times as many tokens. Two sets of equally long sketches differ in at least as
-    many tokens as their sketches differ in bits."""
-    level = np.ceil(np.log2(np.maximum(sets.sizes, 1) / (2 * BITS)) / 2).clip(0).astype(np.int64)
+    """For each set, parities of how many tokens hash to each bit: a power of two of bits, ``BITS`` or at least two for
+    each token. Two sets of equally long sketches differ in at least as many tokens as their sketches differ in bits;
+    a longer sketch whose halves are combined by exclusive or is the sketch of half the length."""
+    level = np.ceil(np.log2(np.maximum(2 * sets.sizes, BITS) / BITS)).astype(np.int64)
     out: list = [None] * len(level)
     for k in np.unique(level):
-        use, bits = np.flatnonzero(level == k), BITS << int(2 * k)
+        use, bits = np.flatnonzero(level == k), BITS << int(k)
         token = ragged(sets.first[use], sets.sizes[use])
         at = np.repeat(np.arange(len(use)), sets.sizes[use]) * bits + (C.mix(sets.hashes[token] + _OTHER) % np.uint64(bits)).astype(np.int64)
-        odd = np.packbits((np.bincount(at, minlength=len(use) * bits) & 1).astype(np.uint8)).view(np.int64).reshape(len(use), -1)
+        odd = np.packbits((np.bincount(at, minlength=len(use) * bits) & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(len(use), -1)
         for i, row in zip(use.tolist(), odd, strict=True):
             out[i] = row
     return out
@@ -234,11 +234,21 @@ def set_table(docs: DataFrame, chunks: int, width: int) -> DataFrame:
 
 
 def may_be_alike(percent: int):
-    """Whether the sizes and sketches of a and b allow them to be alike."""
-    n = F.col("n_a") + F.col("n_b")
-    bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    unlike_lengths = F.size("sketch_a") != F.size("sketch_b")
-    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (unlike_lengths | (bits * (100 + percent) <= n * (100 - percent)))
+    """Whether the sizes and sketches of a and b allow them to be alike. Sets that may be alike in size have sketches
+    of one length, or one is folded once; others pass."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    size = lambda x: F.size(f"sketch_{x}")
+
+    def folded(x: str, other: str):
+        half = (size(x) / 2).cast("int")
+        sketch = F.col(f"sketch_{x}")
+        return F.when(size(x) > size(other), F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), xor)).otherwise(sketch)
+
+    a, b = folded("a", "b"), folded("b", "a")
+    bits = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda t, x: t + x)
+    far = (size("a") > size("b") * 2) | (size("b") > size("a") * 2)
+    near = far | (bits * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+    return F.when(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent, near).otherwise(False)
 
 
 def described(nodes: DataFrame, side: str) -> DataFrame:
