@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from ledgerloom.session import checkpoint_dir
 
 
+def fitted(table: DataFrame, rows: int | None = None, each: int = 1 << 18) -> DataFrame:
+    """The table in as many partitions as its rows need (at least two for each core, never more than it has): a short
+    table then does not cost a task and a file for each of many near-empty partitions. Without ``rows`` the table is
+    counted, so it should be a checkpointed one."""
+    rows = table.count() if rows is None else rows
+    return table.coalesce(max(2 * table.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def roots(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``links`` (columns a, b): the smallest node that it is connected to. Each round
     hangs the larger neighbours of a node, then the smaller ones, on the smallest; links never grow in number."""
@@ -16,14 +24,17 @@ def roots(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     print_of = lambda e: tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
     mark = print_of(edges)
     for _ in range(most_rounds):
+        fit = lambda table, rows=mark[0]: fitted(table, 2 * rows)
+        edges = fit(edges)
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = fit(fit(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        edges = small.where("u <> v").distinct().checkpoint()
+        edges = fit(fit(small.where("u <> v")).distinct()).checkpoint()
         now = print_of(edges)
         if now == mark:
             break
         mark = now
+    edges = fitted(edges, mark[0])
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

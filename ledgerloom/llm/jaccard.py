@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ledgerloom.session import checkpoint_dir
 
 from . import chunks as C
-from .components import roots
+from .components import fitted, roots
 from .suffixes import ragged
 
 SMALL, BITS = 16, 128
@@ -333,7 +333,7 @@ def verified(docs: DataFrame, chunks: int, nodes: DataFrame, pairs: DataFrame, w
     document that has the set. Only those documents are dealt while their list is short enough to broadcast."""
     places = nodes.select("node", "chunk", "doc_id")
     left, right = (places.select(F.col("node").alias(x), F.col("chunk").alias(f"chunk_{x}"), F.col("doc_id").alias(f"doc_{x}")) for x in "ab")
-    pairs = pairs.join(left, "a").join(right, "b").checkpoint()
+    pairs = fitted(pairs.join(left, "a").join(right, "b").checkpoint())
     asked = pairs.select(F.col("chunk_a").alias("chunk"), F.col("chunk_b").alias("to"), "a", "doc_a").distinct()
     dealt = C.with_chunks(docs, chunks)
     needed = pairs.select(F.col("chunk_a").alias("chunk"), F.col("doc_a").alias("doc_id")).unionAll(pairs.select("chunk_b", "doc_b")).distinct().checkpoint()
@@ -415,22 +415,24 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk_by
     plan = C.layout(docs, chunk_bytes, bucket_bytes=32 << 20)
     table = set_table(docs, plan.chunks, width).checkpoint()
     nodes = table.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "chunk", "n", "sketch")).alias("one")).select("node", "one.*").checkpoint()
+    nodes = fitted(nodes)
     # sizes of sets come to the driver as counts by band of 1/64 of their power of two at most
     size_key = F.when(F.col("n") < 128, F.col("n")).otherwise(F.floor(F.col("n") / F.pow(F.lit(2), F.floor(F.log2("n")) - 6)) * F.pow(F.lit(2), F.floor(F.log2("n")) - 6)).cast("long")
     counts = nodes.groupBy(size_key.alias("size")).agg(F.count("*").alias("c"), F.max("n").alias("most")).toPandas()
     sizes = np.append(counts["size"].to_numpy(np.int64), counts["most"].max() if len(counts) else 1)
     scheme = scheme_for(percent, sizes, np.append(counts["c"].to_numpy(np.int64), 0))
-    found = candidates(docs, width, scheme, plan.buckets).checkpoint()
+    found = fitted(candidates(docs, width, scheme, plan.buckets).checkpoint())
     pairs = found.where("value is null").select("a", "b").distinct()
     links = verified(docs, plan.chunks, nodes, in_reach(pairs, nodes, percent), width, percent).checkpoint()
-    tree = roots(links).checkpoint()
+    tree = fitted(roots(links).checkpoint())
     members = found.where("value is not null")
     for few in [] if members.isEmpty() else [True, False]:
-        member = split_groups(members, tree).checkpoint()
-        more = open_pairs(picked(member) if few else member, nodes, percent).checkpoint()
+        member = fitted(split_groups(members, tree).checkpoint())
+        more = fitted(open_pairs(picked(member) if few else member, nodes, percent).checkpoint())
         if not more.isEmpty():
             links = verified(docs, plan.chunks, nodes, more, width, percent)
             tree = roots(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links)).checkpoint()
+            tree = fitted(tree)
     joined = table.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return joined.join(least, "root", "left").select(
