@@ -180,10 +180,12 @@ def groups(value: np.ndarray, node: np.ndarray, role: np.ndarray) -> tuple[np.nd
     start = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(value)))
     a, b = [], []
-    big = np.repeat(size > SMALL, size)
+    both = (np.bitwise_or.reduceat(role, start) & (INDEX | PROBE) == INDEX | PROBE) & (np.bitwise_and.reduceat(role, start) & DELETED == 0) if len(value) else np.zeros(0, bool)
+    big = np.repeat((size > SMALL) & both, size)  # in other large groups nothing meets
+    idle = np.repeat((size > SMALL) & ~both, size)
     place = np.arange(len(value)) - np.repeat(start, size)
     for step in range(1, SMALL):  # pairs of rows that lie ``step`` apart in a small group
-        i = np.flatnonzero(~big & (place >= step))
+        i = np.flatnonzero(~big & ~idle & (place >= step))
         if not len(i):
             break
         ok = may_match(role[i], role[i - step]) & (node[i] != node[i - step])
@@ -380,13 +382,20 @@ def verified(docs: DataFrame, chunks: int, nodes: DataFrame, pairs: DataFrame, w
     return dealt.groupBy("chunk").cogroup(given.unionAll(rows).groupBy("chunk")).applyInArrow(compare, "a long, b long")
 
 
+def has(column: str, bit: int):
+    """Whether a role has the bit."""
+    return F.col(column).bitwiseAND(bit) > 0
+
+
 def split_groups(members: DataFrame, tree: DataFrame) -> DataFrame:
-    """Members (value, node, role, root) of the large groups that lie in several components, and the most frequent
-    one of these (main)."""
+    """Members (value, node, role, root) of the large groups that lie in several components and in which something
+    probes: with the most frequent component (main), and whether members outside it or in it probe (out, inside)."""
     member = members.join(tree.withColumnRenamed("node", "a"), "a", "left").select("value", F.col("a").alias("node"), "role", F.coalesce("root", "a").alias("root"))
-    by_root = member.groupBy("value", "root").agg(F.count("*").alias("c"))
-    split = by_root.groupBy("value").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("main")).where("parts > 1")
-    return member.join(split.select("value", "main"), "value")
+    by_root = member.groupBy("value", "root").agg(F.count("*").alias("c"), F.count_if(has("role", PROBE)).alias("probes"))
+    most = F.struct("c", "root")
+    split = by_root.groupBy("value").agg(F.count("*").alias("parts"), F.max_by("root", most).alias("main"), F.max_by("probes", most).alias("mine"), F.sum("probes").alias("probes"))
+    split = split.where("parts > 1 and probes > 0").select("value", "main", F.expr("probes > mine").alias("out"), F.expr("mine > 0").alias("inside"))
+    return member.join(split, "value")
 
 
 def picked(member: DataFrame) -> DataFrame:
@@ -398,15 +407,20 @@ def picked(member: DataFrame) -> DataFrame:
 
 
 def open_pairs(member: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs in large groups that may be alike and are not connected yet: those outside a group's main component,
-    against members of other components."""
+    """Pairs in large groups that may be alike and are not connected yet. Those outside a group's main component that
+    probe meet all that are indexed; those outside it that are indexed also meet the main component's that probe."""
     member = member.join(nodes.select("node", "n", "sketch"), "node")
-    x, y = (member.select("value", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "role", "root", "n", "sketch")), *([] if s == "b" else ["main"])) for s in "ab")
-    has = lambda c, bit: F.col(c).bitwiseAND(bit) > 0
-    meet = ((has("role_a", PROBE) & has("role_b", INDEX)) | (has("role_a", INDEX) & has("role_b", PROBE))) & ~(has("role_a", DELETED) & has("role_b", DELETED))
-    apart = (F.col("root_a") != F.col("main")) & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
-    found = x.alias("x").join(y.alias("y"), (F.col("x.value") == F.col("y.value")) & apart & meet & may_be_alike(percent))
-    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    side = lambda rows, s: rows.select("value", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "role", "root", "n", "sketch")))
+    outside, probe, index = F.col("root") != F.col("main"), has("role", PROBE), has("role", INDEX)
+    apart = (F.col("root_a") != F.col("root_b")) & ~(has("role_a", DELETED) & has("role_b", DELETED)) & may_be_alike(percent)
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        found = side(x, "a").alias("x").join(side(y, "b").alias("y"), (F.col("x.value") == F.col("y.value")) & apart)
+        return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+    first = met(member.where(outside & probe), member.where(F.col("out") & index))
+    second = met(member.where(outside & index & F.col("inside")), member.where(~outside & probe))
+    return first.unionAll(second).distinct()
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk_bytes: int = 8 << 20) -> DataFrame:
