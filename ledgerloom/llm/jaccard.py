@@ -28,6 +28,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
@@ -42,6 +44,8 @@ from .components import fitted, roots
 from .suffixes import ragged
 
 SMALL, BITS = 16, 128
+#: How many 64-bit words of two sketches are compared first.
+WORDS = 16
 #: In how many groups each node meets others before nodes meet in all of them.
 PICKS = 4
 #: Up to this many documents (12 bytes each) are named in a broadcast; beyond, all documents are dealt.
@@ -237,7 +241,8 @@ def set_table(docs: DataFrame, chunks: int, width: int) -> DataFrame:
 
 def may_be_alike(percent: int):
     """Whether the sizes and sketches of a and b allow them to be alike. Sets that may be alike in size have sketches
-    of one length, or one is folded once; others pass."""
+    of one length, or one is folded once; others pass. The first ``WORDS`` words of equally long sketches bound the
+    difference from below and are compared in generated code, before all of it is."""
     xor = lambda x, y: x.bitwiseXOR(y)
     size = lambda x: F.size(f"sketch_{x}")
 
@@ -249,7 +254,10 @@ def may_be_alike(percent: int):
     a, b = folded("a", "b"), folded("b", "a")
     bits = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda t, x: t + x)
     far = (size("a") > size("b") * 2) | (size("b") > size("a") * 2)
-    near = far | (bits * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+    word = lambda x, k: F.get(f"sketch_{x}", F.lit(k))
+    some = reduce(add, (F.coalesce(F.bit_count(xor(word("a", k), word("b", k))), F.lit(0)) for k in range(WORDS)))
+    maybe = (size("a") != size("b")) | (some * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+    near = far | (maybe & (bits * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)))
     return F.when(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent, near).otherwise(False)
 
 
