@@ -28,9 +28,9 @@ PARTS = 256
 BROADCAST_ROWS = 10_000
 
 
-def with_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size in words of each document."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+def with_sizes(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size in words and the columns ``more`` of each document."""
+    return docs.select("doc_id", "source", *more, F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
 
 
 def source_targets(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit: int = 2) -> DataFrame:
@@ -57,8 +57,10 @@ def by_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(side, rows["source"].eqNullSafe(side["__source"]), "left").drop("__source")
 
 
-def mix_sources(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit: int = 2, seed: int = 17, size_power: float = 0.5) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies of each row of ``sized``."""
+def mix_sources(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit: int = 2, seed: int = 17, size_power: float = 0.5, key: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target and copies of each row of ``sized``; also ``key``, a column that tells
+    its rows apart, if one is named."""
+    keys = [key] if key else []
     checkpoint_dir(sized.sparkSession)
     sized = sized.checkpoint()
     targets = source_targets(sized, weights, share, limit).checkpoint()
@@ -86,8 +88,8 @@ def mix_sources(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit:
     second = edge(rows.where("a = edge_a"), "b", F.col("before_a")).checkpoint()
     rows = by_source(rows, second)
     last = (F.col("a") == F.col("edge_a")) & (F.col("b") == F.col("edge_b"))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("v", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("before_b")
-    keep = ["doc_id", "source", "size", "source_size", "target"]
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("v", "doc_id", *keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("before_b")
+    keep = [*keys, "doc_id", "source", "size", "source_size", "target"]
     near = rows.where(last).withColumn("more", (inside + F.col("size") / 2 <= F.col("rest")).cast("int"))
     far = rows.where(~F.coalesce(last, F.lit(False))).withColumn("more", F.coalesce((F.col("a") < F.col("edge_a")) | ((F.col("a") == F.col("edge_a")) & (F.col("b") < F.col("edge_b"))), F.lit(False)).cast("int"))
     return far.unionByName(near).select(*keep, (F.col("whole") + F.col("more")).cast("int").alias("copies"))

@@ -312,3 +312,22 @@ def test_pipeline(spark, sf, nothing):
             text = {r["doc_id"]: r["text"] for r in before}
             assert len(after) == len(before) and all(r["decoded_sha256"] == sha(text[r["doc_id"]]) for r in after)
         assert stage(spark, nothing.select(corpus_pipeline.COLUMNS), sf).count() == 0
+
+
+def test_pipeline_rows_with_null_and_shared_ids(spark, sf):
+    rng = random.Random(11)
+    text = lambda n=60: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    copied, near, clean, twice, lone = (text() for _ in range(5))
+    rows = [(1, near), (9, near + " end"), (9, clean), (None, copied), (None, copied + " end"), (None, copied), (5, twice), (5, twice), (None, lone), (None, None), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()]
+    assert len(got) == 7 and {(1, near), (9, clean), (5, twice), (None, lone), (None, None)} <= set(got)
+    assert sum(t in (copied, copied + " end") for _, t in got) == 1
+    rows = [(None if i % 3 else 7, text(rng.randint(5, 60)), "en", "abc"[i % 3], 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    target = {r["source"]: r["target"] for r in mixing.source_targets(mixing.with_sizes(docs)).collect()}
+    taken, copies = collections.Counter(), collections.Counter()
+    for r in corpus_pipeline.mix(spark, docs, sf).collect():
+        taken[r["source"]] += len(r["text"].split())
+        copies[r["text"]] += 1
+    assert all(abs(taken[s] - t) <= 31 for s, t in target.items()) and max(copies.values()) <= 2
