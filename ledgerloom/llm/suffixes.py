@@ -7,7 +7,8 @@ narrowed down and dealt out:
 1. every ``width``-byte window has an anchor: the ``ANCHOR``-byte string of least hash inside it
    (equal windows have equal anchors). Chunks send the hashes of their anchors, and buckets say which
    occur more than once;
-2. neighbouring windows with one anchor form a run of text. Runs with a repeated anchor are sent,
+2. neighbouring windows with equal anchors form a run of text (so a long stretch of one byte, or of a
+   short period, is one run). Runs with a repeated anchor are sent,
    each distinct one once by each chunk with its smallest doc_id, to the bucket of their anchor;
 3. a bucket builds the suffix array of its distinct runs. Two-stage sorting: only suffixes smaller
    than their successors are sorted directly; a scan of the buckets of first bytes, in order, induces
@@ -34,11 +35,11 @@ ANCHOR = 24
 _LOW = np.uint64((1 << 28) - 1)
 
 
-def anchor_at(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each whole window of one piece of text: its start, the place of its anchor, the anchor's hash."""
+def anchor_at(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each whole window of one piece of text: its start and the hash of its anchor."""
     n = len(data)
     if n < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     p = C.prefix_hash(data.astype(np.uint64) + np.uint64(1))
     at = np.arange(n - anchor + 1)
     h = C.span_hash(p, at, at + anchor)
@@ -54,21 +55,21 @@ def anchor_at(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int) ->
     start = np.repeat(offsets[:-1] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
     low = (least[start] & _LOW).astype(np.int64)
     place = start + ((low - start) & int(_LOW))
-    return start, place, C.mix(h[place])  # least hashes are small; mixed, they spread over the buckets
+    return start, C.mix(h[place])  # least hashes are small; mixed, they spread over the buckets
 
 
 class Runs:
-    """Runs of neighbouring windows with one anchor: first and last window, document, hash of the anchor."""
+    """Runs of neighbouring windows with equal anchors: first and last window, document, hash of the anchor."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int, anchor: int):
         got = []
         for lo, hi in C.pieces(offsets):
             base, off = int(offsets[lo]), offsets[lo : hi + 1] - offsets[lo]
-            start, place, h = anchor_at(data[base : base + off[-1]], off, width, anchor)
+            start, h = anchor_at(data[base : base + off[-1]], off, width, anchor)
             if not len(start):
                 continue
             new = np.ones(len(start), bool)
-            new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
+            new[1:] = (h[1:] != h[:-1]) | (start[1:] != start[:-1] + 1)
             k = np.flatnonzero(new)
             got.append((start[k] + base, start[np.append(k[1:], len(start)) - 1] + base, np.searchsorted(off, start[k], side="right") - 1 + lo, h[k]))
         none = np.zeros(0, np.int64)

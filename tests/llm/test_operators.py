@@ -331,3 +331,22 @@ def test_pipeline_rows_with_null_and_shared_ids(spark, sf):
         taken[r["source"]] += len(r["text"].split())
         copies[r["text"]] += 1
     assert all(abs(taken[s] - t) <= 31 for s, t in target.items()) and max(copies.values()) <= 2
+
+
+@pytest.mark.parametrize("tail", [b"\n", b"", b"z"])
+def test_suffix_runs_of_one_byte_stay_linear(tail):
+    for stretch in (b"x" * 20_000, b"xy-" * 7_000):
+        data, off = np.frombuffer(b"start " + stretch + tail, np.uint8), np.array([0, 6 + len(stretch) + len(tail)])
+        sent = suffixes.Sent(data, off, np.array([1]), suffixes.Runs(data, off, 50, suffixes.ANCHOR), 50, 32)
+        assert (sent.stop - sent.start).sum() < 20 * len(data)
+
+
+def test_suffixes_of_long_rules(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(6))
+    rows = [(i, f"{word()} " * 3 + c * (3000 + 7 * i) + end + word()) for i, (c, end) in enumerate([("-", "\n"), ("-", "\n"), ("-", "a"), ("zy", "\n"), ("zy", ""), ("-", ""), ("z", "\n" * 80)])]
+    raw = {d: t.encode() for d, t in rows}
+    first = firsts(raw, 50)
+    for r in suffixes.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        x = raw[r["doc_id"]]
+        assert r["kept"] == bytes(a for a, b in zip(x, cover(x, 50, first, r["doc_id"]), strict=True) if b)
