@@ -6,10 +6,13 @@ narrowed down and dealt out:
 
 1. every ``width``-byte window has an anchor: the ``ANCHOR``-byte string of least hash inside it
    (equal windows have equal anchors). Chunks send the hashes of their anchors, and buckets say which
-   occur more than once;
+   occur more than once, and which have more than ``HOT`` distinct runs (a short string common to many
+   documents, or the edge of a popular passage, stands in another context in each);
 2. neighbouring windows with equal anchors form a run of text (so a long stretch of one byte, or of a
    short period, is one run). Runs with a repeated anchor are sent,
-   each distinct one once by each chunk with its smallest doc_id, to the bucket of their anchor;
+   each distinct one once by each chunk with its smallest doc_id, to the bucket of their anchor. Runs of a hot anchor are split into single windows
+   without context, which go to the bucket of the hash of the whole window: each chunk sends a window
+   once, so what a bucket gets of it does not grow with the documents that have it;
 3. a bucket builds the suffix array of its distinct runs. Two-stage sorting: only suffixes smaller
    than their successors are sorted directly; a scan of the buckets of first bytes, in order, induces
    all others from their successors. Adjacent suffixes with a common prefix of ``width`` bytes hold
@@ -32,6 +35,8 @@ from . import chunks as C
 from .substring import ANSWER, blocks, repeated, shared
 
 ANCHOR = 24
+#: Anchors with more distinct runs than this are hot; chunks report those with more than ``FEW`` of their own.
+HOT, FEW = 4096, 4
 _LOW = np.uint64((1 << 28) - 1)
 
 
@@ -59,7 +64,10 @@ def anchor_at(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int) ->
 
 
 class Runs:
-    """Runs of neighbouring windows with equal anchors: first and last window, document, hash of the anchor."""
+    """Runs of neighbouring windows with equal anchors: first and last window, document, hash of the anchor, the hash
+    that deals them to buckets (that of the anchor, or of the window), and whether they are single windows of a hot anchor."""
+
+    names = ("first", "last", "doc", "anchor", "key", "alone")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int, anchor: int):
         got = []
@@ -74,12 +82,29 @@ class Runs:
             got.append((start[k] + base, start[np.append(k[1:], len(start)) - 1] + base, np.searchsorted(off, start[k], side="right") - 1 + lo, h[k]))
         none = np.zeros(0, np.int64)
         self.first, self.last, self.doc, self.anchor = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (none, none, none, np.zeros(0, np.uint64))
+        self.key, self.alone = self.anchor, np.zeros(len(self.first), bool)
 
     def keep(self, mask: np.ndarray) -> Runs:
-        for name in ("first", "last", "doc", "anchor"):
+        for name in self.names:
             setattr(self, name, getattr(self, name)[mask])
         return self
 
+    def split(self, data: np.ndarray, hot: np.ndarray, width: int) -> Runs:
+        """With the runs of hot anchors split into single windows."""
+        if not hot.any():
+            return self
+        sizes = np.where(hot, self.last - self.first + 1, 1)
+        at = np.repeat(np.arange(len(sizes)), sizes)
+        self.first, last = ragged(self.first, sizes), self.last
+        for name in ("doc", "anchor"):
+            setattr(self, name, getattr(self, name)[at])
+        self.alone = hot[at]
+        self.last = np.where(self.alone, self.first, last[at])
+        self.key = self.anchor.copy()
+        one = self.first[self.alone]
+        self.key[self.alone] = run_hash(data, one, one + width, np.zeros(len(one), bool))
+        return self
+
 
 def reach(data: np.ndarray, offsets: np.ndarray, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
     """For each run, the first place from its last window on whose suffix is smaller than its successor
@@ -107,6 +132,63 @@ def run_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, flag: np.ndar
     return C.mix(out ^ (((end - start).astype(np.uint64) << np.uint64(1)) | flag.astype(np.uint64)))
 
 
+def context(data: np.ndarray, offsets: np.ndarray, runs: Runs, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each run, the last suffix that is sorted with it, where its bytes end, whether that suffix is the document's
+    last byte, and the hash of the bytes. Single windows of hot anchors are sorted directly: equal windows are all such."""
+    to, at_end = reach(data, offsets, runs)
+    to, at_end = np.where(runs.alone, runs.first, to), at_end & ~runs.alone
+    stop = np.minimum(to + width, offsets[runs.doc + 1]) if len(to) else to
+    return to, stop, at_end, run_hash(data, runs.first, stop, at_end)
+
+
+def many_runs(data: np.ndarray, offsets: np.ndarray, runs: Runs, width: int, buckets: int) -> list[bytes]:
+    """For each block of a chunk's distinct anchors, pairs (place in the block, distinct runs) of those with more than ``FEW``."""
+    u, inverse, count = np.unique(runs.anchor, return_inverse=True, return_counts=True)
+    have, bounds = C.deal(C.bucket_of(u, buckets), buckets)
+    often = count[inverse] > FEW
+    at = inverse[often]
+    h = context(data, offsets, runs.keep(often), width)[3]
+    order = np.lexsort((h, at))
+    at, h = at[order], h[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (h[1:] != h[:-1])
+    distinct = np.bincount(at[new], minlength=len(u))
+    listed = np.flatnonzero(distinct > FEW)
+    cut = np.searchsorted(listed, bounds)
+    return [np.stack([listed[a:b] - lo, distinct[listed[a:b]]], axis=1).astype(np.int32).tobytes() for a, b, lo in zip(cut[:-1], cut[1:], bounds[:-1], strict=True)]
+
+
+def shared_or_hot(table: pa.Table, hot: int) -> pa.Table:
+    """The answers of ``shared``, and for each block with hot anchors their places in it (kind 3)."""
+    values = C.arrays(table["block"], np.uint32)
+    many = [x.reshape(-1, 2) for x in C.arrays(table["many"], np.int32)]
+    u, inverse = np.unique(np.concatenate(values), return_inverse=True)
+    runs = np.ones(len(inverse), np.int64)
+    at = np.cumsum([0, *map(len, values)])
+    for lo, x in zip(at[:-1], many, strict=True):
+        runs[lo + x[:, 0]] = x[:, 1]
+    is_hot = (np.bincount(inverse, runs, len(u)) > hot)[inverse]
+    chunks, places = [], []
+    for chunk, lo, hi in zip(table["chunk"].to_pylist(), at[:-1], at[1:], strict=True):
+        if is_hot[lo:hi].any():
+            chunks.append(chunk)
+            places.append(np.flatnonzero(is_hot[lo:hi]).astype(np.int32).tobytes())
+    buckets = table["bucket"].to_pylist()[: len(chunks)]
+    more = pa.table({"chunk": pa.array(chunks, pa.int32()), "bucket": pa.array(buckets, pa.int32()), "kind": pa.array(np.full(len(chunks), 3, np.int32)), "answer": pa.array(places, pa.binary())})
+    return pa.concat_tables([shared(table), more])
+
+
+def hot_anchors(anchors: np.ndarray, buckets: int, given: dict[int, bytes]) -> np.ndarray:
+    """Which anchors of a chunk are hot (``given``: the places by bucket)."""
+    u, inverse = np.unique(anchors, return_inverse=True)
+    have, bounds = C.deal(C.bucket_of(u, buckets), buckets)
+    out = np.zeros(len(u), bool)
+    for b, lo in zip(have.tolist(), bounds[:-1], strict=True):
+        if b in given:
+            out[lo + np.frombuffer(given[b], np.int32)] = True
+    return out[inverse]
+
+
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each range, one range after another."""
     before = np.cumsum(sizes) - sizes
@@ -117,13 +199,11 @@ class Sent:
     """The distinct runs of a chunk in the order in which they are sent, and each run's place among them."""
 
     def __init__(self, data, offsets, doc_ids, runs: Runs, width: int, buckets: int):
-        to, at_end = reach(data, offsets, runs)
-        stop = np.minimum(to + width, offsets[runs.doc + 1]) if len(to) else to
-        h = run_hash(data, runs.first, stop, at_end)
+        to, stop, at_end, h = context(data, offsets, runs, width)
         u, one, inverse = np.unique(h, return_index=True, return_inverse=True)
         least = np.full(len(u), C.NULL_ID, np.int64)
         np.minimum.at(least, inverse, doc_ids[runs.doc])
-        bucket = C.bucket_of(runs.anchor[one], buckets)
+        bucket = C.bucket_of(runs.key[one], buckets)
         order = np.lexsort((least, bucket))
         place = np.empty(len(u), np.int64)
         place[order] = np.arange(len(u))
@@ -231,20 +311,25 @@ def strings_in_smaller(table: pa.Table, width: int) -> pa.Table:
     return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "kind": pa.array(np.full(len(out), 2, np.int32)), "answer": pa.array(out, pa.binary())})
 
 
-def remove_repeated_bytes(docs: DataFrame, width: int = 50, anchor: int = ANCHOR, chunk_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, width: int = 50, anchor: int = ANCHOR, chunk_bytes: int = 8 << 20, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of each document, kept as bytes; see the module's text."""
     plan = C.layout(docs, chunk_bytes, bucket_bytes=8 << 20)
     n = plan.buckets
     dealt = C.with_chunks(docs, plan.chunks)
 
     def send_anchors(table: pa.Table) -> pa.Table:
-        return blocks(table["chunk"][0].as_py(), Runs(*C.text_buffer(table["text"]), width, anchor).anchor, n)
+        data, offsets = C.text_buffer(table["text"])
+        runs = Runs(data, offsets, width, anchor)
+        sent = blocks(table["chunk"][0].as_py(), runs.anchor, n)
+        return sent.append_column("many", pa.array(many_runs(data, offsets, runs, width, n), pa.binary()))
 
     def prepare(table: pa.Table, masks: pa.Table):
         data, offsets = C.text_buffer(table["text"])
         doc_ids = table["doc_id"].to_numpy()
         runs = Runs(data, offsets, width, anchor)
-        runs.keep(repeated(runs.anchor, n, C.answers(masks, 1)))
+        is_hot = hot_anchors(runs.anchor, n, C.answers(masks, 3))
+        kept = repeated(runs.anchor, n, C.answers(masks, 1))
+        runs.keep(kept).split(data, is_hot[kept], width)
         return data, offsets, doc_ids, runs, Sent(data, offsets, doc_ids, runs, width, n)
 
     def send_runs(table: pa.Table, masks: pa.Table) -> pa.Table:
@@ -280,7 +365,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, anchor: int = ANCHOR
             kept.append(data[a:b][left[a:b]].tobytes() if r else raw[a:b])
         return pa.table({"doc_id": table["doc_id"], "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(n_removed), "n_spans": pa.array(spans[offsets[1:]] - spans[offsets[:-1]]), "kept": pa.array(kept, pa.binary())})
 
-    masks = dealt.groupBy("chunk").applyInArrow(send_anchors, "chunk int, bucket int, block binary").groupBy("bucket").applyInArrow(shared, ANSWER)
+    masks = dealt.groupBy("chunk").applyInArrow(send_anchors, "chunk int, bucket int, block binary, many binary").groupBy("bucket").applyInArrow(lambda t: shared_or_hot(t, hot), ANSWER)
     found = dealt.groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInArrow(send_runs, "chunk int, bucket int, sizes binary, ids binary, bytes binary").groupBy("bucket").applyInArrow(lambda t: strings_in_smaller(t, width), ANSWER)
     kept = dealt.groupBy("chunk").cogroup(masks.unionAll(found).groupBy("chunk")).applyInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return kept.withColumn("doc_id", C.plain_id())

@@ -350,3 +350,29 @@ def test_suffixes_of_long_rules(spark):
     for r in suffixes.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         x = raw[r["doc_id"]]
         assert r["kept"] == bytes(a for a, b in zip(x, cover(x, 50, first, r["doc_id"]), strict=True) if b)
+
+
+def test_suffixes_split_hot_anchors(spark, planted, texts):
+    rng = random.Random(9)
+    part = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    short, long = part(40), part(300)
+    rows = [(i, part(60) + short + part(60) + (long + part(30) if i % 3 else "")) for i in range(200)]
+    for docs, raw in ((spark.createDataFrame(rows, "doc_id long, text string"), {d: t.encode() for d, t in rows}), (planted, {d: t.encode() for d, t in texts.items()})):
+        first = firsts(raw, 50)
+        for r in suffixes.remove_repeated_bytes(docs, chunk_bytes=4096, hot=8).collect():
+            x = raw[r["doc_id"]]
+            assert r["kept"] == bytes(a for a, b in zip(x, cover(x, 50, first, r["doc_id"]), strict=True) if b)
+
+
+def test_windows_of_hot_anchors_spread_over_buckets():
+    rng = np.random.default_rng(3)
+    short = rng.integers(97, 123, 40).astype(np.uint8)
+    data = np.concatenate([np.concatenate([rng.integers(97, 123, 100), short, rng.integers(97, 123, 100)]) for _ in range(2000)]).astype(np.uint8)
+    off = np.arange(2001) * 240
+    runs = suffixes.Runs(data, off, 50, suffixes.ANCHOR)
+    u, count = np.unique(runs.anchor, return_counts=True)
+    assert count.max() > 500
+    runs.split(data, np.isin(runs.anchor, u[count > 100]), 50)
+    sent = suffixes.Sent(data, off, np.arange(2000), runs, 50, 32)
+    assert np.bincount(sent.bucket, sent.stop - sent.start).max() < 2 * (sent.stop - sent.start).sum() / 32
+    assert (sent.stop - sent.start).max() < 400
