@@ -117,7 +117,7 @@ R("year_gaps", "SELECT CAST(y AS VARCHAR) || '-' || CAST(y + 1 AS VARCHAR) AS fi
 R("aligned_source_type", "SELECT id, contract_number, 'csv' AS source_type FROM c")(lambda c: loading.aligned(c.select("id", "contract_number").withColumn("source_type", F.lit(" ")), c.limit(0).select("id", "contract_number", "source_type")))
 R("published_snapshot", "SELECT " + ", ".join(loading.PUBLISHED) + " FROM c")(lambda c: c.select(*loading.PUBLISHED))
 R("recent_records", f"SELECT {ROW} FROM c WHERE award_date >= (SELECT max(award_date) FROM c) - INTERVAL '7' DAY")(lambda c: c.join(F.broadcast(c.agg(F.date_sub(F.max("award_date"), 7).alias("since"))), F.col("award_date") >= F.col("since")).select(*cols))
-R("export_rows", "SELECT id, contract_number, entity, contractor, CASE WHEN amendment = '' THEN 'ORIGINAL' ELSE amendment END AS amendment, '$' || format('{:,.2f}', amount) AS amount_text, strftime(award_date, '%B %-d, %Y') AS award_text, CASE WHEN length(service_type) > 12 THEN substr(service_type, 1, 12) || '...' ELSE service_type END AS service FROM c ORDER BY award_date DESC, id LIMIT 100000")(lambda c: c.orderBy(F.desc("award_date"), "id").limit(100_000).select("id", "contract_number", "entity", "contractor", F.when(F.col("amendment") == "", "ORIGINAL").otherwise(F.col("amendment")).alias("amendment"), F.concat(F.lit("$"), F.format_number("amount", 2)).alias("amount_text"), F.date_format("award_date", "MMMM d, yyyy").alias("award_text"), F.when(F.length("service_type") > 12, F.concat(F.substring("service_type", 1, 12), F.lit("..."))).otherwise(F.col("service_type")).alias("service")))
+R("export_rows", "SELECT id, contract_number, entity, contractor, CASE WHEN amendment = '' THEN 'ORIGINAL' ELSE amendment END AS amendment, '$' || format('{:,.2f}', amount) AS amount_text, strftime(award_date, '%B %-d, %Y') AS award_text, CASE WHEN length(service_type) > 12 THEN substr(service_type, 1, 12) || '...' ELSE service_type END AS service FROM c ORDER BY award_date DESC, id LIMIT 100000")(lambda c: c.orderBy(F.desc("award_date"), "id").select("id", "contract_number", "entity", "contractor", F.when(F.col("amendment") == "", "ORIGINAL").otherwise(F.col("amendment")).alias("amendment"), F.concat(F.lit("$"), F.format_number("amount", 2)).alias("amount_text"), F.date_format("award_date", "MMMM d, yyyy").alias("award_text"), F.when(F.length("service_type") > 12, F.concat(F.substring("service_type", 1, 12), F.lit("..."))).otherwise(F.col("service_type")).alias("service")))
 R("family_scan", "SELECT * FROM s", SCAN)(recovery.family_scan)
 R("missing_originals", "SELECT * FROM m", TARGETS)(lambda c: recovery.missing_originals(recovery.family_scan(c)))
 R("recovery_targets", "SELECT * FROM t", TARGETS)(lambda c: recovery.targets(recovery.family_scan(c)))

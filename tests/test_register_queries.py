@@ -20,3 +20,9 @@ def test_same_as_sql(spark, sf, duck, name):
     have = rows(got)
     assert len(have) == len(want) and len(want) > 0
     assert all(near(x, y) for a, b in zip(have, want, strict=True) for x, y in zip(a, b, strict=True))
+
+
+def test_export_has_all_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert n > 100_000 and QUERIES["export_rows"](spark, sf).count() == n
