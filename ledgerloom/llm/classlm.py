@@ -1,13 +1,22 @@
 """Operator 7: perplexity under a Brown class-based n-gram model.
 
 P(word | word before) = P(class | class before) * P(word | class). Words of the training documents are
-counted over the whole corpus. The most frequent ``TOP`` words are units of their own, all others are
-grouped by a hash of their last three bytes into ``GROUPS`` units, and the end of a text is a unit; so
-every word, seen or not, belongs to one. Unit bigrams are counted over the whole corpus, and exchange
-clustering (moving one unit at a time to the class that raises the class-bigram likelihood most)
-assigns the units to ``CLASSES`` classes. The table of unit bigrams is the only thing that comes to the
-driver; its size is fixed. Both probabilities are smoothed: transitions with the class frequencies,
-emissions by adding ``ADD`` for each known word of the class and once for all unknown ones.
+counted over the whole corpus. Exchange clustering assigns every one of them to a class by its own contexts:
+
+1. a first dealing: the most frequent ``TOP`` words are units of their own, all others are grouped by a
+   hash of their last three bytes into ``GROUPS`` units, and the end of a text is a unit. Exchange
+   clustering of the units on the driver (moving one unit at a time to the class that raises the
+   class-bigram likelihood most) gives ``CLASSES`` classes, and each of them but that of the end is dealt
+   into as many parts as the vocabulary asks for (``parts_for``: classes grow as its cube root);
+2. rounds over all words: chunks count the classes before and after each of their words and send these
+   counts to the word's bucket; with the table of class bigrams broadcast, each word of half the
+   vocabulary (by hash, in turn) goes to the class under which its contexts are most likely. Words of one
+   round move at once, each against the table without itself; a round that lowers the likelihood is undone.
+
+Only words that no training document has take the most frequent class of the words with their ending.
+Tables of units and of class bigrams are all that comes to the driver. Both probabilities are smoothed:
+transitions with the class frequencies, emissions by adding ``ADD`` for each known word of the class and
+once for all unknown ones.
 
 Defined results: null and empty texts hold one token, their end; a null doc_id counts as empty text in
 crc32 and comes back null; with no training document all counts are 0; repeated rows each count and are
@@ -28,6 +37,7 @@ from ledgerloom.session import checkpoint_dir
 from . import chunks as C
 
 TOP, GROUPS, CLASSES, ADD, BACK = 511, 512, 64, 0.1, 20.0
+ROUNDS = 2
 UNITS = TOP + GROUPS + 1
 END = UNITS - 1
 
@@ -64,8 +74,7 @@ def summed(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.
 
 
 def vocabulary(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (kind, key, n, v) about the training words: for each bucket its most frequent words (kind 0:
-    hash, count, group) and sums by group (kind 1: group, tokens, distinct words)."""
+    """(bucket, words, counts, groups): all training words of each bucket in order of hash."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: list = []
@@ -83,11 +92,30 @@ def vocabulary(docs: DataFrame, buckets: int) -> DataFrame:
 
     def of_bucket(table: pa.Table) -> pa.Table:
         u, n, g = summed(list(zip(C.arrays(table["words"], np.uint64), C.arrays(table["counts"], np.int64), C.arrays(table["groups"], np.int64), strict=True)))
-        best = np.lexsort((u, -n))[:TOP]
-        tokens, distinct = np.bincount(g, n, GROUPS).astype(np.int64), np.bincount(g, minlength=GROUPS)
-        return pa.table({"kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(best), GROUPS])), "key": pa.array(np.append(u[best].view(np.int64), np.arange(GROUPS))), "n": pa.array(np.append(n[best], tokens)), "v": pa.array(np.append(g[best], distinct))})
+        return pa.table({"bucket": table["bucket"].slice(0, 1), "words": pa.array([u.tobytes()]), "counts": pa.array([n.tobytes()]), "groups": pa.array([g.tobytes()])})
 
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(local, "bucket int, words binary, counts binary, groups binary").groupBy("bucket").applyInArrow(of_bucket, "kind int, key long, n long, v long")
+    schema = "bucket int, words binary, counts binary, groups binary"
+    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(local, schema).groupBy("bucket").applyInArrow(of_bucket, schema)
+
+
+def by_row(table: DataFrame, schema: str, made) -> DataFrame:
+    """What ``made`` gives for each row of a table of buckets, as a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from pa.table(made(row)).to_batches()
+
+    return table.mapInArrow(run, schema)
+
+
+def most_frequent(row: dict) -> dict:
+    """Rows (kind, key, n, v) about a bucket: its most frequent words (kind 0: hash, count, group) and sums
+    by group (kind 1: group, tokens, distinct words)."""
+    u, n, g = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["counts"], np.int64), np.frombuffer(row["groups"], np.int64)
+    best = np.lexsort((u, -n))[:TOP]
+    tokens, distinct = np.bincount(g, n, GROUPS).astype(np.int64), np.bincount(g, minlength=GROUPS)
+    return {"kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(best), GROUPS])), "key": pa.array(np.append(u[best].view(np.int64), np.arange(GROUPS))), "n": pa.array(np.append(n[best], tokens)), "v": pa.array(np.append(g[best], distinct))}
 
 
 def unit_bigrams(docs: DataFrame, top: np.ndarray) -> DataFrame:
@@ -160,40 +188,205 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np
     return cls
 
 
+def parts_for(words: int) -> int:
+    """Parts of each class of the first dealing, for a vocabulary of so many words."""
+    return max(1, round(1.5 * words ** (1 / 3) / (CLASSES - 1)))
+
+
+STATE = "bucket int, words binary, counts binary, cls binary"
+PLACED = "chunk int, bucket int, counts binary, cls binary, place binary"
+
+
+def placed(asked: DataFrame, state: DataFrame) -> DataFrame:
+    """For each block of words: counts, classes (-1 where unknown) and places in the bucket."""
+
+    def find(table: pa.Table, have: pa.Table) -> pa.Table:
+        u = np.frombuffer(have["words"][0].as_py(), np.uint64) if len(have) else np.zeros(0, np.uint64)
+        n = np.append(np.frombuffer(have["counts"][0].as_py(), np.int64) if len(have) else np.zeros(0, np.int64), 0)
+        cls = np.append(np.frombuffer(have["cls"][0].as_py(), np.int32) if len(have) else np.zeros(0, np.int32), -1)
+        out: list = []
+        for x in C.arrays(table["words"], np.uint64):
+            at = np.searchsorted(u, x)
+            at[np.append(u, np.uint64(0))[at] != x] = len(u)
+            out.append((n[at].tobytes(), cls[at].astype(np.int32).tobytes(), at.astype(np.int32).tobytes()))
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], **{k: pa.array([x[i] for x in out], pa.binary()) for i, k in enumerate(("counts", "cls", "place"))}})
+
+    return asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(find, PLACED)
+
+
+def of_chunk(given: pa.Table, column: str, dtype) -> np.ndarray:
+    """What the buckets answered about a chunk's distinct words, in their order."""
+    got = dict(zip(given["bucket"].to_pylist(), given[column].to_pylist(), strict=True))
+    return np.concatenate([np.frombuffer(got[b], dtype) for b in sorted(got)]) if got else np.zeros(0, dtype)
+
+
+def contexts(dealt: DataFrame, asked: DataFrame, state: DataFrame, classes: int) -> DataFrame:
+    """``state`` with the contexts of each bucket's words: place of the word, context (class after it, or ``classes`` +
+    class before it) and count; and the bucket's share of the class bigrams (pair, pair_n)."""
+
+    def count(table: pa.Table, given: pa.Table) -> pa.Table:
+        train = table["train"].to_numpy()
+        u, _, _, inverse, words = counted(*C.text_buffer(table["text"]), train.astype(float))
+        cls, place = of_chunk(given, "cls", np.int32).astype(np.int64), of_chunk(given, "place", np.int32)
+        word = np.full(len(inverse) + len(train) + 1, -1, np.int64)
+        word[np.arange(len(inverse)) + words.doc + 1] = inverse
+        side = np.where(word < 0, 0, np.append(cls, 0)[word])
+        keep = np.repeat(train, words.counts + 1)
+        left, right, before, after = word[:-1][keep], word[1:][keep], side[:-1][keep], side[1:][keep]
+        a, b = left >= 0, right >= 0
+        # a word's own bigrams: those of the first word of a training text follow an end
+        key, n = np.unique(np.append(left[a] * (2 * classes) + after[a], right[b] * (2 * classes) + classes + before[b]), return_counts=True)
+        w = key // (2 * classes)
+        buckets = given["bucket"].to_pylist()
+        sizes = dict(zip(buckets, (len(x) // 4 for x in given["cls"].to_pylist()), strict=True))
+        order = sorted(sizes)
+        bounds = np.searchsorted(w, np.cumsum([0, *(sizes[k] for k in order)]))
+        parts = {"place": place[w], "context": (key % (2 * classes)).astype(np.int32), "n": n.astype(np.int32)}
+        return pa.table({"bucket": pa.array(order, pa.int32()), **{k: pa.array(C.blobs(x, bounds), pa.binary()) for k, x in parts.items()}})
+
+    def merge(table: pa.Table, have: pa.Table) -> pa.Table:
+        if not len(have):
+            return pa.table({k: pa.array([], t) for k, t in types.items()})
+        join = lambda k: np.concatenate([np.zeros(0, np.int32), *C.arrays(table[k], np.int32)]).astype(np.int64)
+        key, inverse = np.unique(join("place") * (2 * classes) + join("context"), return_inverse=True)
+        n = np.bincount(inverse, join("n"), len(key)).astype(np.int64)
+        cls = np.frombuffer(have["cls"][0].as_py(), np.int32).astype(np.int64)
+        place, context = key // (2 * classes), key % (2 * classes)
+        pair = np.where(context < classes, cls[place] * classes + context, cls[place])
+        some = (context < classes) | (context == classes)  # every bigram once: by its first word, or after an end by its second
+        pair, at = np.unique(pair[some], return_inverse=True)
+        out = {"place": place.astype(np.int32), "context": context.astype(np.int32), "n": n, "pair": pair, "pair_n": np.bincount(at, n[some], len(pair)).astype(np.int64)}
+        return pa.table({**{k: have[k] for k in ("bucket", "words", "counts", "cls")}, **{k: pa.array([x.tobytes()], pa.binary()) for k, x in out.items()}})
+
+    types = {"bucket": pa.int32(), **{k: pa.binary() for k in ("words", "counts", "cls", "place", "context", "n", "pair", "pair_n")}}
+    answers = placed(asked, state).select("chunk", "bucket", "cls", "place")
+    sent = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(count, "bucket int, place binary, context binary, n binary")
+    return sent.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(merge, STATE + ", place binary, context binary, n binary, pair binary, pair_n binary")
+
+
+def class_table(found: DataFrame, classes: int, texts: int) -> np.ndarray:
+    """Counts of class bigrams over all buckets; texts without words are bigrams of two ends."""
+    rows = by_row(found.select("pair", "pair_n"), "pair long, n long", lambda row: {"pair": np.frombuffer(row["pair"], np.int64), "n": np.frombuffer(row["pair_n"], np.int64)})
+    rows = rows.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    g = np.zeros(classes * classes, np.int64)
+    g[rows["pair"].to_numpy(np.int64)] = rows["n"]
+    g = g.reshape(classes, classes)
+    g[0, 0] = texts - g[0].sum()
+    return g
+
+
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(g: np.ndarray) -> float:
+    g = g.astype(float)
+    return float(xlogx(g).sum() - xlogx(g.sum(axis=0)).sum() - xlogx(g.sum(axis=1)).sum())
+
+
+def moved(cls: np.ndarray, may: np.ndarray, place: np.ndarray, context: np.ndarray, n: np.ndarray, g: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """New classes of a bucket's words: for those that ``may`` move the class under which their contexts are most likely,
+    given the table ``g`` of class bigrams without the word. ``place`` (sorted), ``context`` and ``n``: the words' contexts.
+    Probabilities are smoothed, or else all rare words would go to small classes at once."""
+    cls, g = cls.astype(np.int64), g.astype(float)
+    classes, row, col = len(g), g.sum(axis=1), g.sum(axis=0)
+    base = np.concatenate([g.T + BACK * (col / max(col.sum(), 1))[:, None], g + BACK * (row / max(row.sum(), 1))[:, None]])  # row: a context; column: a word's class
+    whole = np.stack([row, col]) + BACK
+    table = np.log(np.maximum(base, 1e-9)) - np.log(np.repeat(whole, classes, axis=0))
+    table = table.astype(np.float32)
+    keep = may[place]
+    place, context, n = place[keep], context[keep], n[keep]
+    edges = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place)) if len(place) else np.zeros(1, np.int64)
+    lo = 0
+    while lo < len(edges) - 1:
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + block, side="right")) - 1)
+        a, b, start = edges[lo], edges[hi], edges[lo:hi] - edges[lo]
+        w, c, m = place[a + start], context[a:b], n[a:b]
+        k, own = cls[w], cls[place[a:b]]
+        gain = np.add.reduceat(table[c] * m[:, None].astype(np.float32), start, axis=0).astype(float)
+        total = np.add.reduceat(np.where(c < classes, m, 0), start)  # a word has as many bigrams before as after it
+        left = np.repeat(total, np.diff(np.append(start, b - a)))
+        stay = np.add.reduceat(m * (np.log(np.maximum(base[c, own] - m, 1e-9)) - np.log(whole[c // classes, own] - left)), start)
+        gain[:, 0] = -np.inf
+        gain[np.arange(len(w)), k] = stay
+        best = gain.argmax(axis=1)
+        cls[w] = np.where(gain[np.arange(len(w)), best] > stay + 1e-5 * np.abs(stay), best, k)
+        lo = hi
+    return cls.astype(np.int32)
+
+
 class Model:
-    """The fitted probabilities, in log10. All of its tables have fixed sizes."""
+    """The fitted probabilities, in log10; ``state`` holds each word's class and count by bucket."""
 
-    def __init__(self, docs: DataFrame, buckets: int):
+    def __init__(self, docs: DataFrame, buckets: int, dealt: DataFrame, asked: DataFrame, rounds: int = ROUNDS):
         checkpoint_dir(docs.sparkSession)
-        stats = vocabulary(docs, buckets).checkpoint()
+        known = vocabulary(docs, buckets).checkpoint()
+        stats = by_row(known, "kind int, key long, n long, v long", most_frequent).checkpoint()
         top = stats.where("kind = 0").orderBy(F.desc("n"), "key").limit(TOP).toPandas()
         by_group = stats.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()
         texts = docs.count()
-        order = np.argsort(top["key"].to_numpy(np.int64).view(np.uint64), kind="stable")
-        self.top = top["key"].to_numpy(np.int64).view(np.uint64)[order]
-        tokens, distinct = np.zeros(UNITS, np.int64), np.zeros(UNITS, np.int64)
-        at = TOP + by_group["key"].to_numpy(np.int64)
-        tokens[at], distinct[at] = by_group["n"], by_group["v"]
-        group = TOP + top["v"].to_numpy(np.int64)[order]
-        n = top["n"].to_numpy(np.int64)[order]
-        np.subtract.at(tokens, group, n)
-        np.subtract.at(distinct, group, 1)
-        tokens[: len(n)], distinct[: len(n)] = n, 1
-        tokens[END], distinct[END] = texts, int(texts > 0)
-        self.texts, self.tokens, self.distinct = texts, int(tokens.sum()), int(distinct.sum())
-        pairs = unit_bigrams(docs, self.top).toPandas()
+        top = np.sort(top["key"].to_numpy(np.int64).view(np.uint64))
+        pairs = unit_bigrams(docs, top).toPandas()
         bigrams = np.zeros(UNITS * UNITS, np.int64)
         bigrams[pairs["pair"].to_numpy(np.int64)] = pairs["n"]
-        bigrams = bigrams.reshape(UNITS, UNITS)
-        self.cls = exchange(bigrams)
-        member = np.zeros((UNITS, CLASSES))
-        member[np.arange(UNITS), self.cls] = 1
-        pair = member.T @ bigrams @ member
-        size, kinds = tokens @ member, distinct @ member
+        unit_cls = exchange(bigrams.reshape(UNITS, UNITS))
+        self.texts, self.tokens, self.distinct = texts, int(by_group["n"].sum()) + texts, int(by_group["v"].sum()) + int(texts > 0)
+        parts = parts_for(self.distinct)
+        classes = 1 + (CLASSES - 1) * parts
+
+        def first(row: dict) -> dict:
+            u = np.frombuffer(row["words"], np.uint64)
+            cls = unit_cls[units_of(u, np.frombuffer(row["groups"], np.int64), top)] + (CLASSES - 1) * (C.mix(u) % np.uint64(parts)).astype(np.int64)
+            return {"bucket": pa.array([row["bucket"]], pa.int32()), "words": pa.array([row["words"]]), "counts": pa.array([row["counts"]]), "cls": pa.array([cls.astype(np.int32).tobytes()])}
+
+        self.likelihoods: list[float] = []
+        state, best = by_row(known, STATE, first), None
+        for k in range(rounds + 1):
+            found = contexts(dealt, asked, state, classes).checkpoint()
+            g = class_table(found, classes, texts)
+            self.likelihoods.append(likelihood(g))
+            if best and self.likelihoods[-1] <= likelihood(best[1]):
+                break
+            best = found.select("bucket", "words", "counts", "cls"), g
+            if k == rounds:
+                break
+
+            def move(row: dict, g=g, k=k) -> dict:
+                part = [np.frombuffer(row[x], t) for x, t in (("place", np.int32), ("context", np.int32), ("n", np.int64))]
+                may = (C.mix(np.frombuffer(row["words"], np.uint64)) >> np.uint64(60)) % np.uint64(2) == k % 2
+                cls = moved(np.frombuffer(row["cls"], np.int32), may, *(x.astype(np.int64) for x in part), g)
+                return {"bucket": pa.array([row["bucket"]], pa.int32()), "words": pa.array([row["words"]]), "counts": pa.array([row["counts"]]), "cls": pa.array([cls.tobytes()])}
+
+            state = by_row(found, STATE, move).checkpoint()
+        self.state, pair = best
+
+        def sizes(row: dict) -> dict:
+            cls = np.frombuffer(row["cls"], np.int32)
+            return {"cls": np.arange(classes), "tokens": np.bincount(cls, np.frombuffer(row["counts"], np.int64), classes).astype(np.int64), "kinds": np.bincount(cls, minlength=classes)}
+
+        of_class = by_row(self.state, "cls long, tokens long, kinds long", sizes).groupBy("cls").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).toPandas()
+        size, kinds = np.zeros(classes), np.zeros(classes)
+        size[of_class["cls"]], kinds[of_class["cls"]] = of_class["tokens"], of_class["kinds"]
+        size[0], kinds[0] = texts, texts > 0
+
+        def endings_of(row: dict) -> dict:
+            u, n = np.unique(np.frombuffer(row["groups"], np.int64) * classes + np.frombuffer(row["cls"], np.int32), return_counts=True)
+            return {"key": u // classes, "cls": u % classes, "n": n}
+
+        by_ending = by_row(self.state.join(known.select("bucket", "groups"), "bucket"), "key long, cls long, n long", endings_of).groupBy("key", "cls").agg(F.sum("n").alias("n"))
+        by_ending = by_ending.groupBy("key").agg(F.max(F.struct("n", F.col("cls"))).alias("most")).select("key", "most.cls").toPandas()
+        self.of_ending = unit_cls[TOP : TOP + GROUPS].copy()
+        self.of_ending[by_ending["key"]] = by_ending["cls"]
         share = (size + ADD) / (size + ADD).sum()
         self.transition = np.log10((pair + BACK * share) / (pair.sum(axis=1, keepdims=True) + BACK))
         self.divisor = size + ADD * (kinds + 1)
 
+    def sent(self) -> Model:
+        """What tasks need of it."""
+        out = object.__new__(Model)
+        out.__dict__ = {k: v for k, v in self.__dict__.items() if k != "state"}
+        return out
+
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
 
@@ -203,31 +396,25 @@ def score(docs: DataFrame, training) -> DataFrame:
     a Column that says which documents to learn from."""
     plan = C.layout(docs)
     n = plan.buckets
-    model = docs.sparkSession.sparkContext.broadcast(Model(docs.where(training), n))  # fixed size
+    checkpoint_dir(docs.sparkSession)
     dealt = C.with_chunks(docs, plan.chunks, train=training)
 
-    def send(table: pa.Table) -> pa.Table:
-        u, counts, _, _, _ = counted(*C.text_buffer(table["text"]), table["train"].to_numpy().astype(float))
+    def ask(table: pa.Table) -> pa.Table:
+        u = np.unique(C.words_of(*C.text_buffer(table["text"]), lower=True).hash)
         have, bounds = C.deal(C.bucket_of(u, n), n)
-        return pa.table({"chunk": pa.array(np.full(len(have), table["chunk"][0].as_py(), np.int32)), "bucket": pa.array(have.astype(np.int32)), "words": pa.array(C.blobs(u, bounds), pa.binary()), "counts": pa.array(C.blobs(counts, bounds), pa.binary())})
+        return pa.table({"chunk": pa.array(np.full(len(have), table["chunk"][0].as_py(), np.int32)), "bucket": pa.array(have.astype(np.int32)), "words": pa.array(C.blobs(u, bounds), pa.binary())})
 
-    def add(table: pa.Table) -> pa.Table:
-        words, counts = C.arrays(table["words"], np.uint64), C.arrays(table["counts"], np.int64)
-        u, inverse = np.unique(np.concatenate(words), return_inverse=True)
-        total, at, out = np.bincount(inverse, np.concatenate(counts), len(u)).astype(np.int64)[inverse], 0, []
-        for x in words:
-            out.append(total[at : at + len(x)].tobytes())
-            at += len(x)
-        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "answer": pa.array(out, pa.binary())})
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk int, bucket int, words binary").checkpoint()
+    fitted = Model(docs.where(training), n, dealt, asked)
+    model = docs.sparkSession.sparkContext.broadcast(fitted.sent())
 
     def mark(table: pa.Table, given: pa.Table) -> pa.Table:
         m = model.value
         train = table["train"].to_numpy()
         data, off = C.text_buffer(table["text"])
         u, _, group, inverse, words = counted(data, off, train.astype(float))
-        got = C.answers(given)
-        counts = np.concatenate([np.frombuffer(got[b], np.int64) for b in sorted(got)]) if got else np.zeros(0, np.int64)
-        cls = m.cls[units_of(u, group, m.top)]
+        counts, cls = of_chunk(given, "counts", np.int64), of_chunk(given, "cls", np.int32)
+        cls = np.where(cls < 0, m.of_ending[group], cls)
         emit = np.log10((counts + ADD) / m.divisor[cls])
         docs_n = len(off) - 1
         row = padded(inverse, words)  # places of distinct words; ends are overwritten below
@@ -235,7 +422,7 @@ def score(docs: DataFrame, training) -> DataFrame:
         is_word[np.arange(len(inverse)) + words.doc + 1] = True
         classes = np.zeros(len(row), np.int64)
         classes[is_word] = cls[inverse]
-        each = np.full(len(row), np.log10((m.texts + ADD) / m.divisor[m.cls[END]]))
+        each = np.full(len(row), np.log10((m.texts + ADD) / m.divisor[0]))
         each[is_word] = emit[inverse]
         each = each[1:] + m.transition[classes[:-1], classes[1:]]
         doc = np.zeros(len(row), np.int64)
@@ -252,7 +439,7 @@ def score(docs: DataFrame, training) -> DataFrame:
             "score": pa.array(np.bincount(doc[1:], each, docs_n)),
         })
 
-    answers = dealt.groupBy("chunk").applyInArrow(send, "chunk int, bucket int, words binary, counts binary").groupBy("bucket").applyInArrow(add, "chunk int, bucket int, answer binary")
+    answers = placed(asked, fitted.state).select("chunk", "bucket", "counts", "cls")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(mark, schema).withColumn("doc_id", C.plain_id())
 

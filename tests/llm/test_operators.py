@@ -376,3 +376,14 @@ def test_windows_of_hot_anchors_spread_over_buckets():
     sent = suffixes.Sent(data, off, np.arange(2000), runs, 50, 32)
     assert np.bincount(sent.bucket, sent.stop - sent.start).max() < 2 * (sent.stop - sent.start).sum() / 32
     assert (sent.stop - sent.start).max() < 400
+
+
+def test_class_lm_places_every_word_by_its_contexts(spark):
+    """Words of two kinds with one ending, too many to be units of their own: contexts tell the kinds apart."""
+    rng = random.Random(2)
+    kinds = [[f"{k}{i}xyz" for i in range(700)] for k in "ab"]
+    rows = [(i, " ".join(x for _ in range(20) for k in (0, 1) for x in (("the", "of")[k], rng.choice(kinds[k])))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in classlm.score(docs.unionByName(spark.createDataFrame([(1000 + k, f"the {a} of {b}") for k, (a, b) in enumerate([(kinds[0][650], kinds[1][650]), (kinds[1][650], kinds[0][650])])], docs.schema)), F.col("doc_id") < 1000).collect()}
+    assert got[1000] > got[1001] + 1
+    assert classlm.parts_for(10**8) > classlm.parts_for(10**6) > classlm.parts_for(10**3) == 1
