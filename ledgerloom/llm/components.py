@@ -18,7 +18,8 @@ def fitted(table: DataFrame, rows: int | None = None, each: int = 1 << 18) -> Da
 
 def roots(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``links`` (columns a, b): the smallest node that it is connected to. Each round
-    hangs the larger neighbours of a node, then the smaller ones, on the smallest; links never grow in number."""
+    hangs the larger neighbours of a node, then the smaller ones, on the smallest; links never grow in number.
+    Raises where ``most_rounds`` are not enough."""
     checkpoint_dir(links.sparkSession)
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     print_of = lambda e: tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
@@ -36,5 +37,7 @@ def roots(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components are not complete after {most_rounds} rounds")
     edges = fitted(edges, mark[0])
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm import bpe, classlm, jaccard, langid, lines, mixing, neighbours, spotsigs, substring, suffixes
+from ledgerloom.llm import components as components_of
 from ledgerloom.llm.queries import ORACLE_SQL, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -387,3 +388,10 @@ def test_class_lm_places_every_word_by_its_contexts(spark):
     got = {r["doc_id"]: r["score"] for r in classlm.score(docs.unionByName(spark.createDataFrame([(1000 + k, f"the {a} of {b}") for k, (a, b) in enumerate([(kinds[0][650], kinds[1][650]), (kinds[1][650], kinds[0][650])])], docs.schema)), F.col("doc_id") < 1000).collect()}
     assert got[1000] > got[1001] + 1
     assert classlm.parts_for(10**8) > classlm.parts_for(10**6) > classlm.parts_for(10**3) == 1
+
+
+def test_roots_are_complete_or_raise(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    assert {r["root"] for r in components_of.roots(path).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components_of.roots(path, most_rounds=1)
