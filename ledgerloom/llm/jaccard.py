@@ -14,14 +14,17 @@ Equal sets are one node. Blocks of signatures go to buckets; groups of up to ``S
 their candidate pairs, larger ones first only pairs with their least node. Candidates whose
 sizes and parity sketches allow it are verified exactly: a node's set is sent once to each chunk that
 holds partners. Links give components. In
-large groups only pairs between different components are then still open. They are verified first as far as
-nodes meet in the few groups that each picks, which connects most copies of one text without finding a pair in each
-of many shared groups; then all that are still open.
+large groups only pairs between different components are then still open. First come rounds that are linear in
+the members: in the few groups that each node picks it meets ``PIVOTS`` of the members, chosen by hash and so alike
+in all groups, and what is verified is contracted; most copies of one text are connected by that. Then every
+pair that is still open is looked at, in tasks that hold one block of a group against another. In the first of these
+rounds each component sends on ``FEW`` pairs of each task, by the same hash everywhere, as most links would only
+connect again what others have connected; the last round sends all that are still open.
 
 Defined results: null text has no words; sets without words are empty, linked with nothing and their own
 component; a null doc_id is larger than every other and comes back null; rows that share a doc_id are
 separate documents with their own sets; repeated rows give one row each; other columns are not read.
-Shingles are told apart by 64-bit hashes (48 bits of them when counting what two sets share).
+Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -46,8 +49,12 @@ from .suffixes import ragged
 SMALL, BITS = 16, 128
 #: How many 64-bit words of two sketches are compared first.
 WORDS = 16
-#: In how many groups each node meets others before nodes meet in all of them.
-PICKS = 4
+#: In how many groups each node meets pivots, how many pivots a group has.
+PICKS, PIVOTS = 4, 3
+#: Pairs that a component sends from one task in the rounds before the last, and those rounds.
+FEW, FEW_ROUNDS = 4, 1
+#: Members of a large group that are held against each other in one task.
+BLOCK = 4096
 #: Up to this many documents (12 bytes each) are named in a broadcast; beyond, all documents are dealt.
 BROADCAST_ROWS = 1_000_000
 INDEX, PROBE, DELETED = 1, 2, 4
@@ -296,6 +303,7 @@ def candidates(docs: DataFrame, width: int, scheme: Scheme, buckets: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(x, pa.binary()) for x in (C.blobs(short, bounds), which, lists, C.blobs(role, bounds)))], ["bucket", "values", "which", "nodes", "roles"])
             have.clear()
             nodes.clear()
+            seen.clear()  # what a later part sends again is merged in its bucket
 
         total = count = 0
         for batch in batches:
@@ -310,7 +318,7 @@ def candidates(docs: DataFrame, width: int, scheme: Scheme, buckets: int) -> Dat
                 have.append((value, of + count, role))
                 nodes.append(s.digest)
                 total, count = total + len(value), count + len(keep)
-                if total > 3_000_000:
+                if total > 1_500_000:
                     yield from flush()
                     total = count = 0
         yield from flush()
@@ -357,23 +365,15 @@ def verified(docs: DataFrame, chunks: int, nodes: DataFrame, pairs: DataFrame, w
 
     def send(table: pa.Table, wanted: pa.Table) -> pa.Table:
         s, at = chosen(table, wanted["doc_a"])
-        h = s.hashes >> np.uint64(16)
-        packed = {}
-        for a in set(wanted["a"].to_pylist()):
-            k = at[a]
-            x = h[s.first[k] : s.first[k + 1]]
-            packed[a] = (x >> np.uint64(16)).astype(np.uint32).tobytes() + (x & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+        packed = {a: s.hashes[s.first[at[a]] : s.first[at[a] + 1]].tobytes() for a in set(wanted["a"].to_pylist())}
         return pa.table({"chunk": wanted["to"], "a": wanted["a"], "b": pa.nulls(len(wanted), pa.int64()), "doc_b": pa.nulls(len(wanted), pa.int64()), "set": pa.array([packed[a] for a in wanted["a"].to_pylist()], pa.binary())})
 
     def compare(table: pa.Table, got: pa.Table) -> pa.Table:
         is_set = pa.compute.is_null(got["b"])
         given, rows = got.filter(is_set), got.filter(pa.compute.invert(is_set))
         s, at = chosen(table, rows["doc_b"])
-        h = s.hashes >> np.uint64(16)
-        other = {}
-        for a, raw in zip(given["a"].to_pylist(), given["set"].to_pylist(), strict=True):
-            n = len(raw) // 6
-            other[a] = (np.frombuffer(raw, np.uint32, n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(raw, np.uint16, n, 4 * n)
+        h = s.hashes
+        other = {a: np.frombuffer(raw, np.uint64) for a, raw in zip(given["a"].to_pylist(), given["set"].to_pylist(), strict=True)}
         keep = []
         for a, b in zip(rows["a"].to_pylist(), rows["b"].to_pylist(), strict=True):
             x, k = other[a], at[b]
@@ -414,21 +414,118 @@ def picked(member: DataFrame) -> DataFrame:
     return member.join(picks, ["node", "value"])
 
 
-def open_pairs(member: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs in large groups that may be alike and are not connected yet. Those outside a group's main component that
-    probe meet all that are indexed; those outside it that are indexed also meet the main component's that probe."""
-    member = member.join(nodes.select("node", "n", "sketch"), "node")
-    side = lambda rows, s: rows.select("value", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "role", "root", "n", "sketch")))
-    outside, probe, index = F.col("root") != F.col("main"), has("role", PROBE), has("role", INDEX)
-    apart = (F.col("root_a") != F.col("root_b")) & ~(has("role_a", DELETED) & has("role_b", DELETED)) & may_be_alike(percent)
+def pivot_pairs(member: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of a group with its pivots that may be alike and are not connected yet: the members that come
+    first by a hash, of those that probe and are indexed where there are any. No more than ``PIVOTS`` rows for each
+    member."""
+    whole = ~has("role", DELETED)
+    order = lambda k: F.struct(F.col("role") != (INDEX | PROBE), F.xxhash64(F.lit(k), "node"))
+    least = [F.min_by(F.struct("node", "role", "root"), order(k)) for k in range(PIVOTS)]
+    pivots = member.where(whole).groupBy("value").agg(F.explode(F.array_distinct(F.array(*least))).alias("p"))
+    pivots = pivots.select("value", F.col("p.node").alias("pivot"), F.col("p.role").alias("its_role"), F.col("p.root").alias("its_root"))
+    meets = (has("role", PROBE) & has("its_role", INDEX)) | (has("role", INDEX) & has("its_role", PROBE))
+    met = member.join(pivots, "value").where(meets & (F.col("root") != F.col("its_root")))
+    pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    return in_reach(pairs, nodes, percent)
+
+
+def blocks(member: DataFrame) -> DataFrame:
+    """The members with the cell (value, i, j) of each pair of blocks of their group in which they take part; ``h`` is
+    their own block."""
+    sizes = member.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("p"))
+    member = member.join(sizes, "value").withColumn("h", F.pmod(F.xxhash64("node"), F.col("p")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("p") - 1)
+    cells = F.concat(F.transform(every, lambda k: F.struct(F.col("h").alias("i"), k.alias("j"))), F.transform(F.filter(every, lambda k: k != F.col("h")), lambda k: F.struct(k.alias("i"), F.col("h").alias("j"))))
+    return member.withColumn("cell", F.explode(cells)).select("value", "cell.i", "cell.j", "h", "node", "role", "root", (F.col("root") == F.col("main")).alias("in_main"))
+
+
+def folded(sketch: np.ndarray) -> np.ndarray:
+    """Rows of sketches of half the length."""
+    half = sketch.shape[1] // 2
+    return sketch[:, :half] ^ sketch[:, half:]
+
+
+def alike(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows of one cell, all pairs (places of a probing row of block i and of an indexed row of block j) of
+    different components whose sizes and sketches allow them to be alike."""
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    h, role, root, n, main = (table[c].to_numpy() for c in ("h", "role", "root", "n", "in_main"))
+    lists = table["sketch"].combine_chunks()
+    bounds, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
+    words = np.diff(bounds)
+    left = np.flatnonzero((h == i) & (role & PROBE > 0))
+    right = np.flatnonzero((h == j) & (role & INDEX > 0))
+    right = right[np.argsort(n[right], kind="stable")]
+    sides: dict[tuple[int, bool], tuple] = {}
+    for w in np.unique(words[right]).tolist() if len(right) else []:
+        at = right[words[right] == w]
+        sketch = flat[(bounds[at][:, None] + np.arange(w))]
+        for away in (False, True):  # all indexed rows, and those outside the main component
+            keep = ~main[at] if away else np.ones(len(at), bool)
+            sides[w, away] = at[keep], n[at[keep]], sketch[keep], folded(sketch[keep]) if w > 1 else None
+    xs, ys = [], []
+    for x in left.tolist():
+        w, size = int(words[x]), int(n[x])
+        own = flat[bounds[x] : bounds[x + 1]]
+        for (v, away), (at, sizes, sketch, half) in sides.items():
+            if away != bool(main[x]):
+                continue
+            lo, hi = np.searchsorted(sizes, [-(-size * percent // 100), size * 100 // percent + 1])
+            if lo == hi:
+                continue
+            if v == w:
+                some, mine = sketch[lo:hi], own
+            elif v == 2 * w:
+                some, mine = half[lo:hi], own
+            elif w == 2 * v:
+                some, mine = sketch[lo:hi], folded(own[None])[0]
+            else:
+                xs.append(np.full(hi - lo, x))
+                ys.append(at[lo:hi])
+                continue
+            room = (size + sizes[lo:hi]) * (100 - percent)
+            keep = np.flatnonzero(np.bitwise_count(some[:, :WORDS] ^ mine[:WORDS]).sum(axis=1, dtype=np.int64) * (100 + percent) <= room)
+            if len(mine) > WORDS and len(keep):
+                rest = np.bitwise_count(some[keep] ^ mine).sum(axis=1, dtype=np.int64) * (100 + percent) <= room[keep]
+                keep = keep[rest]
+            if len(keep):
+                xs.append(np.full(len(keep), x))
+                ys.append(at[lo + keep])
+    if not xs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    ok = (root[x] != root[y]) & ~((role[x] & DELETED > 0) & (role[y] & DELETED > 0))
+    return x[ok], y[ok]
+
+
+def few(node_a: np.ndarray, node_b: np.ndarray, root_a: np.ndarray, root_b: np.ndarray, turn: int) -> np.ndarray:
+    """Places of the pairs that are among the first ``FEW`` of one of their components, by a hash of pair and turn."""
+    pair = C.mix(C.mix(node_a.view(np.uint64) ^ np.uint64(turn)) + node_b.view(np.uint64))
+    root, of = np.append(root_a, root_b), np.tile(np.arange(len(pair)), 2)
+    order = np.lexsort((pair[of], root))
+    start = np.flatnonzero(np.append(True, np.diff(root[order]) != 0))
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return np.unique(of[order[rank < FEW]])
+
+
+def open_pairs(member: DataFrame, nodes: DataFrame, percent: int, turn: int | None = None) -> DataFrame:
+    """(a, b, cut): pairs in large groups that may be alike and are not connected yet; without ``turn`` all of them, else
+    some of each component, and ``cut`` where a task had more."""
 
-    def met(x: DataFrame, y: DataFrame) -> DataFrame:
-        found = side(x, "a").alias("x").join(side(y, "b").alias("y"), (F.col("x.value") == F.col("y.value")) & apart)
-        return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    def meet(table: pa.Table) -> pa.Table:
+        x, y = alike(table, percent)
+        node, root = table["node"].to_numpy(), table["root"].to_numpy()
+        swap = node[x] > node[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        pair, one = np.unique(np.stack([node[x], node[y]], axis=1), axis=0, return_index=True)
+        x, y, cut = x[one], y[one], False
+        if turn is not None and len(one):
+            keep = few(pair[:, 0].copy(), pair[:, 1].copy(), root[x], root[y], turn)
+            cut, pair = len(keep) < len(pair), pair[keep]
+        return pa.table({"a": pa.array(pair[:, 0]), "b": pa.array(pair[:, 1]), "cut": pa.array(np.full(len(pair), cut))})
 
-    first = met(member.where(outside & probe), member.where(F.col("out") & index))
-    second = met(member.where(outside & index & F.col("inside")), member.where(~outside & probe))
-    return first.unionAll(second).distinct()
+    rows = blocks(member).join(nodes.select("node", "n", "sketch"), "node")
+    return rows.groupBy("value", "i", "j").applyInArrow(meet, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk_bytes: int = 8 << 20) -> DataFrame:
@@ -448,13 +545,19 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk_by
     links = verified(docs, plan.chunks, nodes, in_reach(pairs, nodes, percent), width, percent).checkpoint()
     tree = fitted(roots(links).checkpoint())
     members = found.where("value is not null")
-    for few in [] if members.isEmpty() else [True, False]:
+    rounds = [] if members.isEmpty() else ["pivots", *range(FEW_ROUNDS), None]
+    for turn in rounds:
         member = fitted(split_groups(members, tree).checkpoint())
-        more = fitted(open_pairs(picked(member) if few else member, nodes, percent).checkpoint())
+        if turn == "pivots":
+            more = pivot_pairs(picked(member), nodes, percent).withColumn("cut", F.lit(True))
+        else:
+            more = open_pairs(member, nodes, percent, turn)
+        more = fitted(more.checkpoint())
         if not more.isEmpty():
-            links = verified(docs, plan.chunks, nodes, more, width, percent)
-            tree = roots(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links)).checkpoint()
-            tree = fitted(tree)
+            links = verified(docs, plan.chunks, nodes, more.select("a", "b"), width, percent)
+            tree = fitted(roots(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links)).checkpoint())
+        if turn != "pivots" and more.where("cut").isEmpty():
+            break  # all open pairs have been looked at
     joined = table.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return joined.join(least, "root", "left").select(
