@@ -2,20 +2,22 @@
 
 A text is the mean of the embeddings of its byte 2-, 3- and 4-grams (ASCII letters lower-cased, other
 ASCII made spaces, each n-gram hashed to a table row), followed by a linear softmax. Embeddings and
-softmax are trained together by stochastic gradient descent in numpy on a bounded sample of labelled
-documents: at most about ``SAMPLE_DOCS`` of up to ``SAMPLE_CHARS`` characters, shared evenly by the
-languages, each whole text cut into snippets. A fifth of the sample is held back: it sets the
-temperature that calibrates the probabilities, and the level under which a prediction is rejected (the
-one that ``REJECT`` of its correctly labelled snippets fall under, 0.4 at most).
+softmax are trained together by stochastic gradient descent in numpy, in one task, on a bounded sample of
+labelled documents: about ``SAMPLE_DOCS`` of up to ``SAMPLE_CHARS`` characters and ``SAMPLE_BYTES`` in all at
+most, shared evenly by the (``MOST_LANGS`` most frequent) languages, each whole text cut into snippets. A fifth
+of the sample is held back: it sets the temperature that calibrates the probabilities, and the level under which
+a prediction is rejected (the one that ``REJECT`` of its correctly labelled snippets fall under, 0.4 at most).
+Only the fitted tables, of a fixed size for each language, come to the driver, from where they are broadcast.
 
 Every text is scored whole. Defined results: a null text or one without a letter is ``und`` with score
 0 and rejected; with nothing to learn from, all texts are ``und``; a null doc_id counts as empty text in
 crc32; of equally likely languages the first by name; repeated rows give one row each; other columns are
-not read.
+kept, but for columns named lang_pred, score or rejected, whose values are replaced.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,7 +29,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .chunks import pieces, text_buffer
 
-SAMPLE_DOCS, SAMPLE_CHARS, REJECT = 4_000, 100_000, 0.001
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES, MOST_LANGS, REJECT = 4_000, 100_000, 48 << 20, 1_000, 0.001
 ROWS, DIM, GRAMS = 1 << 16, 8, (2, 3, 4)
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
@@ -132,19 +134,16 @@ def train(texts: list[str], labels: list[str], steps: int = 1500, batch: int = 6
     return Model(languages, tables, w, b, t, float(min(0.4, np.quantile(right, REJECT))) if len(right) else 0.0)
 
 
-def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
-    """Texts and languages of about ``sample_docs`` labelled rows, chosen by a hash, evenly by language."""
+def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame | None:
+    """(text, lang, rank) of about ``sample_docs`` labelled rows of ``sample_bytes`` at most, chosen by a hash, evenly by
+    language; None where no row is labelled."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars))
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
     if not counts:
-        return [], []
-    each = max(1, sample_docs // len(counts))
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(share)
+        return None
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, max(1, sample_docs // len(counts)) / r["n"], sample_bytes / len(counts) / max(1, r["bytes"])))))
     rank = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", F.length("text")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rows = labelled.where(rank < share).select("text", "lang", rank.alias("rank")).toArrow().sort_by([("rank", "ascending"), ("text", "ascending")])
-    return rows["text"].to_pylist(), rows["lang"].to_pylist()
+    return labelled.where(rank < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("text", "lang", rank.alias("rank"))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -175,9 +174,18 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def fit(docs: DataFrame, **bounds) -> Model | None:
-    """A model of the labelled documents; None where none is labelled."""
-    texts, labels = sample(docs, **bounds)
-    return train(texts, labels) if texts else None
+    """A model of the labelled documents; None where none is labelled. The bounded sample is learned from in one task."""
+    chosen = sample(docs, **bounds)
+    if chosen is None:
+        return None
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("rank", "ascending"), ("text", "ascending"), ("lang", "ascending")])
+        model = train(table["text"].to_pylist(), table["lang"].to_pylist())
+        return pa.table({"model": pa.array([pickle.dumps(model._asdict())], pa.binary())})
+
+    got = chosen.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "model binary").first()
+    return Model(**pickle.loads(got["model"])) if got else None
 
 
 def remainder(n: int):
