@@ -210,6 +210,28 @@ def unpack(masks, sizes) -> np.ndarray:
     return np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=int(n)) for m, n in zip(masks, sizes, strict=True)]).astype(bool)
 
 
+def squeezed(array: np.ndarray) -> bytes:
+    """An array as compressed bytes."""
+    raw = np.ascontiguousarray(array)
+    return raw.nbytes.to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw.tobytes(), asbytes=True)
+
+
+def opened(blob: bytes, dtype) -> np.ndarray:
+    """The array that ``squeezed`` made."""
+    size = int.from_bytes(blob[:8], "little")
+    return np.frombuffer(pa.Codec("zstd").decompress(blob[8:], size, asbytes=True), dtype)
+
+
+def squeezed_sorted(values: np.ndarray) -> bytes:
+    """Ascending 64-bit values as compressed bytes: their differences, byte by byte of equal weight."""
+    return squeezed(np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T))
+
+
+def opened_sorted(blob: bytes) -> np.ndarray:
+    """The values that ``squeezed_sorted`` took."""
+    return np.cumsum(np.ascontiguousarray(opened(blob, np.uint8).reshape(8, -1).T).view(np.uint64)[:, 0], dtype=np.uint64)
+
+
 def answers(table: pa.Table, kind: int | None = None) -> dict[int, bytes]:
     """The answers that a chunk got, by bucket."""
     if kind is not None:

@@ -3,14 +3,17 @@
 P(word | word before) = P(class | class before) * P(word | class). Words of the training documents are
 counted over the whole corpus. Exchange clustering assigns every one of them to a class by its own contexts:
 
+0. documents are dealt into chunks and cut into words once: a chunk keeps its distinct words, the sequence of
+   their places and the bounds of its documents in one compressed body, and sends each distinct word with its
+   training count to the word's bucket. All that follows reads bodies, not texts;
 1. a first dealing: the most frequent ``TOP`` words are units of their own, all others are grouped by a
    hash of their last three bytes into ``GROUPS`` units, and the end of a text is a unit. Exchange
    clustering of the units on the driver (moving one unit at a time to the class that raises the
    class-bigram likelihood most) gives ``CLASSES`` classes, and each of them but that of the end is dealt
    into as many parts as the vocabulary asks for (``parts_for``: classes grow as its cube root);
-2. rounds over all words: chunks count the classes before and after each of their words and send these
-   counts to the word's bucket; with the table of class bigrams broadcast, each word of half the
-   vocabulary (by hash, in turn) goes to the class under which its contexts are most likely. Words of one
+2. rounds over all words: chunks count the classes before and after each of their words that may move and send
+   these counts to the word's bucket; with the table of class bigrams broadcast, each word of half the
+   vocabulary (every other one by hash, in turn) goes to the class under which its contexts are most likely. Words of one
    round move at once, each against the table without itself; a round that lowers the likelihood is undone.
 
 Only words that no training document has take the most frequent class of the words with their ending.
@@ -25,6 +28,7 @@ each returned; other columns are not read. Words are told apart by 64-bit hashes
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,29 +77,69 @@ def summed(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.
     return u, np.bincount(inverse, np.concatenate([b[1] for b in blocks]), len(u)).astype(np.int64), np.concatenate([b[2] for b in blocks])[one]
 
 
-def vocabulary(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, words, counts, groups): all training words of each bucket in order of hash."""
+ENCODED = "chunk int, bucket int, words binary, counts binary, groups binary, body binary"
+#: What a body holds: name and type of each array.
+BODY = {"group": np.int16, "order": np.int32, "low": np.uint8, "high": np.uint16, "sizes": np.int64, "train": np.bool_, "doc_id": np.int64}
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: list = []
-        for batch in batches:
-            data, off = C.text_buffer(batch.column(0))
-            train = np.ones(len(off) - 1)
-            for lo, hi in C.pieces(off, 4 << 20):
-                have.append(counted(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], train)[:3])
-                if len(have) > 8:
-                    have = [summed(have)]
-        if have:
-            u, n, g = summed(have)
-            at, bounds = C.deal(C.bucket_of(u, buckets), buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(C.blobs(x, bounds), pa.binary()) for x in (u, n, g))], ["bucket", "words", "counts", "groups"])
+
+def encoded(dealt: DataFrame, buckets: int) -> DataFrame:
+    """For each chunk its body (bucket -1), and for each bucket the chunk's distinct words with training counts and groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        chunk, train = table["chunk"][0].as_py(), table["train"].to_numpy()
+        u, counts, group, inverse, words = counted(*C.text_buffer(table["text"]), train.astype(float))
+        have, bounds = C.deal(C.bucket_of(u, buckets), buckets)
+        parts = [[C.squeezed_sorted(u[a:b]), C.squeezed(counts[a:b].astype(np.int32)), C.squeezed(group[a:b].astype(np.int16))] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        order = np.argsort(-np.bincount(inverse, minlength=len(u)), kind="stable")  # frequent words have small ranks, which are short when squeezed
+        rank = np.empty(len(u), np.int64)
+        rank[order] = np.arange(len(u))
+        rank = rank[inverse]
+        body = {"group": group, "order": order, "low": rank & 255, "high": rank >> 8, "sizes": words.counts, "train": train, "doc_id": table["doc_id"].to_numpy()}
+        body = b"".join(len(x).to_bytes(8, "little") + x for x in (C.squeezed(body[k].astype(t)) for k, t in BODY.items()))
+        cols = [pa.array([x[i] for x in parts] + [None], pa.binary()) for i in range(3)]
+        return pa.table([pa.array(np.full(len(have) + 1, chunk, np.int32)), pa.array(np.append(have, -1).astype(np.int32)), *cols, pa.array([None] * len(have) + [body], pa.binary())], ["chunk", "bucket", "words", "counts", "groups", "body"])
+
+    return dealt.groupBy("chunk").applyInArrow(run, ENCODED)
+
+
+def body_of(blob: bytes) -> dict[str, np.ndarray]:
+    """The arrays of a body."""
+    out, at = {}, 0
+    for k, t in BODY.items():
+        size = int.from_bytes(blob[at : at + 8], "little")
+        out[k] = C.opened(blob[at + 8 : at + 8 + size], t)
+        at += 8 + size
+    out["place"] = out.pop("order")[out.pop("low").astype(np.int64) + (out.pop("high").astype(np.int64) << 8)]
+    return out
+
+
+def laid_out(parts: DataFrame, chunks: int) -> DataFrame:
+    """``parts`` as a table in the shared folder that is bucketed by chunk: what follows joins a chunk's words to its body
+    in every round without moving bodies again."""
+    spark, name = parts.sparkSession, f"class_lm_{uuid.uuid4().hex}"
+    parts.write.bucketBy(min(chunks, 4096), "chunk").option("path", f"{checkpoint_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def vocabulary(asked: DataFrame) -> DataFrame:
+    """All training words of each bucket in order of hash (chunk -1: words, counts, groups), and for each block of words
+    that a chunk asked about their places among them, the number of them where unknown (chunk, place)."""
 
     def of_bucket(table: pa.Table) -> pa.Table:
-        u, n, g = summed(list(zip(C.arrays(table["words"], np.uint64), C.arrays(table["counts"], np.int64), C.arrays(table["groups"], np.int64), strict=True)))
-        return pa.table({"bucket": table["bucket"].slice(0, 1), "words": pa.array([u.tobytes()]), "counts": pa.array([n.tobytes()]), "groups": pa.array([g.tobytes()])})
+        blocks = [C.opened_sorted(x) for x in table["words"].to_pylist()]
+        opened = lambda c, t: [C.opened(x, t) for x in table[c].to_pylist()]
+        u, n, g = summed(list(zip(blocks, opened("counts", np.int32), opened("groups", np.int16), strict=True)))
+        u, n, g = u[n > 0], n[n > 0], g[n > 0].astype(np.int64)
+        places = []
+        for x in blocks:
+            at = np.searchsorted(u, x)
+            at[np.append(u, np.uint64(0))[at] != x] = len(u)
+            places.append(C.squeezed(np.diff(at, prepend=0).astype(np.int32)))
+        none = [None] * len(blocks)
+        of_words = {k: pa.array([x.tobytes(), *none], pa.binary()) for k, x in (("words", u), ("counts", n), ("groups", g))}
+        return pa.table({"chunk": pa.array([-1, *table["chunk"].to_pylist()], pa.int32()), "bucket": pa.array([table["bucket"][0].as_py()] * (1 + len(blocks)), pa.int32()), **of_words, "place": pa.array([None, *places], pa.binary())})
 
-    schema = "bucket int, words binary, counts binary, groups binary"
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(local, schema).groupBy("bucket").applyInArrow(of_bucket, schema)
+    return asked.groupBy("bucket").applyInArrow(of_bucket, "chunk int, bucket int, words binary, counts binary, groups binary, place binary")
 
 
 def by_row(table: DataFrame, schema: str, made) -> DataFrame:
@@ -118,29 +162,23 @@ def most_frequent(row: dict) -> dict:
     return {"kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(best), GROUPS])), "key": pa.array(np.append(u[best].view(np.int64), np.arange(GROUPS))), "n": pa.array(np.append(n[best], tokens)), "v": pa.array(np.append(g[best], distinct))}
 
 
-def unit_bigrams(docs: DataFrame, top: np.ndarray) -> DataFrame:
-    """(pair, n): counts of neighbouring units, pair = first * UNITS + second."""
+def unit_bigrams(bodies: DataFrame, asked: DataFrame, known: DataFrame, top: np.ndarray) -> np.ndarray:
+    """Counts of neighbouring units in training texts, first by second; the end comes last."""
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(UNITS * UNITS, np.int64)
-        for batch in batches:
-            data, off = C.text_buffer(batch.column(0))
-            for lo, hi in C.pieces(off, 4 << 20):
-                part, at = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                u, _, g, inverse, words = counted(part, at, np.ones(hi - lo))
-                row = padded(units_of(u, g, top)[inverse], words)
-                total += np.bincount(row[:-1] * UNITS + row[1:], minlength=UNITS * UNITS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
-
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(local, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-def padded(units: np.ndarray, words: C.Words) -> np.ndarray:
-    """One row of units for all texts: an end before the first text and after each."""
-    docs = len(words.first) - 1
-    out = np.full(len(units) + docs + 1, END, np.int64)
-    out[np.arange(len(units)) + words.doc + 1] = units
+    def units(row: dict) -> dict:
+        u = np.frombuffer(row["words"], np.uint64)
+        unit = 1 + units_of(u, np.frombuffer(row["groups"], np.int64), top)
+        return {"bucket": pa.array([row["bucket"]], pa.int32()), "counts": pa.array([row["counts"]]), "cls": pa.array([unit.astype(np.int32).tobytes()])}
+
+    counted = class_table(contexts(bodies, asked, by_row(known, STATE, units), UNITS, None), UNITS)
+    last = np.roll(np.arange(UNITS), -1)
+    return counted[np.ix_(last, last)]
+
+
+def padded(units: np.ndarray, sizes: np.ndarray, end: int = END) -> np.ndarray:
+    """One row of units for all texts of ``sizes`` words: an end before the first text and after each."""
+    out = np.full(len(units) + len(sizes) + 1, end, np.int64)
+    out[np.arange(len(units)) + np.repeat(np.arange(len(sizes)), sizes) + 1] = units
     return out
 
 
@@ -193,86 +231,91 @@ def parts_for(words: int) -> int:
     return max(1, round(1.5 * words ** (1 / 3) / (CLASSES - 1)))
 
 
-STATE = "bucket int, words binary, counts binary, cls binary"
-PLACED = "chunk int, bucket int, counts binary, cls binary, place binary"
+STATE = "bucket int, counts binary, cls binary"
 
 
-def placed(asked: DataFrame, state: DataFrame) -> DataFrame:
-    """For each block of words: counts, classes (-1 where unknown) and places in the bucket."""
+def looked_up(asked: DataFrame, state: DataFrame) -> DataFrame:
+    """(chunk, bucket, place, counts, cls): for each block of places also counts (0 where unknown) and classes (-1)."""
 
     def find(table: pa.Table, have: pa.Table) -> pa.Table:
-        u = np.frombuffer(have["words"][0].as_py(), np.uint64) if len(have) else np.zeros(0, np.uint64)
         n = np.append(np.frombuffer(have["counts"][0].as_py(), np.int64) if len(have) else np.zeros(0, np.int64), 0)
         cls = np.append(np.frombuffer(have["cls"][0].as_py(), np.int32) if len(have) else np.zeros(0, np.int32), -1)
-        out: list = []
-        for x in C.arrays(table["words"], np.uint64):
-            at = np.searchsorted(u, x)
-            at[np.append(u, np.uint64(0))[at] != x] = len(u)
-            out.append((n[at].tobytes(), cls[at].astype(np.int32).tobytes(), at.astype(np.int32).tobytes()))
-        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], **{k: pa.array([x[i] for x in out], pa.binary()) for i, k in enumerate(("counts", "cls", "place"))}})
+        at = [np.cumsum(C.opened(x, np.int32)) for x in table["place"].to_pylist()]
+        return pa.table({**{k: table[k] for k in ("chunk", "bucket", "place")}, "counts": pa.array([C.squeezed(n[x]) for x in at], pa.binary()), "cls": pa.array([C.squeezed(cls[x].astype(np.int32)) for x in at], pa.binary())})
 
-    return asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(find, PLACED)
+    return asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(find, "chunk int, bucket int, place binary, counts binary, cls binary")
 
 
-def of_chunk(given: pa.Table, column: str, dtype) -> np.ndarray:
+def of_chunk(given: pa.Table, column: str, dtype) -> list[np.ndarray]:
     """What the buckets answered about a chunk's distinct words, in their order."""
     got = dict(zip(given["bucket"].to_pylist(), given[column].to_pylist(), strict=True))
-    return np.concatenate([np.frombuffer(got[b], dtype) for b in sorted(got)]) if got else np.zeros(0, dtype)
+    return [C.opened(got[b], dtype) for b in sorted(got)]
+
+
+def joined(parts: list[np.ndarray], dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *parts])
 
 
-def contexts(dealt: DataFrame, asked: DataFrame, state: DataFrame, classes: int) -> DataFrame:
-    """``state`` with the contexts of each bucket's words: place of the word, context (class after it, or ``classes`` +
-    class before it) and count; and the bucket's share of the class bigrams (pair, pair_n)."""
+GATHERED = "bucket int, place binary, context binary, n binary"
+
+
+def contexts(bodies: DataFrame, asked: DataFrame, state: DataFrame, classes: int, turn: int | None) -> DataFrame:
+    """What a round needs of each chunk: for each bucket the contexts of its words that may move in this ``turn`` (every
+    other one; none without a turn): place of the word, context (class after it, or ``classes`` + class before it) and
+    count; and in bucket -1 the chunk's class bigrams (context: the pair)."""
 
     def count(table: pa.Table, given: pa.Table) -> pa.Table:
-        train = table["train"].to_numpy()
-        u, _, _, inverse, words = counted(*C.text_buffer(table["text"]), train.astype(float))
-        cls, place = of_chunk(given, "cls", np.int32).astype(np.int64), of_chunk(given, "place", np.int32)
-        word = np.full(len(inverse) + len(train) + 1, -1, np.int64)
-        word[np.arange(len(inverse)) + words.doc + 1] = inverse
+        body = body_of(table["body"][0].as_py())
+        train, inverse, doc_words = body["train"], body["place"], body["sizes"]
+        blocks = of_chunk(given, "cls", np.int32)
+        cls, place = joined(blocks, np.int32).astype(np.int64), joined([np.cumsum(x) for x in of_chunk(given, "place", np.int32)], np.int64)
+        word = padded(inverse, doc_words, -1)
         side = np.where(word < 0, 0, np.append(cls, 0)[word])
-        keep = np.repeat(train, words.counts + 1)
+        keep = np.repeat(train, doc_words + 1)
         left, right, before, after = word[:-1][keep], word[1:][keep], side[:-1][keep], side[1:][keep]
-        a, b = left >= 0, right >= 0
-        # a word's own bigrams: those of the first word of a training text follow an end
-        key, n = np.unique(np.append(left[a] * (2 * classes) + after[a], right[b] * (2 * classes) + classes + before[b]), return_counts=True)
-        w = key // (2 * classes)
-        buckets = given["bucket"].to_pylist()
-        sizes = dict(zip(buckets, (len(x) // 4 for x in given["cls"].to_pylist()), strict=True))
-        order = sorted(sizes)
-        bounds = np.searchsorted(w, np.cumsum([0, *(sizes[k] for k in order)]))
-        parts = {"place": place[w], "context": (key % (2 * classes)).astype(np.int32), "n": n.astype(np.int32)}
-        return pa.table({"bucket": pa.array(order, pa.int32()), **{k: pa.array(C.blobs(x, bounds), pa.binary()) for k, x in parts.items()}})
-
-    def merge(table: pa.Table, have: pa.Table) -> pa.Table:
-        if not len(have):
-            return pa.table({k: pa.array([], t) for k, t in types.items()})
-        join = lambda k: np.concatenate([np.zeros(0, np.int32), *C.arrays(table[k], np.int32)]).astype(np.int64)
-        key, inverse = np.unique(join("place") * (2 * classes) + join("context"), return_inverse=True)
-        n = np.bincount(inverse, join("n"), len(key)).astype(np.int64)
-        cls = np.frombuffer(have["cls"][0].as_py(), np.int32).astype(np.int64)
-        place, context = key // (2 * classes), key % (2 * classes)
-        pair = np.where(context < classes, cls[place] * classes + context, cls[place])
-        some = (context < classes) | (context == classes)  # every bigram once: by its first word, or after an end by its second
-        pair, at = np.unique(pair[some], return_inverse=True)
-        out = {"place": place.astype(np.int32), "context": context.astype(np.int32), "n": n, "pair": pair, "pair_n": np.bincount(at, n[some], len(pair)).astype(np.int64)}
-        return pa.table({**{k: have[k] for k in ("bucket", "words", "counts", "cls")}, **{k: pa.array([x.tobytes()], pa.binary()) for k, x in out.items()}})
-
-    types = {"bucket": pa.int32(), **{k: pa.binary() for k in ("words", "counts", "cls", "place", "context", "n", "pair", "pair_n")}}
-    answers = placed(asked, state).select("chunk", "bucket", "cls", "place")
-    sent = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(count, "bucket int, place binary, context binary, n binary")
-    return sent.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(merge, STATE + ", place binary, context binary, n binary, pair binary, pair_n binary")
-
-
-def class_table(found: DataFrame, classes: int, texts: int) -> np.ndarray:
-    """Counts of class bigrams over all buckets; texts without words are bigrams of two ends."""
-    rows = by_row(found.select("pair", "pair_n"), "pair long, n long", lambda row: {"pair": np.frombuffer(row["pair"], np.int64), "n": np.frombuffer(row["pair_n"], np.int64)})
+        pair, pair_n = np.unique(before * classes + after, return_counts=True)
+        order, bounds, parts = [], np.zeros(1, np.int64), {"place": place[:0], "context": place[:0], "n": place[:0]}
+        if turn is not None:
+            may = np.append(place % 2 == turn % 2, False)  # the last: ends
+            a, b = may[left], may[right]
+            key, n = np.unique(np.append(left[a] * (2 * classes) + after[a], right[b] * (2 * classes) + classes + before[b]), return_counts=True)
+            w = key // (2 * classes)
+            order = sorted(given["bucket"].to_pylist())
+            bounds = np.searchsorted(w, np.cumsum([0, *map(len, blocks)]))
+            parts = {"place": place[w], "context": key % (2 * classes), "n": n}
+        cut = lambda k, x: (np.diff(x, prepend=0) if k == "place" else x).astype(np.int32)
+        more = {"place": np.zeros(0, np.int32), "context": pair.astype(np.int32), "n": pair_n.astype(np.int32)}
+        return pa.table({"bucket": pa.array([*order, -1], pa.int32()), **{k: pa.array([*(C.squeezed(cut(k, x[i:j])) for i, j in zip(bounds[:-1], bounds[1:], strict=True)), C.squeezed(more[k])], pa.binary()) for k, x in parts.items()}})
+
+    answers = looked_up(asked, state).select("chunk", "bucket", "cls", "place")
+    return bodies.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(count, GATHERED)
+
+
+def class_table(gathered: DataFrame, classes: int) -> np.ndarray:
+    """Counts of class bigrams over all chunks."""
+    rows = by_row(gathered.where("bucket < 0"), "pair long, n long", lambda row: {"pair": C.opened(row["context"], np.int32).astype(np.int64), "n": C.opened(row["n"], np.int32).astype(np.int64)})
     rows = rows.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     g = np.zeros(classes * classes, np.int64)
     g[rows["pair"].to_numpy(np.int64)] = rows["n"]
-    g = g.reshape(classes, classes)
-    g[0, 0] = texts - g[0].sum()
-    return g
+    return g.reshape(classes, classes)
+
+
+def after_moves(gathered: DataFrame, state: DataFrame, g: np.ndarray, turn: int) -> DataFrame:
+    """``state`` after the words of this turn have moved."""
+    width = 2 * len(g)
+
+    def move(table: pa.Table, have: pa.Table) -> pa.Table:
+        if not len(have):
+            return pa.table({"bucket": pa.array([], pa.int32()), "counts": pa.array([], pa.binary()), "cls": pa.array([], pa.binary())})
+        part = lambda k: [C.opened(x, np.int32) for x in table[k].to_pylist()]
+        place = joined([np.cumsum(x, dtype=np.int64) for x in part("place")], np.int64)
+        key, inverse = np.unique(place * width + joined(part("context"), np.int32), return_inverse=True)
+        n = np.bincount(inverse, joined(part("n"), np.int32), len(key)).astype(np.int64)
+        cls = np.frombuffer(have["cls"][0].as_py(), np.int32)
+        cls = moved(cls, np.arange(len(cls)) % 2 == turn % 2, key // width, key % width, n, g)
+        return pa.table({"bucket": have["bucket"], "counts": have["counts"], "cls": pa.array([cls.tobytes()], pa.binary())})
+
+    return gathered.where("bucket >= 0").groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(move, STATE)
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -318,18 +361,15 @@ def moved(cls: np.ndarray, may: np.ndarray, place: np.ndarray, context: np.ndarr
 class Model:
     """The fitted probabilities, in log10; ``state`` holds each word's class and count by bucket."""
 
-    def __init__(self, docs: DataFrame, buckets: int, dealt: DataFrame, asked: DataFrame, rounds: int = ROUNDS):
-        checkpoint_dir(docs.sparkSession)
-        known = vocabulary(docs, buckets).checkpoint()
+    def __init__(self, bodies: DataFrame, asked: DataFrame, texts: int, rounds: int = ROUNDS):
+        checkpoint_dir(bodies.sparkSession)
+        both = vocabulary(asked).checkpoint()
+        known, asked = both.where("chunk < 0").drop("chunk", "place"), both.where("chunk >= 0").select("chunk", "bucket", "place")
         stats = by_row(known, "kind int, key long, n long, v long", most_frequent).checkpoint()
         top = stats.where("kind = 0").orderBy(F.desc("n"), "key").limit(TOP).toPandas()
         by_group = stats.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()
-        texts = docs.count()
         top = np.sort(top["key"].to_numpy(np.int64).view(np.uint64))
-        pairs = unit_bigrams(docs, top).toPandas()
-        bigrams = np.zeros(UNITS * UNITS, np.int64)
-        bigrams[pairs["pair"].to_numpy(np.int64)] = pairs["n"]
-        unit_cls = exchange(bigrams.reshape(UNITS, UNITS))
+        unit_cls = exchange(unit_bigrams(bodies, asked, known, top))
         self.texts, self.tokens, self.distinct = texts, int(by_group["n"].sum()) + texts, int(by_group["v"].sum()) + int(texts > 0)
         parts = parts_for(self.distinct)
         classes = 1 + (CLASSES - 1) * parts
@@ -337,28 +377,21 @@ class Model:
         def first(row: dict) -> dict:
             u = np.frombuffer(row["words"], np.uint64)
             cls = unit_cls[units_of(u, np.frombuffer(row["groups"], np.int64), top)] + (CLASSES - 1) * (C.mix(u) % np.uint64(parts)).astype(np.int64)
-            return {"bucket": pa.array([row["bucket"]], pa.int32()), "words": pa.array([row["words"]]), "counts": pa.array([row["counts"]]), "cls": pa.array([cls.astype(np.int32).tobytes()])}
+            return {"bucket": pa.array([row["bucket"]], pa.int32()), "counts": pa.array([row["counts"]]), "cls": pa.array([cls.astype(np.int32).tobytes()])}
 
         self.likelihoods: list[float] = []
-        state, best = by_row(known, STATE, first), None
+        state, best = by_row(known, STATE, first).checkpoint(), None
         for k in range(rounds + 1):
-            found = contexts(dealt, asked, state, classes).checkpoint()
-            g = class_table(found, classes, texts)
+            gathered = contexts(bodies, asked, state, classes, k if k < rounds else None).checkpoint()
+            g = class_table(gathered, classes)
             self.likelihoods.append(likelihood(g))
             if best and self.likelihoods[-1] <= likelihood(best[1]):
                 break
-            best = found.select("bucket", "words", "counts", "cls"), g
-            if k == rounds:
-                break
-
-            def move(row: dict, g=g, k=k) -> dict:
-                part = [np.frombuffer(row[x], t) for x, t in (("place", np.int32), ("context", np.int32), ("n", np.int64))]
-                may = (C.mix(np.frombuffer(row["words"], np.uint64)) >> np.uint64(60)) % np.uint64(2) == k % 2
-                cls = moved(np.frombuffer(row["cls"], np.int32), may, *(x.astype(np.int64) for x in part), g)
-                return {"bucket": pa.array([row["bucket"]], pa.int32()), "words": pa.array([row["words"]]), "counts": pa.array([row["counts"]]), "cls": pa.array([cls.tobytes()])}
-
-            state = by_row(found, STATE, move).checkpoint()
+            best = state, g
+            if k < rounds:
+                state = after_moves(gathered, state, g, k).checkpoint()
         self.state, pair = best
+        self.asked = asked
 
         def sizes(row: dict) -> dict:
             cls = np.frombuffer(row["cls"], np.int32)
@@ -384,7 +417,7 @@ class Model:
     def sent(self) -> Model:
         """What tasks need of it."""
         out = object.__new__(Model)
-        out.__dict__ = {k: v for k, v in self.__dict__.items() if k != "state"}
+        out.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("state", "asked")}
         return out
 
     def base(self, counts: np.ndarray) -> np.ndarray:
@@ -394,54 +427,48 @@ class Model:
 def score(docs: DataFrame, training) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document; ``training``:
     a Column that says which documents to learn from."""
-    plan = C.layout(docs)
+    plan = C.layout(docs, chunk_bytes=16 << 20, least_chunks=32)
     n = plan.buckets
     checkpoint_dir(docs.sparkSession)
     dealt = C.with_chunks(docs, plan.chunks, train=training)
 
-    def ask(table: pa.Table) -> pa.Table:
-        u = np.unique(C.words_of(*C.text_buffer(table["text"]), lower=True).hash)
-        have, bounds = C.deal(C.bucket_of(u, n), n)
-        return pa.table({"chunk": pa.array(np.full(len(have), table["chunk"][0].as_py(), np.int32)), "bucket": pa.array(have.astype(np.int32)), "words": pa.array(C.blobs(u, bounds), pa.binary())})
-
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk int, bucket int, words binary").checkpoint()
-    fitted = Model(docs.where(training), n, dealt, asked)
+    parts = laid_out(encoded(dealt, n), plan.chunks)
+    bodies = parts.where("bucket < 0").select("chunk", "body")
+    fitted = Model(bodies, parts.where("bucket >= 0"), docs.where(training).count())
     model = docs.sparkSession.sparkContext.broadcast(fitted.sent())
 
     def mark(table: pa.Table, given: pa.Table) -> pa.Table:
-        m = model.value
-        train = table["train"].to_numpy()
-        data, off = C.text_buffer(table["text"])
-        u, _, group, inverse, words = counted(data, off, train.astype(float))
-        counts, cls = of_chunk(given, "counts", np.int64), of_chunk(given, "cls", np.int32)
-        cls = np.where(cls < 0, m.of_ending[group], cls)
+        m, body = model.value, body_of(table["body"][0].as_py())
+        train, inverse, sizes = body["train"], body["place"], body["sizes"]
+        counts, cls = joined(of_chunk(given, "counts", np.int64), np.int64), joined(of_chunk(given, "cls", np.int32), np.int32)
+        cls = np.where(cls < 0, m.of_ending[body["group"]], cls)
         emit = np.log10((counts + ADD) / m.divisor[cls])
-        docs_n = len(off) - 1
-        row = padded(inverse, words)  # places of distinct words; ends are overwritten below
-        is_word = np.zeros(len(row), bool)
-        is_word[np.arange(len(inverse)) + words.doc + 1] = True
+        docs_n = len(sizes)
+        of = np.repeat(np.arange(docs_n), sizes)
+        row = padded(inverse, sizes, -1)
+        is_word = row >= 0
         classes = np.zeros(len(row), np.int64)
         classes[is_word] = cls[inverse]
         each = np.full(len(row), np.log10((m.texts + ADD) / m.divisor[0]))
         each[is_word] = emit[inverse]
         each = each[1:] + m.transition[classes[:-1], classes[1:]]
         doc = np.zeros(len(row), np.int64)
-        doc[is_word] = words.doc
-        doc[np.cumsum(words.counts + 1)] = np.arange(docs_n)
-        sums = lambda x: np.bincount(words.doc, x[inverse], docs_n)
+        doc[is_word] = of
+        doc[np.cumsum(sizes + 1)] = np.arange(docs_n)
+        sums = lambda x: np.bincount(of, x[inverse], docs_n)
         return pa.table({
-            "doc_id": table["doc_id"],
+            "doc_id": pa.array(body["doc_id"]),
             "held_out": pa.array(~train),
-            "n_tokens": pa.array(words.counts.astype(np.int64) + 1),
+            "n_tokens": pa.array(sizes + 1),
             "n_known": pa.array((sums((counts > 0).astype(float)) + (m.texts > 0)).astype(np.int64)),
             "train_tokens": pa.array(np.full(docs_n, m.tokens, np.int64)),
             "base_score": pa.array(sums(m.base(counts)) + float(m.base(np.array(m.texts)))),
             "score": pa.array(np.bincount(doc[1:], each, docs_n)),
         })
 
-    answers = placed(asked, fitted.state).select("chunk", "bucket", "counts", "cls")
+    answers = looked_up(fitted.asked, fitted.state).select("chunk", "bucket", "counts", "cls")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(mark, schema).withColumn("doc_id", C.plain_id())
+    return bodies.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(mark, schema).withColumn("doc_id", C.plain_id())
 
 
 def op7_class_lm(spark, sf_dir: str) -> DataFrame:
