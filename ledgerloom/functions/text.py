@@ -15,6 +15,10 @@ GLUED_SUFFIXES = "INCORPORATED CORPORATION COMPANY LIMITED LLLP LLC LLP CORP LTD
 SPACED_SUFFIXES = "LLLP LLC LLP PSC CSP PC SC SE".split()
 # Phrases after which a name is cut.
 CUT_AFTER = (r"\bA\s+DIVISION\s+OF\b.*$", r"\bDIVISION\s+OF\b.*$", r"\bD\s*B\s*A\b.*$", r"\bA\s*K\s*A\b.*$", r"\bH\s*N\s*C\b.*$")
+# Fixed value: a title before a name.
+LEADING_TITLE = r"^(?:ING|INGENIERO)\b\s*"
+# The characters of the coarse key that become spaces.
+COARSE_BLANKS = "\x00.,;:()/-"
 # Families that are known under another name.
 OVERRIDES = {
     "AUTORIDADF FINANCIAMIENTO INFRAESTRU": "AUTORIDAD FINANCIAMIENTO INFRAESTRUCTURA PUERTO RICO",
@@ -69,6 +73,19 @@ def without_code(c: Column) -> Column:
     return F.coalesce(name, cleaned)
 
 
+def split_entity(c: Column) -> Column:
+    """(code, name) of a ``code | name`` entity; without a bar all of it is the name."""
+    part = lambda p, k: F.nullif(strip(F.regexp_extract(c, p, k)), F.lit(""))
+    bar = F.contains(c, F.lit("|"))
+    code, name = F.when(bar, part(r"(?s)^([^|]*)\|(.*)$", 1)), F.when(bar, part(r"(?s)^([^|]*)\|(.*)$", 2)).otherwise(F.nullif(strip(c), F.lit("")))
+    return F.struct(code.alias("code"), name.alias("name"))
+
+
+def fold_entity(c: Column) -> Column:
+    """An entity for look-ups, without its code."""
+    return fold(without_code(c))
+
+
 def fold(c: Column) -> Column:
     """For look-ups: no accents, spaces collapsed, upper case; null is empty."""
     spaced = F.regexp_replace(F.replace(no_accents(F.coalesce(c, F.lit(""))), F.lit("\x00"), F.lit(" ")), r"(?U)\s+", " ")
@@ -94,12 +111,45 @@ def contractor_family(c: Column) -> Column:
     x = F.trim(F.regexp_replace(F.regexp_replace(x, r"\bP\s*R\b", "PUERTO RICO"), r"\s+", " "))
     for p in CUT_AFTER:
         x = F.trim(F.regexp_replace(x, p, ""))
-    x = F.trim(F.regexp_replace(x, r"^(?:ING|INGENIERO)\b\s*", ""))
+    x = F.trim(F.regexp_replace(x, LEADING_TITLE, ""))
     family = F.array_join(F.filter(F.split(x, " "), lambda w: (w != "") & ~w.isin(STOP_WORDS)), " ")
     known = F.create_map(*(F.lit(v) for kv in OVERRIDES.items() for v in kv))
     return F.coalesce(F.try_element_at(known, family), family)
 
 
+def coarse_family(c: Column) -> Column:
+    """A plain key of a contractor's name for engines without the full one: punctuation to spaces, upper case, and
+    double spaces made single three times over."""
+    x = F.upper(F.translate(F.coalesce(c, F.lit("")), COARSE_BLANKS, " " * len(COARSE_BLANKS)))
+    for _ in range(3):
+        x = F.replace(x, F.lit("  "), F.lit(" "))
+    return F.trim(x)
+
+
+def family_spark_sql(c: str) -> str:
+    """``contractor_family`` of an SQL expression, as Spark SQL."""
+    a, b = _accents()
+    lit = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    cut = lambda x, p, r="": f"regexp_replace({x}, {lit(p)}, {lit(r)})"
+    x = f"upper({cut(cut(f'translate(coalesce({c}, {lit(chr(32) * 0)}), {lit(a)}, {lit(b)})', chr(92) + 'p{Mn}'), '[' + chr(92) + 'x00.,;:()/' + chr(92) + '-&]', ' ')})"
+    for s in SPACED_SUFFIXES:
+        x = cut(x, r"\b" + r"\s+".join(s) + r"\b", s)
+    for s in GLUED_SUFFIXES:
+        x = cut(x, rf"(?<=[A-Z0-9]){s}\b", f" {s}")
+    x = f"trim({cut(cut(x, r'\bP\s*R\b', 'PUERTO RICO'), r'\s+', ' ')})"
+    for p in CUT_AFTER:
+        x = f"trim({cut(x, p)})"
+    x = f"trim({cut(x, LEADING_TITLE)})"
+    x = f"array_join(filter(split({x}, ' '), w -> w <> '' AND NOT array_contains(array({', '.join(map(lit, STOP_WORDS))}), w)), ' ')"
+    known = "map(" + ", ".join(f"{lit(k)}, {lit(v)}" for k, v in OVERRIDES.items()) + ")"
+    return f"coalesce(try_element_at({known}, {x}), {x})"
+
+
+def register_functions(spark) -> None:
+    """The contractor family as an SQL function of the session: ``normalize_contractor_family(name)``."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION normalize_contractor_family(name STRING) RETURNS STRING RETURN {family_spark_sql('name')}")
+
+
 def family_sql(c: str) -> str:
     """The same in DuckDB SQL."""
     x = f"upper(regexp_replace(strip_accents(coalesce({c}, '')), '[\\x00.,;:()/\\-&]', ' ', 'g'))"

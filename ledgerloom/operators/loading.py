@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PUBLISHED = ["id", "contract_number", "entity", "entity_number", "contractor", "amendment", "service_category", "service_type", "amount", "amount_receivable", "award_date", "valid_from", "valid_to", "procurement_method", "fund_type", "cancelled", "fiscal_year", "source_type"]
+from ledgerloom.functions import parse, shown, text
+from ledgerloom.operators import dashboard
+from ledgerloom.session import checkpoint_dir
+
+# The published columns; those of exports and printed lists of families and of rows, in their order.
+PUBLISHED = ["id", "contract_number", "entity", "entity_number", "contractor", "amendment", "service_category", "service_type", "amount", "amount_receivable", "award_date", "valid_from", "valid_to", "procurement_method", "fund_type", "pco_number", "cancelled", "document_url", "fiscal_year", "source_type", "source_url", "source_contract_id"]
+SUMMARY = ["contract_number", "contractor", "entity", "amount", "award_date", "valid_from", "valid_to", "service_category", "service_type", "fiscal_year", "family_size", "family_total_amount", "procurement_method", "fund_type"]
+DETAILED = ["contract_number", "amendment", "contractor", "entity", "entity_number", "amount", "amount_receivable", "award_date", "valid_from", "valid_to", "service_category", "service_type", "fiscal_year", "procurement_method", "fund_type", "pco_number", "cancelled", "document_url", "source_type", "source_contract_id", "source_url"]
+PRINTED_SUMMARY = ["contract_number", "contractor", "entity", "amount", "award_date", "valid_from", "valid_to", "service_category"]
+PRINTED_DETAILED = ["contract_number", "amendment", "contractor", "entity", "amount", "award_date", "valid_from", "valid_to", "service_type", "source_type", "source_contract_id", "source_url"]
+# Most rows of an export, and of printed lists of families and of rows.
+EXPORT_CAP, PRINT_CAPS = 100_000, {"summary": 250, "detailed": 100}
+# The first year of exports; years known only from an archive, and known to be absent.
+FIRST_YEAR, ARCHIVE_ONLY, ABSENT = 2010, ("2010-2011", "2011-2012"), ("2023-2024",)
+#: Columns that older tables and the given tables lack.
+OPTIONAL = ("pco_number", "document_url", "source_url", "source_contract_id")
 
 
 def first_wins(rows: DataFrame, order=("source_rank", "file", "pos")) -> DataFrame:
@@ -18,23 +35,130 @@ def unseen(rows: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def load_log(rows: DataFrame, order=("source_rank", "file", "pos")) -> DataFrame:
-    """Per file: rows parsed, rows new, rows already there."""
-    marked = rows.withColumn("is_first", (F.row_number().over(Window.partitionBy("row_hash").orderBy(*order)) == 1).cast("int"))
-    return marked.groupBy("file").agg(F.count("*").alias("parsed"), F.sum("is_first").alias("new_rows")).withColumn("duplicates", F.col("parsed") - F.col("new_rows"))
+    """Per file: rows parsed, rows new, rows already there. The first file of each hash is found by aggregation."""
+    new = rows.groupBy("row_hash").agg(F.min_by("file", F.struct(*order)).alias("file")).groupBy("file").agg(F.count("*").alias("new_rows"))
+    got = rows.groupBy("file").agg(F.count("*").alias("parsed")).join(new, "file", "left")
+    return got.select("file", "parsed", F.coalesce("new_rows", F.lit(0)).alias("new_rows")).withColumn("duplicates", F.col("parsed") - F.col("new_rows"))
+
+
+def load_ids(rows: DataFrame, order=("source_rank", "file", "pos"), parts: int | None = None) -> DataFrame:
+    """Rows numbered from 1 in load order: sorted by range, counted by partition, numbered inside each. The counts come
+    to the driver, one for each partition."""
+    checkpoint_dir(rows.sparkSession)
+    ranged = rows.repartitionByRange(*([parts] if parts else []), *order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("n"))
+    before = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("before"))  # a row for each partition
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.join(F.broadcast(before), "__part").withColumn("id", F.col("before") + place).drop("__part", "before")
+
+
+def calendar(spark, last: int, first: int = FIRST_YEAR) -> DataFrame:
+    """Fiscal years from the first to the one that starts in ``last``, with flags for years that only an archive has and
+    for years known to be absent."""
+    year = parse.fiscal_year_of(F.col("id"))
+    return spark.range(first, last + 1).select(year.alias("fiscal_year"), year.isin(*ARCHIVE_ONLY).alias("archive_only"), year.isin(*ABSENT).alias("known_absent"))
 
 
 def year_gaps(rows: DataFrame, first: int, last: int) -> DataFrame:
     """Fiscal years from ``first`` to ``last`` that the table lacks."""
-    years = rows.sparkSession.range(first, last + 1).select(F.concat(F.col("id").cast("string"), F.lit("-"), (F.col("id") + 1).cast("string")).alias("fiscal_year"))
-    return years.join(rows.select("fiscal_year").distinct(), "fiscal_year", "left_anti")
+    return calendar(rows.sparkSession, last, first).select("fiscal_year").join(rows.select("fiscal_year").distinct(), "fiscal_year", "left_anti")
+
+
+def refresh_years(held: DataFrame, last: int) -> DataFrame:
+    """Years to fetch again: from the newest held one that an archive does not alone provide, to the current one."""
+    newest = held.where(~F.col("fiscal_year").isin(*ARCHIVE_ONLY)).agg(F.max("fiscal_year").alias("since"))
+    return calendar(held.sparkSession, last).join(F.broadcast(newest)).where(F.col("since").isNull() | (F.col("fiscal_year") >= F.col("since"))).select("fiscal_year")  # one row
 
 
-def aligned(rows: DataFrame, empty: DataFrame) -> DataFrame:
-    """Rows with every column of ``empty``; a blank source type becomes csv."""
+def aligned(rows: DataFrame, empty: DataFrame, defaults: dict | None = None) -> DataFrame:
+    """Rows with every column of ``empty``; a column that the rows lack has its default, a blank source type is csv."""
     kind = F.when(F.trim(F.coalesce("source_type", F.lit(""))) == "", "csv").otherwise(F.col("source_type"))
-    return empty.unionByName(rows, allowMissingColumns=True).withColumn("source_type", kind)
+    given = {"source_type": "csv", "cancelled": 0} | (defaults or {})
+    lacking = {c: F.lit(v) for c, v in given.items() if c in empty.columns and c not in rows.columns}
+    return empty.unionByName(rows.withColumns(lacking), allowMissingColumns=True).withColumn("source_type", kind)
+
+
+def snapshot(rows: DataFrame) -> DataFrame:
+    """The published columns, text and dates normalised once more."""
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in OPTIONAL if c not in rows.columns})
+    kinds = dict(rows.dtypes)
+    plain = lambda c: F.nullif(text.strip(F.replace(F.col(c), F.lit("\x00"), F.lit(""))), F.lit("")).alias(c)
+    day = lambda c: (parse.date(F.col(c)) if kinds[c] == "string" else F.col(c)).alias(c)
+    return rows.select(*(day(c) if c in ("award_date", "valid_from", "valid_to") else plain(c) if kinds[c] == "string" else F.col(c) for c in PUBLISHED))
+
+
+def change_report(rows: DataFrame) -> DataFrame:
+    """The rows that normalising would change: id, and the dates and the amendment before (as stored text) and after."""
+    names = ("award_date", "valid_from", "valid_to", "amendment")
+    after = {c: parse.date(F.col(c)).cast("string") for c in names[:3]} | {"amendment": F.nullif(text.strip(F.replace(F.col("amendment"), F.lit("\x00"), F.lit(""))), F.lit(""))}
+    both = rows.select("id", *(F.col(c).alias(f"{c}_before") for c in names), *(after[c].alias(f"{c}_after") for c in names))
+    return both.where(reduce(lambda a, b: a | b, (~F.col(f"{c}_before").eqNullSafe(F.col(f"{c}_after")) for c in names)))
+
+
+def rewritten(rows: DataFrame) -> DataFrame:
+    """The rows with dates and amendment normalised."""
+    return rows.withColumns({c: parse.date(F.col(c)).cast("string") for c in ("award_date", "valid_from", "valid_to")} | {"amendment": F.nullif(text.strip(F.replace(F.col("amendment"), F.lit("\x00"), F.lit(""))), F.lit(""))})
 
 
 def publish(rows: DataFrame, path: str) -> None:
-    """The published columns, one folder for each fiscal year."""
-    rows.select(*PUBLISHED).repartition("fiscal_year").sortWithinPartitions("award_date").write.mode("overwrite").partitionBy("fiscal_year").parquet(path)
+    """The snapshot, one folder for each fiscal year."""
+    snapshot(rows).repartition("fiscal_year").sortWithinPartitions("award_date").write.mode("overwrite").partitionBy("fiscal_year").parquet(path)
+
+
+def export(rows: DataFrame, mode: str = "summary", cap: int = EXPORT_CAP) -> DataFrame:
+    """All rows found, newest first, with the columns of their mode: ``summary`` takes families as pages show them,
+    ``detailed`` contract rows. None, or more than ``cap``, are refused."""
+    n = rows.limit(cap + 1).count()
+    if not 0 < n <= cap:
+        raise ValueError("nothing to export" if not n else f"more than {cap} rows to export: narrow the search")
+    return exported(rows, mode)
+
+
+def exported(rows: DataFrame, mode: str = "summary") -> DataFrame:
+    """The columns of an export in their order, newest first."""
+    detailed = mode == "detailed"
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in OPTIONAL if c not in rows.columns})
+    return rows.orderBy(F.desc_nulls_last("award_date"), F.desc("id") if detailed else F.asc("id")).select(*(DETAILED if detailed else SUMMARY))
+
+
+def printed(rows: DataFrame, mode: str = "summary") -> DataFrame:
+    """A printed list: fewer columns, money and dates as people read them, and refused beyond its cap."""
+    return export(rows, mode, PRINT_CAPS[mode]).transform(lambda df: for_print(df, mode))
+
+
+def for_print(rows: DataFrame, mode: str) -> DataFrame:
+    """The columns of a printed list, formatted."""
+    form = {"amount": shown.money_text(F.col("amount"))} | {c: shown.long_date(F.col(c).cast("string")) for c in ("award_date", "valid_from", "valid_to")}
+    return rows.select(*(form[c].alias(c) if c in form else c for c in (PRINTED_DETAILED if mode == "detailed" else PRINTED_SUMMARY)))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """An export as CSV with quotes doubled."""
+    rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+def manifest(rows: DataFrame, board: DataFrame, targets: DataFrame, archived: DataFrame) -> DataFrame:
+    """One row: statistics, dashboard (top contractors and entities, years) and publishable targets, as JSON. Lists hold a
+    few rows, but for the targets, which the document lists in full as its readers expect."""
+    stats = rows.agg(F.count("*").alias("row_count"), parse.money(F.col("amount")).alias("total_amount"), F.array_sort(F.collect_set("fiscal_year")).alias("fiscal_years"))
+    listed = lambda df, order, name: df.agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in df.columns if c not in order)))).alias(name))
+    top = dashboard.top_contractors(board).withColumn("rank", -F.col("money"))
+    entities = dashboard.top_entities(board).withColumn("rank", -F.col("money"))
+    parts = [listed(top, ["rank", "family"], "top_contractors"), listed(entities, ["rank", "entity"], "top_entities"), listed(dashboard.by_year(board), ["fiscal_year"], "yearly_spending"), listed(targets, ["contract_number", "entity"], "recovery_targets"), archived.agg(F.array_sort(F.collect_set("fiscal_year")).alias("archived_csv_fiscal_years"))]
+    for part in parts:
+        stats = stats.join(F.broadcast(part))  # one row each
+    board_part = F.struct("top_contractors", "top_entities", "yearly_spending").alias("dashboard")
+    return stats.select(F.to_json(F.struct("row_count", "total_amount", "fiscal_years", "archived_csv_fiscal_years", board_part, "recovery_targets")).alias("manifest"))
+
+
+def digest(new: DataFrame, most: int = 50) -> DataFrame:
+    """What a message about new rows lists: the first ``most`` by id with amounts as text, and how many more there are."""
+    more = new.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more"))
+    amount = F.when(F.coalesce("amount", F.lit(0.0)) == 0, "N/A").otherwise(shown.money_text(F.col("amount")))
+    return new.orderBy("id").limit(most).join(F.broadcast(more)).select("id", "entity", "contractor", amount.alias("amount_text"), "award_date", "contract_number", "more")
+
+
+def since(rows: DataFrame, explicit: str | None = None, last_success: str | None = None, today: str | None = None, days: int = 7) -> DataFrame:
+    """Rows awarded on or after the cursor: the date given, else the last success, else ``days`` before today."""
+    start = F.lit(explicit or last_success).cast("date") if explicit or last_success else F.date_sub(F.lit(today).cast("date") if today else F.current_date(), days)
+    return rows.where(F.col("award_date") >= start)

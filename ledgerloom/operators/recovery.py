@@ -2,28 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import fold, is_original
+from ledgerloom.functions import parse
+from ledgerloom.functions.text import contractor_family, fold, fold_entity, is_original
+from ledgerloom.sources.contracts import TARGET
 
+# The ways of looking a target up, and its states.
 MODES, STATUSES = ("manual_url", "auto_discover"), ("pending", "recovered", "unrecoverable", "ambiguous")
 
 
+def recovery_batch() -> Column:
+    """The first of the fiscal year and the years of the three dates that is known."""
+    years = [parse.fiscal_year(F.col(c)) for c in ("award_date", "valid_from", "valid_to")]
+    return F.coalesce(F.nullif(F.trim("fiscal_year"), F.lit("")), *years)
+
+
+def scan_order() -> Column:
+    """Rows by their first known date, then those with only a batch by its year, then all others; by id in each."""
+    day = F.coalesce("award_date", "valid_from", "valid_to")
+    start = parse.fiscal_year_start(recovery_batch())
+    level = F.when(day.isNotNull(), 0).when(start.isNotNull(), 1).otherwise(2)
+    return F.struct(level.alias("level"), F.coalesce(F.unix_date(day), start, F.lit(0)).alias("k"), F.col("id"))
+
+
 def family_scan(rows: DataFrame) -> DataFrame:
-    """Each family by folded keys: rows, whether it has an original, batch and contractor of its earliest row."""
-    at = F.struct(F.when(F.col("award_date").isNull(), 2).otherwise(0).alias("level"), F.col("award_date").alias("k"), F.col("id"))
-    known = rows.where("trim(contract_number) <> '' and trim(entity) <> ''")
+    """Each family by folded keys: rows, whether it has an original, batch and contractor of its earliest row. Rows
+    without number or entity are left out; a representative without batch takes the first batch by id."""
+    known = rows.where("trim(contract_number) <> '' and trim(entity) <> ''").withColumn("batch", recovery_batch())
     got = known.groupBy(fold(F.col("contract_number")).alias("number_key"), fold(F.col("entity")).alias("entity_key"), "family").agg(
         F.count("*").alias("row_count"), F.max(is_original(F.col("amendment")).cast("int")).alias("has_original"),
-        F.min_by(F.struct("contractor", "fiscal_year", "id"), at).alias("rep"),
+        F.min_by(F.struct("contractor", "batch", "id"), scan_order()).alias("rep"),
+        F.min_by("batch", F.when(F.col("batch").isNotNull(), F.col("id"))).alias("any_batch"),
     )
-    return got.select("number_key", "entity_key", "family", "row_count", "has_original", F.col("rep.contractor").alias("contractor"), F.col("rep.fiscal_year").alias("recovery_batch"), F.col("rep.id").alias("rep_id"))
+    return got.select("number_key", "entity_key", "family", "row_count", "has_original", F.col("rep.contractor").alias("contractor"), F.coalesce("rep.batch", "any_batch").alias("recovery_batch"), F.col("rep.id").alias("rep_id"))
 
 
 def missing_originals(scan: DataFrame, batches: tuple[str, ...] = ()) -> DataFrame:
     got = scan.where("row_count > 1 and has_original = 0")
-    return got.where(F.col("recovery_batch").isin(*batches)) if batches else got
+    return got.where(F.coalesce("recovery_batch", F.lit("")).isin(*batches)) if batches else got
 
 
 def targets(scan: DataFrame) -> DataFrame:
@@ -48,16 +66,113 @@ def violations(t: DataFrame) -> DataFrame:
     return t.withColumn("reason", reason).where("reason is not null")
 
 
-def selected(t: DataFrame, statuses=("pending",), batches: tuple[str, ...] = (), limit: int = 100) -> DataFrame:
-    """Targets to work on; without a batch, more than ``limit`` are refused."""
-    got = t.where(F.col("status").isin(*statuses) & F.col("lookup_mode").isin(*MODES) & ((F.col("lookup_mode") != "manual_url") | F.col("source_url").isNotNull()))
+def selected(t: DataFrame, statuses=("pending",), batches: tuple[str, ...] = (), limit: int = 100, contract_number: str | None = None, all_pending: bool = False) -> DataFrame:
+    """Targets to work on: pending ones and those of further ``statuses``. Without a batch, a contract number or
+    ``all_pending``, more than ``limit`` are refused."""
+    unknown = set(statuses) - set(STATUSES)
+    if unknown:
+        raise ValueError(f"unknown status {sorted(unknown)[0]}")
+    got = t.where(F.col("status").isin("pending", *statuses) & F.col("lookup_mode").isin(*MODES) & ((F.col("lookup_mode") != "manual_url") | (F.coalesce("source_url", F.lit("")) != "")))
+    if contract_number:
+        got = got.where(F.col("contract_number") == contract_number)
     if batches:
-        return got.where(F.col("recovery_batch").isin(*batches))
-    if got.limit(limit + 1).count() > limit:
+        got = got.where(F.coalesce("recovery_batch", F.lit("")).isin(*(b.strip() for b in batches)))
+    if not (contract_number or batches or all_pending) and got.limit(limit + 1).count() > limit:
         raise ValueError(f"more than {limit} targets: name a batch")
     return got
 
 
+def checked_file(t: DataFrame) -> DataFrame:
+    """The targets, or an error that names the first violation."""
+    bad = violations(t).select("reason", "contract_number").first()
+    if bad:
+        raise ValueError(f"{bad['reason']}: {bad['contract_number']}")
+    return t
+
+
+def target_order() -> list[Column]:
+    """Newest batch first, texts that are no batch last, then number, folded entity, family and mode."""
+    start = parse.fiscal_year_start(F.col("recovery_batch"))
+    return [F.desc_nulls_last(start), F.coalesce(F.trim("recovery_batch"), F.lit("")), F.coalesce("contract_number", F.lit("")), fold_entity(F.col("entity")), contractor_family(F.col("contractor")), F.coalesce("lookup_mode", F.lit(""))]
+
+
+def identity() -> list[Column]:
+    """What makes targets, and families of a scan, the same."""
+    return [fold(F.col("contract_number")).alias("number_key"), fold_entity(F.col("entity")).alias("entity_key"), contractor_family(F.col("contractor")).alias("family")]
+
+
+def rank_of(row: dict) -> tuple:
+    """What makes one of two duplicate targets the preferred one."""
+    # The ranks of the states.
+    ranks = {"pending": 0, "ambiguous": 1, "unrecoverable": 2, "recovered": 3}
+    return (ranks.get(row["status"], -1), row["lookup_mode"] == "manual_url", bool(row["source_url"]), bool(row["notes"]), row["last_checked_at"] or "")
+
+
+def folded_duplicates(t: DataFrame) -> DataFrame:
+    """Targets with one identity folded into one, in file order: of each two the preferred keeps its values and takes the
+    other's for its blanks, and the later check. ``folded`` counts those that went. The winner of a pair changes by what
+    it takes, so the order matters: rows are dealt by identity, sorted by position inside each task and read as a
+    stream, one state at a time; nothing is gathered."""
+    fields = [c for c in TARGET if c != "last_checked_at"]
+    keyed = t.select(*identity(), *TARGET, "position")
+    names = [*keyed.columns, "folded"]
+
+    def merge(a: dict, b: dict) -> dict:
+        best, other = (a, b) if rank_of(a) >= rank_of(b) else (b, a)
+        out = {c: best[c] or other[c] for c in fields}
+        times = [x["last_checked_at"] for x in (a, b) if x["last_checked_at"]]
+        return a | out | {"last_checked_at": max(times, default=None), "folded": a["folded"] + 1}
+
+    def run(batches):
+        import pyarrow as pa
+
+        state, done = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                row["folded"] = 0
+                same = state and all(state[k] == row[k] for k in ("number_key", "entity_key", "family"))
+                if state and not same:
+                    done.append(state)
+                state = merge(state, row) if same else row
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=schema)
+                done = []
+        if state:
+            yield pa.RecordBatch.from_pylist([state], schema=schema)
+
+    import pyarrow as pa
+
+    schema = pa.schema([(c, pa.int64() if c in ("position", "folded") else pa.string()) for c in names])
+    ordered = keyed.repartition("number_key", "entity_key", "family").sortWithinPartitions("number_key", "entity_key", "family", "position")
+    return ordered.mapInArrow(run, ", ".join(f"{c} {'long' if c in ('position', 'folded') else 'string'}" for c in names))
+
+
+def seeded(t: DataFrame, scan: DataFrame, batches: tuple[str, ...] = ()) -> DataFrame:
+    """The tracked targets, and new pending ones for families without an original that are not tracked. Tracked ones
+    whose family has an original go unless they are recovered; a missing batch is taken from the family."""
+    keys = ["number_key", "entity_key", "family"]
+    side = scan.select(*keys, "has_original", F.col("recovery_batch").alias("scan_batch"))
+    have = folded_duplicates(t).join(side, keys, "left")
+    stays = have.where((F.coalesce("has_original", F.lit(0)) == 0) | F.col("status").eqNullSafe("recovered"))
+    batch = F.when(F.trim(F.coalesce("recovery_batch", F.lit(""))) == "", F.col("scan_batch")).otherwise(F.col("recovery_batch"))
+    stays = stays.withColumn("recovery_batch", batch).select(*keys, *TARGET)
+    new = missing_originals(scan, batches).join(stays.select(*keys), keys, "left_anti")
+    none = {c: F.lit(None).cast("string").alias(c) for c in ("source_url", "notes", "last_checked_at")}
+    new = new.select(*keys, F.col("number_key").alias("contract_number"), F.col("entity_key").alias("entity"), "contractor", "recovery_batch", F.lit("auto_discover").alias("lookup_mode"), none["source_url"], F.lit("pending").alias("status"), none["notes"], none["last_checked_at"])
+    return stays.unionByName(new).drop(*keys)
+
+
+def seed_counts(t: DataFrame, scan: DataFrame, batches: tuple[str, ...] = ()) -> DataFrame:
+    """One row: targets added, candidate families, tracked targets removed, duplicates folded."""
+    keys = ["number_key", "entity_key", "family"]
+    folded = folded_duplicates(t).join(scan.select(*keys, "has_original"), keys, "left")
+    gone = (F.coalesce("has_original", F.lit(0)) == 1) & ~F.col("status").eqNullSafe("recovered")
+    of_targets = folded.agg(F.count_if(gone).alias("removed"), F.coalesce(F.sum("folded"), F.lit(0)).alias("collapsed"))
+    candidates = missing_originals(scan, batches)
+    added = candidates.join(folded.where(~gone).select(*keys), keys, "left_anti")
+    return added.agg(F.count("*").alias("added")).join(F.broadcast(candidates.agg(F.count("*").alias("candidates")))).join(F.broadcast(of_targets))  # one row each
+
+
 def pending_by_batch(t: DataFrame) -> DataFrame:
     return t.where("status = 'pending'").groupBy(F.coalesce("recovery_batch", F.lit("(missing)")).alias("batch")).agg(F.count("*").alias("pending"))
 
@@ -68,6 +183,8 @@ def by_status(t: DataFrame) -> DataFrame:
 
 def with_targets(rows: DataFrame, t: DataFrame) -> DataFrame:
     """Rows with the first target of their number and entity whose family is theirs, or any for a blank family."""
-    side = t.select(F.col("contract_number").alias("t_number"), F.col("entity").alias("t_entity"), F.col("family").alias("t_family"), "status", "position")
-    on = (fold(F.col("contract_number")) == F.col("t_number")) & (fold(F.col("entity")) == F.col("t_entity")) & ((F.col("family") == "") | (F.col("family") == F.col("t_family")))
-    return rows.join(side, on, "left").groupBy("id").agg(F.min_by("status", "position").alias("recovery_status"))
+    from ledgerloom.operators.families import first_target
+
+    keys = ["contract_number", "entity", "family"]
+    found = first_target(rows, t, keys).select(*(F.col(k).alias(f"t_{k}") for k in keys), F.col("target.status").alias("recovery_status"))
+    return rows.join(found, [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in keys], "left").select("id", "recovery_status")

@@ -7,11 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import fold, no_accents
+from ledgerloom.functions.parse import money
+from ledgerloom.functions.text import no_accents
 
 TEXT_COLUMNS = ("contract_number", "entity", "contractor", "service_category", "service_type")
 PAGE = 50
-FAMILY_SORTS = ("award_date", "amount", "contract_number", "entity", "contractor", "family_size")
+# Columns that pages of families, and of rows, may be sorted by.
+FAMILY_SORTS = ("contract_number", "contractor", "entity", "amount", "award_date", "service_category")
+ROW_SORTS = ("contract_number", "amendment", "contractor", "entity", "amount", "award_date", "valid_from", "valid_to", "service_category", "service_type", "fiscal_year")
 
 
 def tokens(query: str) -> list[str]:
@@ -37,8 +40,7 @@ def keyword_part(query: str) -> Column:
 
 def keyword(rows: DataFrame, query: str) -> DataFrame:
     """By word beginnings; by parts of words if no row of the table has those."""
-    hit = F.broadcast(rows.agg(F.coalesce(F.max(keyword_prefix(query)), F.lit(False)).alias("any_hit")))  # one row
-    return rows.join(hit).where(F.when(F.col("any_hit"), keyword_prefix(query)).otherwise(keyword_part(query))).drop("any_hit")
+    return filtered(rows, {"keyword": query})
 
 
 def contractor_matches(term: str) -> Column:
@@ -47,12 +49,16 @@ def contractor_matches(term: str) -> Column:
     return c.ilike(term.replace("*", "%")) if "*" in term else c.ilike(f"{term}%") | c.ilike(f"% {term}%")
 
 
+def look_up(value: str) -> str:
+    """A filter's value as look-ups compare it."""
+    import unicodedata
+
+    return unicodedata.normalize("NFC", value).strip().upper()
+
+
 def exact_or_prefix(rows: DataFrame, column: str, value: str) -> DataFrame:
     """Rows whose value equals the term, or begins with it if no value of the table equals it."""
-    key = F.upper(F.trim(F.col(column)))
-    values = rows.select(column).distinct().select(column, (key == value.strip().upper()).alias("same"), F.startswith(key, F.lit(value.strip().upper())).alias("begins")).where("begins")
-    best = values.agg(F.max("same").alias("any_same"))
-    return rows.join(values.join(F.broadcast(best)).where(F.col("same") == F.col("any_same")).select(column), column, "left_semi")
+    return filtered(rows, {column: value})
 
 
 def number_matches(rows: DataFrame, number: str) -> DataFrame:
@@ -62,27 +68,68 @@ def number_matches(rows: DataFrame, number: str) -> DataFrame:
     return rows.join(found).where(F.when(F.col("any_exact"), key == n).otherwise(F.startswith(key, F.lit(n)))).drop("any_exact")
 
 
-def filtered(rows: DataFrame, f: dict) -> DataFrame:
-    """All given filters together; blank ones are off. Plain comparisons reach the scan."""
+def filtered(rows: DataFrame, f: dict, table: DataFrame | None = None) -> DataFrame:
+    """All given filters together; blank ones are off. Plain comparisons reach the scan.
+
+    Whether a keyword has any hit by word beginnings, and which value an entity or service type equals, is asked of
+    the whole ``table`` (``rows`` unless given), whatever the other filters leave: one aggregation to one row, for all
+    of them. Only the contract number looks at the rows that pass the others."""
     tests = {
         "amount_min": lambda v: F.col("amount") >= v, "amount_max": lambda v: F.col("amount") <= v,
         "award_from": lambda v: F.col("award_date") >= F.lit(v).cast("date"), "award_to": lambda v: F.col("award_date") <= F.lit(v).cast("date"),
         "valid_from": lambda v: F.col("valid_from") >= F.lit(v).cast("date"), "valid_to": lambda v: F.col("valid_to") <= F.lit(v).cast("date"),
         "category": lambda v: F.col("service_category") == v, "fiscal_year": lambda v: F.col("fiscal_year") == v, "contractor": contractor_matches,
     }
-    rows = rows.where(reduce(lambda a, k: a & tests[k](f[k]), (k for k in tests if f.get(k) not in (None, "")), F.lit(True)))
+    given = lambda k: f.get(k) not in (None, "")
+    answers, keep = [], []
+    if given("keyword") and tokens(f["keyword"]):
+        begins, part = keyword_prefix(f["keyword"]), keyword_part(f["keyword"])
+        answers.append(F.coalesce(F.max(begins), F.lit(False)).alias("__hit"))
+        keep.append(F.when(F.col("__hit"), begins).otherwise(part))
     for column in ("entity", "service_type"):
-        rows = exact_or_prefix(rows, column, f[column]) if f.get(column) else rows
-    rows = keyword(rows, f["keyword"]) if f.get("keyword") else rows
-    return number_matches(rows, f["contract_number"]) if f.get("contract_number") else rows
+        if given(column) and look_up(f[column]):
+            key, value = F.upper(F.trim(F.col(column))), F.lit(look_up(f[column]))
+            answers.append(F.min(F.when(key == value, F.col(column))).alias(f"__{column}"))
+            keep.append(F.when(F.col(f"__{column}").isNotNull(), F.col(column) == F.col(f"__{column}")).otherwise(F.startswith(key, value)))
+        elif given(column):
+            keep.append(F.lit(False))
+    found = rows.where(reduce(lambda a, k: a & tests[k](f[k]), (k for k in tests if given(k)), F.lit(True)))
+    if keep:
+        facts = (rows if table is None else table).agg(*answers) if answers else None  # one row
+        found = (found.join(F.broadcast(facts)) if answers else found).where(reduce(lambda a, b: a & b, keep)).select(*(F.col(f"`{c}`") for c in rows.columns))
+    return number_matches(found, f["contract_number"]) if given("contract_number") else found
 
 
 def page(rows: DataFrame, sort: str, direction: str = "DESC", number: int = 1, ties: tuple[str, ...] = ("id",), allowed=FAMILY_SORTS) -> DataFrame:
-    """One page of 50, nulls last in both directions; an unknown column sorts by award date."""
+    """One page of 50 families, nulls last in both directions; an unknown column sorts by award date. Ties go up by
+    ``ties`` in both directions."""
     sort = sort if sort in allowed else "award_date"
     by = F.asc_nulls_last(sort) if direction == "ASC" else F.desc_nulls_last(sort)
     return rows.orderBy(by, *ties).offset(PAGE * (number - 1)).limit(PAGE)
 
 
+def rows_page(rows: DataFrame, sort: str, direction: str = "DESC", number: int = 1) -> DataFrame:
+    """One page of 50 rows; ties go by id in the direction of the page."""
+    sort = sort if sort in ROW_SORTS else "award_date"
+    way, tie = (F.asc_nulls_last, F.asc) if direction == "ASC" else (F.desc_nulls_last, F.desc)
+    return rows.orderBy(way(sort), tie("id")).offset(PAGE * (number - 1)).limit(PAGE)
+
+
+def merged_page(families: DataFrame, sort: str, direction: str = "DESC", number: int = 1) -> DataFrame:
+    """One page of the merged families of a contract-number search: text without regard to accents and case, empty
+    values last in both directions, ties up by id."""
+    sort = sort if sort in FAMILY_SORTS else "award_date"
+    value = F.col(sort)
+    if sort not in ("amount", "award_date"):
+        value = F.collate(F.nullif(value, F.lit("")), "es_CI_AI")
+    by = F.asc_nulls_last(value) if direction == "ASC" else F.desc_nulls_last(value)
+    return families.orderBy(by, "id").offset(PAGE * (number - 1)).limit(PAGE)
+
+
+def rows_header(rows: DataFrame) -> DataFrame:
+    """Number and money of the rows found."""
+    return rows.agg(F.count("*").alias("n_rows"), F.coalesce(money(F.col("amount")), F.lit(0.0)).alias("money"))
+
+
 def distinct_values(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(F.col(column).alias("value")).where(F.trim("value") != "").distinct()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import parse, text
@@ -66,46 +68,122 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def resolve_headers(df: DataFrame) -> DataFrame:
-    """The canonical columns of an export, by the first alias among its headers; missing ones are blank."""
+def resolve_headers(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """The canonical columns of an export, by the first alias among its headers; missing ones are blank. ``rows``: the
+    export with its file and position (__file, __pos), which then come along."""
     have = {h.strip().lower(): h for h in df.columns}
     pick = {c: next((have[a.lower()] for a in aliases if a.lower() in have), None) for c, aliases in ALIASES.items()}
-    return df.select(*(F.col(f"`{h}`").alias(c) if h else F.lit("").alias(c) for c, h in pick.items()))
+    columns = [F.col(f"`{h}`").alias(c) if h else F.lit("").alias(c) for c, h in pick.items()]
+    return df.select(*columns) if rows is None else rows.select(*columns, F.col("__file").alias("file"), F.col("__pos").alias("pos"))
+
+
+# Fixed value: the name of a yearly export.
+EXPORT_NAME = r"^contratos_(\d{4}-\d{4})\.csv$"
+# The columns of a canonical record, and of a file of recovery targets.
+RECORD = ("contract_number", "entity", "entity_number", "contractor", "amendment", "service_category", "service_type", "amount", "amount_receivable", "award_date", "valid_from", "valid_to", "procurement_method", "fund_type", "pco_number", "cancelled", "document_url", "fiscal_year", "source_type", "source_url", "source_contract_id")
+TARGET = ("contract_number", "entity", "contractor", "recovery_batch", "lookup_mode", "source_url", "status", "notes", "last_checked_at")
+
+
+def year_of_name(name: Column) -> Column:
+    """The fiscal year in a file's name: its first part of nine characters with a dash, else the name without ending."""
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    return F.coalesce(F.get(F.filter(F.split(stem, "_"), lambda x: (F.length(x) == 9) & x.contains("-")), F.lit(0)), stem)
 
 
 def read_exports(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> DataFrame:
-    """Yearly exports with any mix of headers as text columns; the fiscal year comes from the file name."""
+    """Yearly exports of one encoding with any mix of headers, as text columns in load order (file, pos); the fiscal year
+    comes from the file name. Files are read by their headers, so each is one plan."""
     out = None
     for path in paths:
         df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
-        name = F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.csv$", "")
-        year = F.coalesce(F.get(F.filter(F.split(name, "_"), lambda x: (F.length(x) == 9) & x.contains("-")), F.lit(0)), name)
-        one = resolve_headers(df).withColumn("fiscal_year", year)
+        at = df.select("*", F.col("_metadata.file_name").alias("__file"), F.monotonically_increasing_id().alias("__pos"))
+        one = resolve_headers(df, at).withColumn("fiscal_year", year_of_name(F.col("file")))
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def utf8_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, utf8) of each file: whether it must be read as UTF-8 or as Latin-1."""
-    return spark.read.format("binaryFile").load(folder).select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
+    """(path, name, utf8) of each file: whether it must be read as UTF-8 or as Latin-1."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
+
+
+def export_years(files: DataFrame) -> DataFrame:
+    """The fiscal years of the exports among files (name), newest first."""
+    year = F.regexp_extract("name", EXPORT_NAME, 1)
+    return files.select(year.alias("fiscal_year")).where("fiscal_year <> ''").distinct().orderBy(F.desc("fiscal_year"))
+
+
+def load_folder(spark: SparkSession, folder: str, recovered: str | None = None) -> DataFrame:
+    """All exports of a folder in the encoding that each has, as canonical records, then the recovered rows."""
+    files = utf8_files(spark, folder).orderBy("name").collect()  # a row for each yearly file
+    parts = []
+    for utf8, encoding in ((True, "UTF-8"), (False, "ISO-8859-1")):
+        paths = [r["path"] for r in files if r["utf8"] == utf8]
+        if paths:
+            parts.append(canonical(read_exports(spark, paths, encoding), "csv", ("file", "pos")))
+    rows = reduce(DataFrame.unionByName, parts).withColumn("source_rank", F.lit(0))
+    if recovered:
+        more = canonical(read_recovered(spark, recovered), "live_recovery", ("file", "pos")).withColumn("source_rank", F.lit(1))
+        rows = rows.unionByName(more)
+    return rows
+
+
+def read_recovered(spark: SparkSession, path: str) -> DataFrame:
+    """Recovered records as text; a missing file has none."""
+    schema = ", ".join(f"{c} string" for c in RECORD)
+    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("ignoreMissingFiles", True).csv(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    return df.withColumns({"file": F.lit(path.rstrip("/").rsplit("/", 1)[-1]), "pos": F.monotonically_increasing_id()})
 
 
-def canonical(raw: DataFrame, source_type: str = "csv") -> DataFrame:
-    """Canonical records of text columns: cleaned, typed, with the content hash."""
+def write_recovered(rows: DataFrame, path: str) -> None:
+    """Recovered records as CSV, sorted; blanks for nulls."""
+    order = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("contract_number", "entity", "award_date", "source_contract_id", "contractor")]
+    rows.select(*RECORD).orderBy(*order).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+def read_targets(spark: SparkSession, path: str) -> DataFrame:
+    """Recovery targets in file order (position): blanks are null, a blank status is pending; a missing file has none."""
+    schema = ", ".join(f"{c} string" for c in TARGET)
+    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    value = lambda c: text.strip(F.coalesce(F.col(c), F.lit("")))
+    plain = ("contract_number", "entity", "contractor", "lookup_mode")
+    return df.select(*(value(c).alias(c) if c in plain else F.coalesce(F.nullif(value(c), F.lit("")), F.lit("pending")).alias(c) if c == "status" else F.nullif(value(c), F.lit("")).alias(c) for c in TARGET), F.monotonically_increasing_id().alias("position"))
+
+
+def write_targets(ordered: DataFrame, path: str) -> None:
+    """Recovery targets as CSV in the order given."""
+    ordered.select(*TARGET).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark can list the path."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return not spark.read.format("binaryFile").load(path).limit(0).isStreaming
+    except AnalysisException:
+        return False
+
+
+def canonical(raw: DataFrame, source_type: str = "csv", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Canonical records of text columns: cleaned, typed, with the content hash. A record's own source type stays;
+    ``keep``: further columns to carry along."""
+    given = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
     r = raw.select(
-        *(text.clean(F.col(c)).alias(c) for c in ("contract_number", "entity_number", "contractor", "service_category", "service_type", "procurement_method", "fund_type", "pco_number", "document_url")),
+        *keep,
+        *(text.clean(given(c)).alias(c) for c in ("contract_number", "entity_number", "contractor", "service_category", "service_type", "procurement_method", "fund_type", "pco_number", "document_url", "source_url", "source_contract_id")),
         text.without_code(F.col("entity")).alias("entity"),
         text.amendment_text(F.col("amendment")).alias("amendment"),
         *(parse.amount(F.col(c)).alias(c) for c in ("amount", "amount_receivable")),
         *(parse.date(F.col(c)).alias(c) for c in ("award_date", "valid_from", "valid_to")),
         parse.cancelled(F.col("cancelled")).alias("cancelled"),
-        *([F.col("fiscal_year").alias("given_year")] if "fiscal_year" in raw.columns else [F.lit(None).cast("string").alias("given_year")]),
-    )
+        text.clean(given("fiscal_year")).alias("given_year"), text.clean(given("source_type")).alias("given_type"),
+    )
     return r.withColumns({
         "fiscal_year": F.coalesce("given_year", parse.fiscal_year(F.col("award_date"))),
-        "source_type": F.lit(source_type),
+        "source_type": F.coalesce("given_type", F.lit(source_type)),
         "row_hash": parse.row_hash(*(F.col(c) for c in ("contract_number", "entity", "contractor", "amendment", "award_date", "amount"))),
-    }).drop("given_year")
+    }).drop("given_year", "given_type")
 
 
 def raw_text(rows: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from conftest import rows
 
-from ledgerloom.plans.queries import ORACLE_SQL, QUERIES
+from ledgerloom.plans.registry import ORACLE_SQL, QUERIES
 
 
 def near(a, b):
