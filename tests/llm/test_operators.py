@@ -279,6 +279,24 @@ def test_neighbours(spark, sf):
     assert neighbours.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_neighbours_verify_less_than_half():
+    """One block of 20,000 points in 16 clusters: recall and the share of points that are verified."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(16, 64))
+    x = centres[rng.integers(0, 16, 20_000)] + 0.6 * rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    space = neighbours.Space(1.0, rng.normal(size=(65, neighbours.DIMS)), np.zeros(0, np.int64), np.zeros(0))
+    block = neighbours.Block(space, x, [[i] for i in range(len(x))], 20)
+    sure, hit = neighbours.chi_square_quantile(neighbours.SURE, neighbours.DIMS), 0
+    for q in range(0, 20_000, 400):
+        p = space.project_query(x[q : q + 1])
+        far = neighbours.box_distance(p, block.low, block.high)[0]
+        places, exact, _ = block.search(x[q], p[0], far, np.inf, sure)
+        found = block.order[places[np.argsort(-exact, kind="stable")][:20]]
+        hit += len(set(found.tolist()) & set(np.argsort(-(x @ x[q]), kind="stable")[:20].tolist()))
+    assert hit >= 0.9 * 50 * 20 and block.verified < 0.5 * 50 * len(x)
+
+
 def test_chi_square():
     assert math.isclose(neighbours.chi_square_quantile(0.95, 8), 15.507, abs_tol=1e-3)
 
