@@ -26,7 +26,7 @@ SPANISH = r"^(\d{1,2})\s+([a-záéíóú.]+)\s+(\d{4})"
 
 def amount(c: Column) -> Column:
     """A number from text such as ``$1,234.50``; null if it is none."""
-    bare = F.regexp_replace(c, "[$,  ]", "")
+    bare = strip(F.regexp_replace(c, "[$,\u00a0 ]", ""))
     number = F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare)
     return F.when(~bare.isin(*NO_AMOUNT), number.try_cast("double"))
 

@@ -88,14 +88,17 @@ def contract_id_of(url: Column) -> Column:
 
 
 def unescaped(c: Column) -> Column:
-    """Text without HTML entities: numeric ones, and the named ones in ``ENTITIES``."""
+    """Text without HTML entities: numeric ones, and the named ones in ``ENTITIES``. The text is bound to a name, so that
+    its own expression is not repeated in each step."""
+    return F.get(F.transform(F.array(c), _decoded), F.lit(0))
+
+
+def _decoded(c: Column) -> Column:
     char = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    for pattern, prefix, suffix, number in ((r"&#(\d{1,7});", "&#", ";", lambda x: x.try_cast("int")), (r"&#[xX]([0-9a-fA-F]{1,6});", None, ";", lambda x: F.conv(x, 16, 10).try_cast("int"))):
-        codes = F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)))
-        if prefix:
-            c = F.aggregate(codes, c, lambda text, x: F.coalesce(F.replace(text, F.concat(F.lit("&#"), x, F.lit(";")), char(number(x))), text))
-        else:
-            c = F.aggregate(codes, c, lambda text, x: F.coalesce(F.replace(F.replace(text, F.concat(F.lit("&#x"), x, F.lit(";")), char(number(x))), F.concat(F.lit("&#X"), x, F.lit(";")), char(number(x))), text))
+    swap = lambda text, name, code: F.coalesce(F.replace(text, F.concat(F.lit("&#"), name, F.lit(";")), char(code)), text)
+    names = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1)))
+    number = lambda x: F.when(F.lower(F.substring(x, 1, 1)) == "x", F.conv(F.substring(x, 2, 6), 16, 10)).otherwise(x).try_cast("int")
+    c = F.aggregate(names, c, lambda text, x: swap(text, x, number(x)))
     for name, text in ENTITIES.items():
         c = F.replace(c, F.lit(name), F.lit(text))
     return c

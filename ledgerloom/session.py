@@ -8,12 +8,14 @@ from pyspark.sql import SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the one the cluster names in
-    ``spark.checkpoint.dir``; a new temporary one only where none is set (tests)."""
+    """The shared folder for checkpoints: the one the cluster names in ``spark.checkpoint.dir``. Where none is set, a
+    new temporary folder for a local session (tests); on a cluster that is an error, since executors share no local folder."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named

@@ -50,7 +50,13 @@ def search_records(rows: DataFrame, base_url: str, source_type: str, keep: tuple
         shown.document_url(base_url, F.col("DocumentWithoutSocialSecurityId")).alias("document_url"),
         shown.detail_url(base_url, F.col("ContractId")).alias("source_url"), F.col("ContractId").cast("string").alias("source_contract_id"),
     )
-    return canonical(raw, source_type, keep)
+    return canonical(held(raw), source_type, keep)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator: what follows reads the columns and does not repeat how they are made, which
+    would make plans of nested patterns very large."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def bare(html: Column) -> Column:
@@ -78,12 +84,12 @@ def detail_records(pages: DataFrame, source_type: str = "live_recovery", keep: t
     fields are plain attributes and cells, so they are read by patterns, inside generated code."""
     html = F.col("html")
     parts = pages.select(*keep, F.col("url").alias("source_url"), field(html, ENTITY_FIELD).alias("entity_display"), table_names(html).alias("contractor_names"), *(field(html, k).alias(v) for k, v in DETAIL_FIELDS.items()))
-    entity = text.split_entity(F.col("entity_display"))
+    entity, parts = text.split_entity(F.col("entity_display")), held(parts)
     raw = parts.withColumns({
         "entity": entity["name"], "entity_number": entity["code"], "contractor": F.get("contractor_names", F.lit(0)), "cancelled": F.lit("0"),
         "document_url": F.lit(None).cast("string"), "source_contract_id": shown.contract_id_of(F.col("source_url")),
     })
-    return canonical(raw, source_type, (*keep, "contractor_names", "entity_display"))
+    return canonical(held(raw), source_type, (*keep, "contractor_names", "entity_display"))
 
 
 def page_fields(pages: DataFrame) -> DataFrame:

@@ -1,42 +1,69 @@
-"""Incremental intake of new records with Structured Streaming."""
+"""Incremental intake of new records with Structured Streaming.
+
+Files of search results are read once each; the checkpoint is the cursor and moves only when a batch has succeeded.
+In each batch records are enriched from the detail pages that are known (a record without a page stays as it is), told
+apart by the hash of what is stored, and those that the store lacks are appended with the number of their batch. The
+log is written from the store, so a batch that is run again after a failure logs what it really added.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerloom.operators.loading import first_wins, unseen
-
+from ledgerloom.operators.loading import digest, first_wins
+from ledgerloom.operators.resolution import enriched
+from ledgerloom.sources.contracts import RECORD, exists
+from ledgerloom.sources.live import SEARCH_PAGE, detail_records, held, search_records
 
-def intake(spark: SparkSession, folder: str, schema: StructType, store: str, log: str, checkpoint: str, key: list[str]) -> None:
-    """Read new JSON files once, keep records whose hash the store lacks, append them and a log row.
 
-    The checkpoint is the cursor: it moves only when a batch has succeeded. Known hashes live in the
-    store, not in operator state. A batch that is run again finds its own rows and adds none."""
+def intake(spark: SparkSession, folder: str, schema: StructType | str, store: str, log: str, checkpoint: str, key: list[str], prepare: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Read new JSON files, keep records whose hash the store lacks, append them and a log row. ``prepare`` makes records
+    of the rows read; records with a row_hash of their own keep it, others get one of the columns ``key``."""
 
     def batch(df: DataFrame, number: int) -> None:
-        rows = df.withColumn("row_hash", F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key)), 256), 1, 16))
+        rows = prepare(df) if prepare else df
+        if "row_hash" not in rows.columns:
+            rows = rows.withColumn("row_hash", F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key)), 256), 1, 16))
+        rows = rows.persist()
+        seen = rows.count()
         new = first_wins(rows, key)
-        if _exists(spark, store):
-            new = unseen(new, spark.read.parquet(store))
-        new = new.persist()
-        count = df.count()
-        added = new.count()
-        new.write.mode("append").parquet(store)
-        spark.createDataFrame([(number, count, added, count - added)], "batch long, seen long, added long, known long").coalesce(1).write.mode("append").parquet(log)
-        new.unpersist()
-
-    query = spark.readStream.schema(schema).json(folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether the store has been written."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+        if exists(spark, store):
+            # only the hashes of this batch are looked up; the store's other columns are not read
+            known = spark.read.parquet(store).select("row_hash").join(F.broadcast(rows.select("row_hash").distinct()) if seen < 100_000 else rows.select("row_hash").distinct(), "row_hash", "left_semi")
+            new = new.join(known.distinct(), "row_hash", "left_anti")
+        new.withColumn("batch", F.lit(number)).write.mode("append").parquet(store)
+        added = spark.read.parquet(store).where(F.col("batch") == number).count()
+        if not (exists(spark, log) and spark.read.parquet(log).where(F.col("batch") == number).count()):
+            spark.createDataFrame([(number, seen, added, seen - added)], "batch long, seen long, added long, known long").coalesce(1).write.mode("append").parquet(log)
+        rows.unpersist()
+
+    query = spark.readStream.schema(schema).option("multiLine", True).json(folder) if isinstance(schema, str) else spark.readStream.schema(schema).json(folder)
+    query.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def monitor_records(pages: DataFrame, details: DataFrame | None, base_url: str) -> DataFrame:
+    """Records of search-result pages, each filled from its detail page (url, html) where there is one: the page's record
+    comes first and takes what it lacks from the search record."""
+    rows = pages.select(F.explode("data").alias("row")).select("row.*")
+    found = search_records(rows, base_url, "live_monitor")
+    if details is None:
+        return found.select(*RECORD, "row_hash")
+    page = detail_records(details, "live_monitor").select("source_url", F.struct(*RECORD).alias("page")).dropDuplicates(["source_url"])
+    both = found.select(F.struct(*RECORD).alias("search"), "source_url", "row_hash").join(page, "source_url", "left")
+    filled = enriched(held(both.where("page is not null").select("page.*", "search")), "search", "live_monitor").select(*RECORD, "row_hash")
+    return filled.unionByName(held(both.where("page is null").select("search", "row_hash")).select("search.*", "row_hash"))
+
+
+def monitor(spark: SparkSession, folder: str, store: str, log: str, checkpoint: str, base_url: str, details: DataFrame | None = None) -> None:
+    """Intake of search-result files as canonical records."""
+    intake(spark, folder, SEARCH_PAGE, store, log, checkpoint, ["contract_number", "source_contract_id"], lambda df: monitor_records(df, details, base_url))
+
+
+def run_digest(spark: SparkSession, store: str, number: int) -> DataFrame:
+    """What a message about a batch's new records lists."""
+    rows = spark.read.parquet(store).where(F.col("batch") == number)
+    return digest(rows.withColumn("id", F.monotonically_increasing_id()))
