@@ -7,7 +7,8 @@ covers it. Covered positions that touch or overlap are merged into runs and cut
 Defined results: null text is empty (one empty line); texts under three lines are kept whole; equal
 windows inside one text count as later occurrences too; a null doc_id comes after all others; rows
 with one doc_id are told apart by a hash of their text, and exact repeats of a row act as one document
-and are each returned; a text that loses all lines becomes empty; other columns are kept as they are.
+and are each returned; a text that loses all lines becomes empty; other columns are kept as they are,
+whatever their names, but for n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .chunks import NULL_ID
 
-ID, KEY, LINES, CUT = "__id", "__key", "__lines", "__cut"
+ID, KEY, LINES, CUT, ROW = "__id", "__key", "__lines", "__cut", "__row"
 
 
 def repeated_windows(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -31,9 +32,11 @@ def repeated_windows(docs: DataFrame, width: int = 3) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     """The documents with repeated windows cut out of ``text``, plus n_lines and n_removed."""
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({ID: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), KEY: F.xxhash64(text)})
+    # all columns but the text travel in one, so that none can clash with those made here
+    row = F.struct(*(F.col(f"`{c}`") for c in names if c != "text")).alias(ROW)
+    keyed = docs.select(row, "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias(ID), F.xxhash64(text).alias(KEY))
     lines = keyed.select(ID, KEY, F.split(text, "\n").alias(LINES))
     cut = repeated_windows(lines, width)
     joined = keyed.join(cut, [ID, KEY], "left").withColumn(LINES, F.split(text, "\n"))
@@ -46,7 +49,7 @@ def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     left = F.flatten(F.transform("__from", lambda a, i: F.slice(LINES, a + 1, F.get("__to", i) - a)))
     kept = runs.withColumn("__left", F.when(F.col(CUT).isNull(), F.col(LINES)).otherwise(left))
     return kept.select(
-        *(F.array_join("__left", "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in names),
+        *(F.array_join("__left", "\n").alias("text") if c == "text" else F.col(ROW)[c].alias(c) for c in names),
         F.size(LINES).alias("n_lines"),
         (F.size(LINES) - F.size("__left")).alias("n_removed"),
     )

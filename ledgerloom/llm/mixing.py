@@ -13,7 +13,7 @@ part are ordered. The random number is a hash of doc_id and seed, so reruns agre
 
 Defined results: null text has size 0; null is a source of its own, after all others; documents of
 size 0 take 0 words; an empty table gives no rows; rows that share a doc_id share its random number, and
-exact repeats count one after another; other columns are kept and may have any names.
+exact repeats count one after another; of other columns only the key that the caller names is kept.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def mix_sources(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit:
     its rows apart, if one is named."""
     keys = [key] if key else []
     checkpoint_dir(sized.sparkSession)
-    sized = sized.checkpoint()
+    sized = sized.select(*keys, "doc_id", "source", "size").checkpoint()
     targets = source_targets(sized, weights, share, limit).checkpoint()
     rows = by_source(sized, targets)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

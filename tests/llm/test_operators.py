@@ -150,7 +150,8 @@ def test_jaccard_large_groups(spark):
     assert got == components(dict(rows), 4, 85)
 
 
-def test_line_dedup(spark, planted, texts, nothing):
+def without_lines(texts):
+    """Lines, lines removed and what is left of each text, in plain Python."""
     seen, want = set(), {}
     for d in sorted(texts):
         x = texts[d].split("\n")
@@ -161,12 +162,38 @@ def test_line_dedup(spark, planted, texts, nothing):
                 gone |= {i, i + 1, i + 2}
             seen.add(key)
         want[d] = (len(x), len(gone), "\n".join(v for i, v in enumerate(x) if i not in gone))
+    return want
+
+
+def test_line_dedup(spark, planted, texts, nothing):
+    want = without_lines(texts)
     got = lines.dedup_lines(planted)
     assert got.columns == [*planted.columns, "n_lines", "n_removed"]
     assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in got.collect()} == want
     assert lines.dedup_lines(nothing).count() == 0 and lines.dedup_lines(odd(spark)).count() == 4
 
 
+def test_clashing_columns(spark, planted):
+    """Columns with the names that operators use inside stay as they are, or are replaced where the docstring says so."""
+    more = {c: F.lit("own") for c in ("__id", "__key", "__lines", "__cut", "__row", "__left", "n_lines", "h0")}
+    got = lines.dedup_lines(planted.withColumns(more))
+    kept = [c for c in more if c != "n_lines"]
+    assert {tuple(r[c] for c in kept) for r in got.collect()} == {("own",) * len(kept)} and got.where("n_lines < 1").count() == 0
+    sized = mixing.with_sizes(planted).withColumns({c: F.lit(1) for c in ("target", "n_docs", "source_size", "v", "a", "rest")})
+    assert sorted(map(repr, mixing.mix_sources(sized).collect())) == sorted(map(repr, mixing.mix_sources(mixing.with_sizes(planted)).collect()))
+    told = langid.predict(planted.withColumns({c: F.lit("own") for c in ("lang_pred", "score", "p")}), None)
+    assert {(r["lang_pred"], r["score"], r["p"]) for r in told.collect()} == {("und", 0.0, "own")}
+
+
+def test_spotsigs_values(spark, planted):
+    """Likeness values against sets in plain Python."""
+    got = {r["doc_id"]: r for r in spotsigs.edited_fingerprints(planted).select("doc_id", "sigs", "edited_sigs", "next_sigs", spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near"), spotsigs.fingerprint(F.col("sigs")).alias("print")).collect()}
+    for r in got.values():
+        a, b = set(r["sigs"]), set(r["edited_sigs"])
+        want = 1.0 if not a | b else len(a & b) / len(a | b) if a and b else 0.0
+        assert math.isclose(r["near"], want) and r["print"] == " ".join(f"{x & (1 << 64) - 1:016x}" for x in r["sigs"]) and r["sigs"] == sorted(a)
+
+
 def test_mixing(spark, planted, nothing):
     got = mixing.mix_sources(mixing.with_sizes(planted)).collect()
     taken = collections.Counter()
@@ -316,7 +343,13 @@ def test_pipeline(spark, sf, nothing):
         before = [r.asDict() for r in docs.collect()]
         after = [r.asDict() for r in got.collect()]
         if name == "language_id":
-            assert len(after) >= 0.97 * len(before)
+            told = langid.predict(docs, langid.fit(docs)).where("not rejected").collect()
+            assert sorted(r["doc_id"] for r in after) == sorted(r["doc_id"] for r in told) and len(after) >= 0.97 * len(before)
+            same = {r["doc_id"]: r["lang_pred"] for r in told}
+            assert sum(same[r["doc_id"]] == r["lang"] for r in after) >= 0.97 * len(after)
+        elif name == "line_dedup":
+            want = without_lines({r["doc_id"]: r["text"] for r in before})
+            assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in after} == {d: (t, len(t)) for d, (_, _, t) in want.items()} and any(n for _, n, _ in want.values())
         elif name == "near_duplicates":
             want = components({r["doc_id"]: r["text"] for r in before}, 5, 80)
             assert sorted(r["doc_id"] for r in after) == sorted(d for d, (_, c) in want.items() if d == c)
@@ -330,6 +363,8 @@ def test_pipeline(spark, sf, nothing):
         else:
             text = {r["doc_id"]: r["text"] for r in before}
             assert len(after) == len(before) and all(r["decoded_sha256"] == sha(text[r["doc_id"]]) for r in after)
+            whole = corpus_pipeline.run(spark, sf)
+            assert sorted(map(repr, whole.collect())) == sorted(map(repr, got.collect()))
         assert stage(spark, nothing.select(corpus_pipeline.COLUMNS), sf).count() == 0
 
 
