@@ -11,9 +11,10 @@ from .lines import OP8_SQL, op8_line_dedup
 from .mixing import OP6_SQL, op6_mixing
 from .negatives import OP12_SQL, op12_hard_negatives
 from .neighbours import op2_neighbours
+from .packing import op13_packing
 from .spotsigs import op1_spotsigs
 from .substring import op3_substring_dedup
 from .suffixes import op10_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_spotsigs, op2_neighbours, op3_substring_dedup, op4_language_id, op5_bpe, op6_mixing, op7_class_lm, op8_line_dedup, op9_jaccard_join, op10_suffix_dedup, op11_lexical_search, op12_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_spotsigs, op2_neighbours, op3_substring_dedup, op4_language_id, op5_bpe, op6_mixing, op7_class_lm, op8_line_dedup, op9_jaccard_join, op10_suffix_dedup, op11_lexical_search, op12_hard_negatives, op13_packing)}
 ORACLE_SQL = {"op6_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op11_lexical_search": OP11_SQL, "op12_hard_negatives": OP12_SQL}
