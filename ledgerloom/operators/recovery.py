@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import parse
-from ledgerloom.functions.text import contractor_family, fold, fold_entity, is_original
+from ledgerloom.functions.text import clean, contractor_family, fold, fold_entity, is_original, strip
 from ledgerloom.sources.contracts import TARGET
 
 # The ways of looking a target up, and its states.
@@ -28,15 +28,17 @@ def scan_order() -> Column:
 
 
 def family_scan(rows: DataFrame) -> DataFrame:
-    """Each family by folded keys: rows, whether it has an original, batch and contractor of its earliest row. Rows
-    without number or entity are left out; a representative without batch takes the first batch by id."""
-    known = rows.where("trim(contract_number) <> '' and trim(entity) <> ''").withColumn("batch", recovery_batch())
-    got = known.groupBy(fold(F.col("contract_number")).alias("number_key"), fold(F.col("entity")).alias("entity_key"), "family").agg(
+    """Each family by folded keys, the entity's without its code: rows, whether it has an original, and number, entity,
+    contractor and batch of its earliest row as they stand there. Rows without number or entity are left out; a
+    representative without batch takes the first batch by id."""
+    plain = {c: strip(F.coalesce(c, F.lit(""))) for c in ("contract_number", "entity", "contractor")}
+    known = rows.withColumns(plain).where("contract_number <> '' and entity <> ''").withColumn("batch", recovery_batch())
+    got = known.groupBy(fold(F.col("contract_number")).alias("number_key"), fold_entity(F.col("entity")).alias("entity_key"), "family").agg(
         F.count("*").alias("row_count"), F.max(is_original(F.col("amendment")).cast("int")).alias("has_original"),
-        F.min_by(F.struct("contractor", "batch", "id"), scan_order()).alias("rep"),
+        F.min_by(F.struct("contract_number", "entity", "contractor", "batch", "id"), scan_order()).alias("rep"),
         F.min_by("batch", F.when(F.col("batch").isNotNull(), F.col("id"))).alias("any_batch"),
     )
-    return got.select("number_key", "entity_key", "family", "row_count", "has_original", F.col("rep.contractor").alias("contractor"), F.coalesce("rep.batch", "any_batch").alias("recovery_batch"), F.col("rep.id").alias("rep_id"))
+    return got.select("number_key", "entity_key", "family", "row_count", "has_original", "rep.contract_number", "rep.entity", "rep.contractor", F.coalesce("rep.batch", "any_batch").alias("recovery_batch"), F.col("rep.id").alias("rep_id"))
 
 
 def missing_originals(scan: DataFrame, batches: tuple[str, ...] = ()) -> DataFrame:
@@ -48,7 +50,7 @@ def targets(scan: DataFrame) -> DataFrame:
     """Targets of the missing originals, with states and modes that follow their ids (a stand-in for a tracking file)."""
     k = F.col("rep_id") % 4
     return missing_originals(scan).select(
-        F.col("number_key").alias("contract_number"), F.col("entity_key").alias("entity"), "contractor", "family", "recovery_batch",
+        "contract_number", "entity", "contractor", "family", "recovery_batch",
         F.get(F.array(*map(F.lit, ("auto_discover", "manual_url", "auto_discover", "guess"))), k.cast("int")).alias("lookup_mode"),
         F.when(k == 1, "https://example.org/contract").alias("source_url"),
         F.get(F.array(*map(F.lit, STATUSES)), k.cast("int")).alias("status"),
@@ -57,7 +59,8 @@ def targets(scan: DataFrame) -> DataFrame:
 
 
 def publishable(t: DataFrame) -> DataFrame:
-    return t.where(~F.col("status").eqNullSafe("pending"))
+    """The targets that are not pending, those without a status among them, with their text cleaned."""
+    return t.withColumns({c: clean(F.col(c)) for c in TARGET if c in t.columns}).where(~F.col("status").eqNullSafe("pending"))
 
 
 def violations(t: DataFrame) -> DataFrame:
@@ -93,7 +96,12 @@ def checked_file(t: DataFrame) -> DataFrame:
 def target_order() -> list[Column]:
     """Newest batch first, texts that are no batch last, then number, folded entity, family and mode."""
     start = parse.fiscal_year_start(F.col("recovery_batch"))
-    return [F.desc_nulls_last(start), F.coalesce(F.trim("recovery_batch"), F.lit("")), F.coalesce("contract_number", F.lit("")), fold_entity(F.col("entity")), contractor_family(F.col("contractor")), F.coalesce("lookup_mode", F.lit(""))]
+    return [F.coalesce(-start, F.lit(10**9)), F.coalesce(F.trim("recovery_batch"), F.lit("")), F.coalesce("contract_number", F.lit("")), fold_entity(F.col("entity")), contractor_family(F.col("contractor")), F.coalesce("lookup_mode", F.lit(""))]
+
+
+def target_rank() -> Column:
+    """A target's place in this order, equal ones by their place in the file, as one value to compare."""
+    return F.struct(*(c.alias(f"k{i}") for i, c in enumerate(target_order())), F.col("position"))
 
 
 def identity() -> list[Column]:
@@ -112,10 +120,13 @@ def folded_duplicates(t: DataFrame) -> DataFrame:
     """Targets with one identity folded into one, in file order: of each two the preferred keeps its values and takes the
     other's for its blanks, and the later check. ``folded`` counts those that went. The winner of a pair changes by what
     it takes, so the order matters: rows are dealt by identity, sorted by position inside each task and read as a
-    stream, one state at a time; nothing is gathered."""
-    fields = [c for c in TARGET if c != "last_checked_at"]
-    keyed = t.select(*identity(), *TARGET, "position")
-    names = [*keyed.columns, "folded"]
+    stream, one state at a time; targets without a second one pass through as they are."""
+    import numpy as np
+    import pyarrow as pa
+
+    keys, fields = ["number_key", "entity_key", "family"], [c for c in TARGET if c != "last_checked_at"]
+    keyed = t.select(*identity(), *TARGET, "position").withColumn("folded", F.lit(0).cast("long"))
+    schema = pa.schema([(c, pa.int64() if c in ("position", "folded") else pa.string()) for c in keyed.columns])
 
     def merge(a: dict, b: dict) -> dict:
         best, other = (a, b) if rank_of(a) >= rank_of(b) else (b, a)
@@ -124,27 +135,34 @@ def folded_duplicates(t: DataFrame) -> DataFrame:
         return a | out | {"last_checked_at": max(times, default=None), "folded": a["folded"] + 1}
 
     def run(batches):
-        import pyarrow as pa
-
-        state, done = None, []
+        state = None
         for batch in batches:
-            for row in batch.to_pylist():
-                row["folded"] = 0
-                same = state and all(state[k] == row[k] for k in ("number_key", "entity_key", "family"))
-                if state and not same:
-                    done.append(state)
-                state = merge(state, row) if same else row
-            if done:
-                yield pa.RecordBatch.from_pylist(done, schema=schema)
-                done = []
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]).cast(schema)
+            same = np.ones(batch.num_rows - 1, bool)
+            for k in keys:
+                column = table[k].combine_chunks()
+                same &= np.asarray(pa.compute.equal(column[1:], column[:-1]))
+            first = np.append(0, np.flatnonzero(~same) + 1)
+            size = np.diff(first, append=batch.num_rows)
+            alone = size == 1
+            alone[[0, -1]] = False  # these may go on in the batch before or after
+            yield from table.take(pa.array(first[alone])).to_batches()
+            done = []
+            for at, n in zip(first[~alone].tolist(), size[~alone].tolist(), strict=True):
+                for row in table.slice(at, n).to_pylist():
+                    if state and all(state[k] == row[k] for k in keys):
+                        state = merge(state, row)
+                    else:
+                        done += [state] if state else []
+                        state = row
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
         if state:
             yield pa.RecordBatch.from_pylist([state], schema=schema)
 
-    import pyarrow as pa
-
-    schema = pa.schema([(c, pa.int64() if c in ("position", "folded") else pa.string()) for c in names])
-    ordered = keyed.repartition("number_key", "entity_key", "family").sortWithinPartitions("number_key", "entity_key", "family", "position")
-    return ordered.mapInArrow(run, ", ".join(f"{c} {'long' if c in ('position', 'folded') else 'string'}" for c in names))
+    ordered = keyed.repartition(*keys).sortWithinPartitions(*keys, "position")
+    return ordered.mapInArrow(run, ", ".join(f"{c} {'long' if c in ('position', 'folded') else 'string'}" for c in keyed.columns))
 
 
 def seeded(t: DataFrame, scan: DataFrame, batches: tuple[str, ...] = ()) -> DataFrame:
@@ -158,7 +176,7 @@ def seeded(t: DataFrame, scan: DataFrame, batches: tuple[str, ...] = ()) -> Data
     stays = stays.withColumn("recovery_batch", batch).select(*keys, *TARGET)
     new = missing_originals(scan, batches).join(stays.select(*keys), keys, "left_anti")
     none = {c: F.lit(None).cast("string").alias(c) for c in ("source_url", "notes", "last_checked_at")}
-    new = new.select(*keys, F.col("number_key").alias("contract_number"), F.col("entity_key").alias("entity"), "contractor", "recovery_batch", F.lit("auto_discover").alias("lookup_mode"), none["source_url"], F.lit("pending").alias("status"), none["notes"], none["last_checked_at"])
+    new = new.select(*keys, "contract_number", "entity", "contractor", "recovery_batch", F.lit("auto_discover").alias("lookup_mode"), none["source_url"], F.lit("pending").alias("status"), none["notes"], none["last_checked_at"])
     return stays.unionByName(new).drop(*keys)
 
 

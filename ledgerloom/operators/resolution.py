@@ -1,12 +1,16 @@
 """Resolution of recovery targets: search candidates, checks of detail pages, conflicts with known rows, outcomes.
 
 One set-based job: targets meet search rows on number and folded entity, candidates meet their detail pages on the
-URL, and what is left meets the known rows on hash and on (number, entity). No table is gathered anywhere.
+URL, and what is left meets the known rows on hash and on (number, entity). No table is gathered anywhere. Targets are
+worked on in their order, and a later one sees what earlier ones recovered: a row is written only where its number and
+entity have no original yet, so of the targets of one number and entity the first that could be written is the only
+one, and all later ones meet its record. That takes one aggregation, and no loop over targets.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +18,10 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import shown
 from ledgerloom.functions.parse import row_hash
 from ledgerloom.functions.text import contractor_family, fold_entity, is_original, strip
+from ledgerloom.operators.recovery import target_rank
+from ledgerloom.session import checkpoint_dir
 from ledgerloom.sources.contracts import RECORD
-from ledgerloom.sources.live import contractor_names
+from ledgerloom.sources.live import contractor_names, detail_records, search_records
 
 # The notes of outcomes.
 NOT_ORIGINAL = "detail page is not the original contract row"
@@ -29,6 +35,7 @@ COLLISION = "row hash collision with a different existing row"
 OTHER_FAMILY = "existing original row in this family has a conflicting contractor family"
 OTHER_ROW = "existing original row in this family conflicts with the recovered row"
 RECOVERED, READY, NO_ENTITY, MANUAL = "recovered original row", "ready to write", "entity lookup returned no exact match", "validated manual detail URL"
+NO_URL = "manual_url target is missing source_url"
 
 
 def family_among(target: Column, names: Column) -> Column:
@@ -101,9 +108,24 @@ def with_family(df: DataFrame) -> DataFrame:
     return df if "family" in df.columns else df.withColumn("family", contractor_family(F.col("contractor")))
 
 
-def conflicts(records: DataFrame, known: DataFrame, recovered: DataFrame) -> DataFrame:
+def with_earlier(got: DataFrame) -> DataFrame:
+    """Records (rec, row_hash, twin, parent, rank) that meet nothing, but for the first by ``rank`` of each number and
+    entity, get that first one as twin or parent: it was written before them."""
+    meets_none = F.col("twin").isNull() & F.col("parent").isNull()
+    first = F.min_by(F.struct("rank", "rec", "row_hash"), "rank").alias("written")
+    opened = got.where(meets_none).groupBy(F.col("contract_number").alias("n"), F.col("entity").alias("x")).agg(first)
+    both = got.join(opened, (F.col("contract_number") == F.col("n")) & (F.col("entity") == F.col("x")), "left").drop("n", "x")
+    later = meets_none & (F.col("rank") > F.col("written.rank"))
+    return both.withColumns({
+        "twin": F.when(later & (F.col("row_hash") == F.col("written.row_hash")), F.col("written.rec")).otherwise(F.col("twin")),
+        "parent": F.when(later, F.col("written.rec")).otherwise(F.col("parent")),
+    }).drop("written")
+
+
+def conflicts(records: DataFrame, known: DataFrame, recovered: DataFrame, in_order: bool = False) -> DataFrame:
     """The records with the kind of their conflict and its note. The first known row (contracts by id, then recovered
-    rows by ``pos``) of the same hash decides; if there is none, the first original of the same number and entity."""
+    rows by ``pos``) of the same hash decides; if there is none, the first original of the same number and entity.
+    ``in_order``: records have a ``rank``, and those that are written count as recovered rows for later ones."""
     side = lambda df, rank, pos: df.select(F.struct(F.lit(rank).alias("rank"), F.col(pos).cast("long").alias("pos")).alias("at"), "row_hash", F.struct(*RECORD, "family").alias("e"))
     names, records, known, recovered = records.columns, *map(with_family, (records, known, recovered))
     rows = side(known, 0, "id").unionAll(side(recovered, 1, "pos"))
@@ -112,6 +134,9 @@ def conflicts(records: DataFrame, known: DataFrame, recovered: DataFrame) -> Dat
     asked = records.select(F.col("contract_number").alias("n"), F.col("entity").alias("x")).distinct()
     by_family = originals.join(asked, ["n", "x"], "left_semi").groupBy("n", "x").agg(F.min_by("e", "at").alias("parent"))
     got = records.withColumn("rec", F.struct(*RECORD, "family")).join(by_hash, "row_hash", "left").join(by_family, (F.col("contract_number") == F.col("n")) & (F.col("entity") == F.col("x")), "left").drop("n", "x")
+    if in_order:
+        checkpoint_dir(records.sparkSession)
+        got = with_earlier(got.checkpoint())  # at most one row for each target
     live = lambda s: F.col(f"{s}.source_type") == "live_recovery"
 
     def rules(start, s: str, equal: str) -> Column:
@@ -127,30 +152,80 @@ def conflicts(records: DataFrame, known: DataFrame, recovered: DataFrame) -> Dat
     return got.withColumn("conflict", chain.otherwise(pair("ok", READY))).select(*names, F.col("conflict.kind").alias("conflict"), F.col("conflict.note").alias("conflict_note"))
 
 
-def resolved(targets: DataFrame, checked: DataFrame, known: DataFrame, recovered: DataFrame) -> DataFrame:
-    """(position, status, notes) of every target. ``targets``: position, discovery (the note on how candidates were
-    found) and found (whether any were); ``checked``: position, reason (null if valid) and the record's columns of each
-    candidate's detail page."""
-    valid = checked.where("reason is null").dropDuplicates(["position", *RECORD])
+class Recovery(NamedTuple):
+    """``outcomes`` (position, status, notes, conflict) of all targets; ``added``, the records to write."""
+
+    outcomes: DataFrame
+    added: DataFrame
+
+
+def recover(targets: DataFrame, rows: DataFrame, pages: DataFrame, entities: DataFrame, known: DataFrame, recovered: DataFrame, base_url: str, dry_run: bool = False) -> Recovery:
+    """Work on all targets in their order. ``rows``: search rows; ``pages``: detail pages (url, html) as far as they could
+    be had; ``entities``: (name, code). In a ``dry_run`` nothing is written, so no target sees another's record."""
+    told, asked = asked_pages(targets, rows, entities, base_url)
+    checkpoint_dir(targets.sparkSession)
+    return resolved(told, checked_pages(targets, asked, pages, base_url).checkpoint(), known, recovered, dry_run)
+
+
+def asked_pages(targets: DataFrame, rows: DataFrame, entities: DataFrame, base_url: str) -> tuple[DataFrame, DataFrame]:
+    """Targets with how their candidates were found, and the pages to look at: (position, url, search), a target's own or
+    those of its search rows. ``search`` is the search row that fills a page's blanks: for a target's own page the one
+    with the same contract, if the search finds it."""
+    manual, own = F.col("lookup_mode") == "manual_url", F.nullif(strip(F.coalesce("source_url", F.lit(""))), F.lit(""))
+    coded = targets.withColumn("entity_key", fold_entity(F.col("entity"))).join(entity_codes(entities), "entity_key", "left")
+    found = candidates(coded.where("code is not null"), rows)
+    modes = coded.select("position", manual.alias("manual"), own.alias("own"))
+    searched = found.join(modes.where("not manual"), "position").select("position", shown.detail_url(base_url, F.col("search.ContractId")).alias("url"), "search")
+    same = found.select(F.col("position").alias("p"), F.col("search.ContractId").cast("string").alias("i"), F.col("search").alias("row")).groupBy("p", "i").agg(F.first("row").alias("search"))
+    by_url = modes.where("manual and own is not null").withColumn("contract", shown.contract_id_of(F.col("own")))
+    by_url = by_url.join(same, (F.col("position") == F.col("p")) & (F.col("contract") == F.col("i")), "left").select("position", F.col("own").alias("url"), "search")
+    return discovered(targets, entities, searched), searched.unionByName(by_url)
+
+
+def checked_pages(targets: DataFrame, asked: DataFrame, pages: DataFrame, base_url: str) -> DataFrame:
+    """(position, url, missing, reason, and a record with its hash) of each page asked for: whether it could not be had,
+    why it is not the target's original, and what it says, its blanks filled from the search row."""
+    wanted = pages.select("url", "html").join(asked.select("url").distinct(), "url", "left_semi").dropDuplicates(["url"])
+    details = detail_records(wanted, "live_recovery").select(F.col("source_url").alias("page_url"), F.struct(*RECORD, "row_hash", "contractor_names").alias("page"))
+    met = asked.join(details, F.col("url") == F.col("page_url"), "left").withColumn("searched", F.col("search").isNotNull())
+    met = search_records(met.select("position", "url", "searched", "page", "search.*"), base_url, "live_recovery", ("position", "url", "searched", "page"))
+    met = met.select("position", "url", F.col("page").isNull().alias("missing"), "page", F.when(F.col("searched"), F.struct(*RECORD)).alias("search_record"))
+    wants = targets.select("position", F.col("contract_number").alias("tn"), F.col("entity").alias("te"), F.col("contractor").alias("tc"))
+    met = met.join(wants, "position").select("position", "url", "missing", "search_record", "tn", "te", "tc", "page.*")
+    met = met.withColumn("reason", F.when(~F.col("missing"), detail_reason(F.col("tn"), F.col("te"), F.col("tc"))))
+    return enriched(met, "search_record", "live_recovery").select("position", "url", "missing", "reason", *RECORD, "row_hash")
+
+
+def resolved(targets: DataFrame, checked: DataFrame, known: DataFrame, recovered: DataFrame, dry_run: bool = False) -> Recovery:
+    """The outcome of every target. ``targets``: position, status, rank, discovery (the note on how candidates were
+    found), found (whether any were) and askable; ``checked``: position, url, missing, reason (null if valid) and the
+    record of each candidate's page. Targets that cannot be looked up keep their status."""
+    had = checked.where("not missing")
+    valid = had.where("reason is null").dropDuplicates(["position", *RECORD])
     counts = valid.groupBy("position").agg(F.count("*").alias("n_valid"))
-    reasons = checked.where("reason is not null").groupBy("position").agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reasons"))  # at most five texts
-    single = valid.join(counts.where("n_valid = 1").select("position"), "position", "left_semi")
-    kinds = conflicts(single, known, recovered).select("position", "conflict", "conflict_note")
-    got = targets.join(counts, "position", "left").join(reasons, "position", "left").join(kinds, "position", "left")
-    n = F.coalesce("n_valid", F.lit(0))
-    status = F.when(n == 0, "unrecoverable").when(n > 1, "ambiguous").when(F.col("conflict").isin("ok", "identical"), "recovered").when(F.col("conflict") == "needs_enrichment", "unrecoverable").otherwise("ambiguous")
+    reasons = had.where("reason is not null").groupBy("position").agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reasons"))  # at most five texts
+    lost = checked.where("missing").groupBy("position").agg(F.min("url").alias("lost"))
+    single = valid.join(counts.where("n_valid = 1").select("position"), "position", "left_semi").join(lost, "position", "left_anti").drop("url", "missing", "reason")
+    kinds = conflicts(single.join(targets.select("position", "rank"), "position"), known, recovered, not dry_run).withColumnsRenamed({"position": "p"})
+    got = targets.join(counts, "position", "left").join(reasons, "position", "left").join(lost, "position", "left").join(kinds.select("p", "conflict", "conflict_note"), F.col("position") == F.col("p"), "left")
+    n, error = F.coalesce("n_valid", F.lit(0)), F.concat(F.lit("error: no page for "), F.col("lost"))
+    status = F.when(~F.col("askable") | (F.col("found") & F.col("lost").isNotNull()), F.col("status")).when(~F.col("found") | (n == 0), "unrecoverable").when(n > 1, "ambiguous")
+    status = status.when(F.col("conflict").isin("ok", "identical"), "recovered").when(F.col("conflict") == "needs_enrichment", "unrecoverable").otherwise("ambiguous")
     why = F.when(~F.col("found"), F.lit("")).when(n == 0, F.coalesce("reasons", F.lit(""))).when(n > 1, F.concat(n.cast("string"), F.lit(" validated candidates remain"))).when(F.col("conflict") == "ok", RECOVERED).otherwise(F.col("conflict_note"))
-    return got.select("position", status.alias("status"), shown.note(F.col("discovery"), why).alias("notes"), F.col("conflict"))
+    notes = F.when(~F.col("askable"), NO_URL).when(F.col("found") & F.col("lost").isNotNull(), error).otherwise(shown.note(F.col("discovery"), why))
+    added = kinds.where(F.col("conflict") == "ok").select(F.col("p").alias("position"), *RECORD, "row_hash")
+    return Recovery(got.select("position", status.alias("status"), notes.alias("notes"), F.col("conflict")), added.limit(0) if dry_run else added)
 
 
 def discovered(targets: DataFrame, entities: DataFrame, found: DataFrame) -> DataFrame:
-    """Targets (position) with how their candidates were found: by their own URL, or by a search that needs the one code
-    of their entity. ``found``: the candidates (position)."""
+    """Targets (position, status, rank) with how their candidates were found: by their own URL (``askable`` if they have
+    one), or by a search that needs the one code of their entity. ``found``: the search's candidates (position)."""
     counts = found.groupBy("position").agg(F.count("*").alias("n"))
-    got = targets.withColumn("entity_key", fold_entity(F.col("entity"))).join(entity_codes(entities), "entity_key", "left").join(counts, "position", "left")
+    got = targets.withColumn("rank", target_rank()).withColumn("entity_key", fold_entity(F.col("entity"))).join(entity_codes(entities), "entity_key", "left").join(counts, "position", "left")
     manual, n = F.col("lookup_mode") == "manual_url", F.coalesce("n", F.lit(0))
     search = F.when(F.col("code").isNull(), NO_ENTITY).otherwise(F.concat(F.lit("search returned "), n.cast("string"), F.lit(" exact candidate(s)")))
-    return got.select("position", F.when(manual, MANUAL).otherwise(search).alias("discovery"), (manual | (F.col("code").isNotNull() & (n > 0))).alias("found"))
+    askable = ~manual | (strip(F.coalesce("source_url", F.lit(""))) != "")
+    return got.select("position", "status", "rank", F.when(manual, MANUAL).otherwise(search).alias("discovery"), (manual | (F.col("code").isNotNull() & (n > 0))).alias("found"), askable.alias("askable"))
 
 
 def upserted(recovered: DataFrame, records: DataFrame) -> DataFrame:

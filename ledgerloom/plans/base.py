@@ -39,11 +39,11 @@ def rollup_sql(name: str, original: str) -> str:
 
 FAMILIES, BOARD = rollup_sql("f", ORIGINAL), rollup_sql("b", "(trim(amendment) = '')")
 SCAN = f"""s AS (SELECT upper(contract_number) AS number_key, upper(entity) AS entity_key, family, count(*) AS row_count, CAST(max(CAST({ORIGINAL} AS INT)) AS INT) AS has_original,
-  arg_min(contractor, (award_date, id)) AS contractor, arg_min(fiscal_year, (award_date, id)) AS recovery_batch, arg_min(id, (award_date, id)) AS rep_id
+  arg_min(contract_number, (award_date, id)) AS contract_number, arg_min(entity, (award_date, id)) AS entity, arg_min(contractor, (award_date, id)) AS contractor, arg_min(fiscal_year, (award_date, id)) AS recovery_batch, arg_min(id, (award_date, id)) AS rep_id
   FROM c GROUP BY ALL)"""
 SCAN = SCAN.replace("(award_date, id)", "row(award_date, id)")
 TARGETS = SCAN + """, m AS (SELECT * FROM s WHERE row_count > 1 AND has_original = 0),
-t AS (SELECT number_key AS contract_number, entity_key AS entity, contractor, family, recovery_batch, ['auto_discover', 'manual_url', 'auto_discover', 'guess'][CAST(rep_id % 4 + 1 AS INT)] AS lookup_mode,
+t AS (SELECT contract_number, entity, contractor, family, recovery_batch, ['auto_discover', 'manual_url', 'auto_discover', 'guess'][CAST(rep_id % 4 + 1 AS INT)] AS lookup_mode,
   CASE WHEN rep_id % 4 = 1 THEN 'https://example.org/contract' END AS source_url, ['pending', 'recovered', 'unrecoverable', 'ambiguous'][CAST(rep_id % 4 + 1 AS INT)] AS status,
   CASE WHEN rep_id % 4 = 2 THEN 'no candidate' END AS notes, rep_id AS position FROM m)"""
 HASH = """substr(sha256(concat_ws('|', contract_number, entity, contractor, amendment, CAST(award_date AS VARCHAR), CASE WHEN amount = 0 THEN '' ELSE CAST(amount AS VARCHAR) END)), 1, 16)"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,67 +92,104 @@ register(
 ))
 
 
-def valid_targets(c: DataFrame) -> DataFrame:
-    """The targets with a valid mode, written once as several steps read them."""
+class Case(NamedTuple):
+    """What a recovery works on."""
+
+    targets: DataFrame
+    rows: DataFrame
+    pages: DataFrame
+    entities: DataFrame
+    known: DataFrame
+    recovered: DataFrame
+
+
+TWICE, RIVAL = 1 << 40, 1 << 41
+NO_TEXT = ("pco_number", "document_url", "source_url", "source_contract_id")
+
+
+def case_of(c: DataFrame) -> Case:
+    """All targets with a valid mode; some a second time, some again for another contractor, which a search row of its own
+    names. Some pages cannot be had, some targets with a URL lack it, and some originals were recovered before. Entities
+    whose name ends in 7 have two codes."""
     checkpoint_dir(c.sparkSession)
-    return targets_of(c).where(F.col("lookup_mode").isin(*recovery.MODES)).checkpoint()
+    p = F.col("position")
+    own = F.when((F.col("lookup_mode") == "manual_url") & (p % 5 != 3), shown.detail_url(BASE, p * 10))
+    t = targets_of(c).where(F.col("lookup_mode").isin(*recovery.MODES)).withColumn("source_url", own).checkpoint()
+    rivals = t.where(p % 6 == 2).withColumn("contractor", F.lit("Rival Works"))
+    again = t.where(p % 6 == 0).withColumn("position", p + TWICE).unionByName(rivals.withColumn("position", p + RIVAL))
+    name = F.array(F.struct(F.lit(None).cast("string").alias("Name")), F.struct(F.lit("Rival Works").alias("Name")))
+    more = search_of(rivals, 1).where("ContractId % 10 = 0").withColumns({"ContractId": F.col("ContractId") + 5, "Contractors": name})
+    names = c.select(F.col("entity").alias("name"), F.col("entity_number").alias("code")).distinct()
+    none = {x: F.lit(None).cast("string") for x in NO_TEXT}
+    before = t.where(p % 9 == 4).select(
+        *(F.col(x) if x in ("contract_number", "entity", "contractor") else F.lit(v).cast(k).alias(x) for x, k, v in BEFORE), F.col("position").alias("pos"),
+    )
+    return Case(
+        t.unionByName(again), search_of(t).unionByName(more), pages_of(search_of(t, 1).unionByName(more)).where("ContractId % 17 <> 0"),
+        names.unionByName(names.where("name LIKE '%7'").withColumn("code", F.lit("x"))), by_hash(c.withColumns(none)), by_hash(before),
+    )
 
 
-def checked_of(t: DataFrame) -> DataFrame:
-    """The candidates of each target (searched, or the first page for targets with a URL of their own) with the records of
-    their pages, enriched from the search rows, and why they are not valid."""
-    rows = search_of(t, 1)
-    details = live.detail_records(pages_of(rows), keep=("ContractId",)).withColumnRenamed("ContractId", "detail_id")
-    found = resolution.candidates(t.where("lookup_mode = 'auto_discover'"), search_of(t)).select("position", F.col("search.ContractId").alias("detail_id"), F.lit(True).alias("searched"))
-    own = t.where("lookup_mode = 'manual_url'").select("position", (F.col("position") * 10).alias("detail_id"), F.lit(False).alias("searched"))
-    records = live.search_records(rows, BASE, "live_recovery", ("ContractId",)).select(F.col("ContractId").alias("detail_id"), F.struct(*RECORD).alias("search_record"))
-    met = found.unionByName(own).join(details, "detail_id").join(t.select("position", F.col("contract_number").alias("tn"), F.col("entity").alias("te"), F.col("contractor").alias("tc")), "position").join(records, "detail_id", "left")
-    met = met.withColumn("reason", resolution.detail_reason(F.col("tn"), F.col("te"), F.col("tc"))).withColumn("search_record", F.when(F.col("searched"), F.col("search_record")))
-    return resolution.enriched(met, "search_record", "live_recovery").select("position", "detail_id", "reason", *RECORD, "row_hash")
+#: The columns of the originals that were recovered before, with their kinds and values.
+BEFORE = [(x, "double" if x.startswith("amount") else "date" if x in ("award_date", "valid_from", "valid_to") else "int" if x == "cancelled" else "string", {"amendment": "", "amount": 1.0, "award_date": "2001-01-01", "cancelled": 0, "source_type": "live_recovery"}.get(x)) for x in RECORD]
 
 
-REASON = f"""CASE WHEN amendment <> '' THEN '{resolution.NOT_ORIGINAL}' WHEN contract_number <> target_number THEN '{resolution.WRONG_NUMBER}'
-  WHEN other THEN '{resolution.WRONG_CONTRACTOR}' WHEN award_date IS NULL THEN '{resolution.NO_DATE}' END"""
-CHECKED = f"""k AS (SELECT *, {REASON} AS reason FROM d WHERE (lookup_mode = 'auto_discover' AND j < position % 3 AND amendment = '' AND NOT other) OR (lookup_mode = 'manual_url' AND j = 0))"""
-register("detail_checks", "SELECT position, contract_id AS detail_id, reason FROM k", TARGETS, search_sql("r", 1), DETAIL_SQL, CHECKED)(
-    lambda c: checked_of(valid_targets(c)).select("position", "detail_id", "reason")
-)
-register(
-    "enriched_records",
-    f"""SELECT position, contract_id AS detail_id, contract_number, entity, contractor, service_category, CASE WHEN lookup_mode = 'auto_discover' THEN 'ADVICE' END AS service_type,
-      CASE WHEN lookup_mode = 'auto_discover' THEN coalesce(award_date, valid_from) ELSE award_date END AS award_date, CASE WHEN lookup_mode = 'auto_discover' THEN CAST(cancelled AS INT) ELSE 0 END AS cancelled,
-      CASE WHEN lookup_mode = 'auto_discover' AND has_document THEN '{BASE}/contract/downloaddocument?code=doc' || CAST(position AS VARCHAR) END AS document_url, source_url FROM k""",
-    TARGETS, search_sql("r", 1), DETAIL_SQL, CHECKED,
-)(lambda c: checked_of(valid_targets(c)).select("position", "detail_id", "contract_number", "entity", "contractor", "service_category", "service_type", "award_date", "cancelled", "document_url", "source_url"))
+def checked_of(c: DataFrame) -> DataFrame:
+    case = case_of(c)
+    _, asked = resolution.asked_pages(case.targets, case.rows, case.entities, BASE)
+    return resolution.checked_pages(case.targets, asked, case.pages, BASE).withColumn("detail_id", shown.contract_id_of(F.col("url")).cast("long"))
 
 
-def outcomes(c: DataFrame) -> DataFrame:
-    """The outcome of every target with a valid mode; entities with more than one code are those whose number ends in 7."""
-    t = valid_targets(c)
-    names = c.select(F.col("entity").alias("name"), F.col("entity_number").alias("code")).distinct()
-    entities = names.unionByName(names.where("name LIKE '%7'").withColumn("code", F.lit("x")))
-    checked = checked_of(t).checkpoint()
-    found = resolution.candidates(t.where("lookup_mode = 'auto_discover'"), search_of(t))
-    told = resolution.discovered(t, entities, found)
-    none = by_hash(c).limit(0).select(*(F.lit(None).cast(k).alias(n) for n, k in checked.select(*RECORD, "row_hash").dtypes), F.lit(0).alias("pos"))
-    known = by_hash(c.withColumns({x: F.lit(None).cast("string") for x in ("pco_number", "document_url", "source_url", "source_contract_id")}))
-    return resolution.resolved(told, checked.join(told.where("found").select("position"), "position", "left_semi"), known, none).select("position", "status", "notes")
+def recovered_of(c: DataFrame) -> resolution.Recovery:
+    return resolution.recover(*case_of(c), BASE)
 
 
-OUTCOME = f"""o AS (SELECT k.position, count(*) FILTER (WHERE reason IS NULL) AS n, string_agg(DISTINCT reason, '; ' ORDER BY reason) AS reasons, count(*) AS n_all,
-  min(contract_number) FILTER (WHERE reason IS NULL) AS cn, min(entity) FILTER (WHERE reason IS NULL) AS en, min(family) FILTER (WHERE reason IS NULL) AS fam FROM k GROUP BY k.position),
+CASE = f"""q AS (SELECT *, position AS base, false AS rival, lookup_mode = 'manual_url' AND position % 5 = 3 AS no_url FROM t WHERE lookup_mode IN ('manual_url', 'auto_discover')),
+qq AS (SELECT * FROM q UNION ALL SELECT * REPLACE (position + {TWICE} AS position) FROM q WHERE position % 6 = 0
+  UNION ALL SELECT * REPLACE (position + {RIVAL} AS position, 'Rival Works' AS contractor, 'RIVAL WORKS' AS family, true AS rival) FROM q WHERE position % 6 = 2),
+dd AS (SELECT *, false AS rival FROM d UNION ALL
+  SELECT * REPLACE (contract_id + 5 AS contract_id, CASE WHEN (contract_id + 5) % 11 = 0 THEN '0000-000000' ELSE target_number END AS contract_number, CASE WHEN (contract_id + 5) % 13 <> 0 THEN valid_from END AS award_date,
+    'Rival Works' AS contractor, 'RIVAL WORKS' AS family, false AS other, '{BASE}/contract/details?contractid=' || CAST(contract_id + 5 AS VARCHAR) AS source_url), true FROM d WHERE j = 0 AND position % 6 = 2),
+k AS (SELECT qq.position, contract_id, qq.lookup_mode, qq.base, amendment, dd.contract_number, target_number, dd.entity, dd.contractor, dd.family, other, award_date, valid_from, cancelled, has_document, service_category, dd.source_url, contract_id % 17 = 0 AS missing,
+    qq.entity NOT LIKE '%7' AND amendment = '' AND NOT other AND (dd.rival OR j < base % 3) AS searched
+  FROM qq JOIN dd ON dd.position = qq.base AND dd.rival = qq.rival
+  WHERE CASE WHEN qq.lookup_mode = 'manual_url' THEN j = 0 AND NOT no_url ELSE qq.entity NOT LIKE '%7' AND amendment = '' AND NOT other AND (dd.rival OR j < base % 3) END)"""
+REASON = f"""CASE WHEN missing THEN NULL WHEN amendment <> '' THEN '{resolution.NOT_ORIGINAL}' WHEN contract_number <> target_number THEN '{resolution.WRONG_NUMBER}'
+  WHEN other THEN '{resolution.WRONG_CONTRACTOR}' WHEN award_date IS NULL THEN '{resolution.NO_DATE}' END"""
+CHECKED = f"kk AS (SELECT *, {REASON} AS reason FROM k)"
+CASE_PARTS = (TARGETS, search_sql("r", 1), DETAIL_SQL, CASE, CHECKED)
+register("detail_checks", "SELECT position, contract_id AS detail_id, missing, reason FROM kk", *CASE_PARTS)(lambda c: checked_of(c).select("position", "detail_id", "missing", "reason"))
+register(
+    "enriched_records",
+    f"""SELECT position, contract_id AS detail_id, contract_number, entity, contractor, service_category, CASE WHEN searched THEN 'ADVICE' END AS service_type,
+      CASE WHEN searched THEN coalesce(award_date, valid_from) ELSE award_date END AS award_date, CASE WHEN searched THEN CAST(cancelled AS INT) ELSE 0 END AS cancelled,
+      CASE WHEN searched AND has_document THEN '{BASE}/contract/downloaddocument?code=doc' || CAST(base AS VARCHAR) END AS document_url, source_url FROM kk WHERE NOT missing""",
+    *CASE_PARTS,
+)(lambda c: checked_of(c).where("not missing").select("position", "detail_id", "contract_number", "entity", "contractor", "service_category", "service_type", "award_date", "cancelled", "document_url", "source_url"))
+OUTCOME = f"""g AS (SELECT position, count(*) AS n_all, count(*) FILTER (WHERE reason IS NULL AND NOT missing) AS n, string_agg(DISTINCT reason, '; ' ORDER BY reason) AS reasons, min(source_url) FILTER (WHERE missing) AS lost FROM kk GROUP BY position),
 first_original AS (SELECT contract_number, entity, arg_min(family, id) AS family FROM c WHERE upper(trim(amendment)) IN ('', 'ORIGINAL') GROUP BY contract_number, entity),
-x AS (SELECT t.position, t.lookup_mode, t.entity LIKE '%7' AS unclear, coalesce(o.n, 0) AS n, coalesce(o.n_all, 0) AS n_all, o.reasons, p.family AS parent_family, o.fam
-  FROM t LEFT JOIN o ON o.position = t.position LEFT JOIN first_original p ON p.contract_number = o.cn AND p.entity = o.en WHERE t.lookup_mode IN ('manual_url', 'auto_discover')),
-y AS (SELECT *, lookup_mode = 'manual_url' OR (NOT unclear AND n_all > 0) AS found, CASE WHEN lookup_mode = 'manual_url' THEN '{resolution.MANUAL}' WHEN unclear THEN '{resolution.NO_ENTITY}'
-  ELSE 'search returned ' || CAST(n_all AS VARCHAR) || ' exact candidate(s)' END AS discovery FROM x)"""
+before AS (SELECT contract_number, entity, family FROM q WHERE base % 9 = 4),
+x AS (SELECT qq.*, coalesce(g.n, 0) AS n, coalesce(g.n_all, 0) AS n_all, g.reasons, g.lost, coalesce(p.family, b.family) AS parent,
+  CASE WHEN lookup_mode = 'manual_url' THEN NOT no_url ELSE coalesce(g.n_all, 0) > 0 END AS found FROM qq LEFT JOIN g ON g.position = qq.position
+  LEFT JOIN first_original p ON p.contract_number = qq.contract_number AND p.entity = qq.entity LEFT JOIN before b ON b.contract_number = qq.contract_number AND b.entity = qq.entity),
+y AS (SELECT *, found AND lost IS NULL AND n = 1 AND parent IS NULL AS free FROM x),
+z AS (SELECT *, row_number() OVER w AS place, first_value(family) OVER w AS written FROM y WINDOW w AS (PARTITION BY contract_number, entity, free ORDER BY family, position)),
+o AS (SELECT *, CASE WHEN lookup_mode = 'manual_url' THEN '{resolution.MANUAL}' WHEN entity LIKE '%7' THEN '{resolution.NO_ENTITY}' ELSE 'search returned ' || CAST(n_all AS VARCHAR) || ' exact candidate(s)' END AS discovery,
+  no_url OR lost IS NOT NULL AS kept, CASE WHEN NOT free THEN CASE WHEN parent <> family THEN '{resolution.OTHER_FAMILY}' ELSE '{resolution.OTHER_ROW}' END
+    WHEN place = 1 THEN '{resolution.RECOVERED}' WHEN written = family THEN '{resolution.SAME_ROW}' ELSE '{resolution.OTHER_FAMILY}' END AS met FROM z)"""
 register(
     "target_outcomes",
-    f"""SELECT position, CASE WHEN NOT found OR n = 0 THEN 'unrecoverable' WHEN n > 1 THEN 'ambiguous' WHEN parent_family IS NULL THEN 'recovered' ELSE 'ambiguous' END AS status,
-      discovery || CASE WHEN NOT found THEN '' WHEN n = 0 THEN coalesce('; ' || reasons, '') WHEN n > 1 THEN '; ' || CAST(n AS VARCHAR) || ' validated candidates remain'
-      WHEN parent_family IS NULL THEN '; {resolution.RECOVERED}' WHEN parent_family <> fam THEN '; {resolution.OTHER_FAMILY}' ELSE '; {resolution.OTHER_ROW}' END AS notes FROM y""",
-    TARGETS, search_sql("r", 1), DETAIL_SQL, CHECKED, OUTCOME,
-)(outcomes)
+    f"""SELECT position, CASE WHEN kept THEN status WHEN NOT found OR n = 0 THEN 'unrecoverable' WHEN n > 1 THEN 'ambiguous' WHEN met IN ('{resolution.RECOVERED}', '{resolution.SAME_ROW}') THEN 'recovered' ELSE 'ambiguous' END AS status,
+      CASE WHEN no_url THEN '{resolution.NO_URL}' WHEN lost IS NOT NULL THEN 'error: no page for ' || lost WHEN NOT found THEN discovery WHEN n = 0 THEN discovery || coalesce('; ' || reasons, '')
+        WHEN n > 1 THEN discovery || '; ' || CAST(n AS VARCHAR) || ' validated candidates remain' ELSE discovery || '; ' || met END AS notes FROM o""",
+    *CASE_PARTS, OUTCOME,
+)(lambda c: recovered_of(c).outcomes.select("position", "status", "notes"))
+register(
+    "recovered_records",
+    f"""SELECT o.position, kk.contract_number, kk.entity, kk.contractor, kk.award_date, kk.source_url FROM o JOIN kk ON kk.position = o.position AND reason IS NULL
+      WHERE NOT kept AND found AND n = 1 AND met = '{resolution.RECOVERED}'""",
+    *CASE_PARTS, OUTCOME,
+)(lambda c: recovered_of(c).added.select("position", "contract_number", "entity", "contractor", "award_date", "source_url"))
 
 
 def varied(c: DataFrame) -> tuple[DataFrame, DataFrame]:

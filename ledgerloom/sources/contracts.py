@@ -128,11 +128,18 @@ def load_folder(spark: SparkSession, folder: str, recovered: str | None = None)
     return rows
 
 
+def by_header(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
+    """Columns of a CSV file as text, found by their headers; those it lacks are null, and a missing file has no rows."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in names))
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    have = {c.strip().lstrip("\ufeff"): c for c in reversed(df.columns)}
+    return df.select(*(F.col(f"`{have[c]}`").alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in names))
+
+
 def read_recovered(spark: SparkSession, path: str) -> DataFrame:
-    """Recovered records as text; a missing file has none."""
-    schema = ", ".join(f"{c} string" for c in RECORD)
-    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("ignoreMissingFiles", True).csv(path) if exists(spark, path) else spark.createDataFrame([], schema)
-    return df.withColumns({"file": F.lit(path.rstrip("/").rsplit("/", 1)[-1]), "pos": F.monotonically_increasing_id()})
+    """Recovered records as text, by header; a missing file has none."""
+    return by_header(spark, path, RECORD).withColumns({"file": F.lit(path.rstrip("/").rsplit("/", 1)[-1]), "pos": F.monotonically_increasing_id()})
 
 
 def write_recovered(rows: DataFrame, path: str) -> None:
@@ -141,13 +148,14 @@ def write_recovered(rows: DataFrame, path: str) -> None:
     rows.select(*RECORD).orderBy(*order).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
-def read_targets(spark: SparkSession, path: str) -> DataFrame:
-    """Recovery targets in file order (position): blanks are null, a blank status is pending; a missing file has none."""
-    schema = ", ".join(f"{c} string" for c in TARGET)
-    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path) if exists(spark, path) else spark.createDataFrame([], schema)
+def read_targets(spark: SparkSession, path: str, blank_status: str | None = "pending") -> DataFrame:
+    """Recovery targets in file order (position), by header: blanks are null, a blank status is ``blank_status``; a
+    missing file has none. Those who publish read with None, so that targets without a status are not taken for pending."""
+    df = by_header(spark, path, TARGET)
     value = lambda c: text.strip(F.coalesce(F.col(c), F.lit("")))
     plain = ("contract_number", "entity", "contractor", "lookup_mode")
-    return df.select(*(value(c).alias(c) if c in plain else F.coalesce(F.nullif(value(c), F.lit("")), F.lit("pending")).alias(c) if c == "status" else F.nullif(value(c), F.lit("")).alias(c) for c in TARGET), F.monotonically_increasing_id().alias("position"))
+    null = lambda c: F.nullif(value(c), F.lit(""))
+    return df.select(*((value(c) if c in plain else F.coalesce(null(c), F.lit(blank_status)) if c == "status" else null(c)).alias(c) for c in TARGET), F.monotonically_increasing_id().alias("position"))
 
 
 def write_targets(ordered: DataFrame, path: str) -> None:
