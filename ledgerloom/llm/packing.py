@@ -66,7 +66,8 @@ def encoded(docs: DataFrame, path: str, size: int, end: int) -> DataFrame:
                 doc = np.repeat(np.arange(hi - lo), counts)
                 flat = np.full(int(total.sum()), end, np.int32)
                 flat[np.arange(len(ids)) + doc] = ids
-                df += np.bincount(np.unique(np.repeat(np.arange(hi - lo), total) * vocabulary + flat) % vocabulary, minlength=vocabulary)
+                token, of, _ = counted(flat, np.repeat(np.arange(hi - lo), total))
+                df += np.bincount(token, minlength=vocabulary)
                 near = [np.minimum.reduceat(r[flat], first).astype(np.int64) for r in ranks]
                 rows = -(-total // size)
                 of = np.repeat(np.arange(hi - lo), rows)
@@ -85,6 +86,16 @@ def encoded(docs: DataFrame, path: str, size: int, end: int) -> DataFrame:
     return plain.mapInArrow(run, "doc_id long, doc_tokens long, start long, ids binary, near long, nearer long, token int, df long")
 
 
+def counted(tokens: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (token, document) in this order with their number; documents ascend. Small numbers sort by digits."""
+    order = np.argsort(tokens.astype(np.uint16) if len(tokens) and tokens.max() < 1 << 16 else tokens, kind="stable")
+    token, doc = tokens[order], docs[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    return token[first], doc[first], np.diff(first, append=len(token))
+
+
 class Shard:
     """The unused rests of documents with their inverted index."""
 
@@ -92,14 +103,14 @@ class Shard:
         self.ids, n = ids, len(ids)
         self.left = np.array([len(x) for x in ids], np.int64)
         self.at = np.zeros(n, np.int64)
-        doc, token = np.repeat(np.arange(n), self.left), np.concatenate(ids).astype(np.int64)
-        key, tf = np.unique(token * n + doc, return_counts=True)
-        token, self.doc = key // n, key % n
+        token, doc, tf = counted(np.concatenate(ids).astype(np.int64), np.repeat(np.arange(n), self.left))
+        telling = idf[token] > 0
+        token, self.doc, tf = token[telling], doc[telling], tf[telling]
         self.tokens, self.first = np.unique(token, return_index=True)
         self.first = np.append(self.first, len(token))
         self.weight = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.left[self.doc] / mean))
-        order = np.argsort(self.doc, kind="stable")
-        self.own = np.split(np.searchsorted(self.tokens, token[order]), np.searchsorted(self.doc[order], np.arange(1, n)))
+        own, of, _ = counted(self.doc, np.repeat(np.arange(len(self.tokens)), np.diff(self.first)))
+        self.own = np.split(of, np.searchsorted(own, np.arange(1, n)))
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused documents with a token of the seed's, by falling BM25, equal ones in order."""

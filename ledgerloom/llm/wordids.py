@@ -7,8 +7,6 @@ new words go to the ``tokenizers`` library, many in one text, whose tokens tell
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 
 from .terms import SHORT, SPACES, keys, ragged, runs, spread
@@ -43,26 +41,32 @@ class WordIds:
     def plainly(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def of_words(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words one after another, and their number for each word: one text for all, whose tokens say
-        where they stand; words with a special token go alone."""
-        text = " ".join(words)
-        special = [i for i, w in enumerate(words) if any(m in w for m in self.marks)] if any(m in text for m in self.marks) else []
-        if special:
-            alone = dict(zip(special, ([np.array(self.plainly(words[i]), np.int32)] for i in special), strict=True))
-            flat, size = self.of_words([w for i, w in enumerate(words) if i not in alone])
-            parts = iter(np.split(flat, np.cumsum(size)[:-1]) if len(size) else [])
-            found = [alone[i][0] if i in alone else next(parts) for i in range(len(words))]
+    def of_words(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words (ranges of a buffer) one after another, and their number for each word: one text for all,
+        whose tokens say where they stand; words with a special token go alone."""
+        if not len(begin):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        size = end - begin
+        at = np.cumsum(size + 1) - size - 1
+        flat = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+        flat[ragged(at, size)] = data[ragged(begin, size)]
+        text = str(flat, "utf-8")
+        if any(m in text for m in self.marks):
+            words = text.split(" ")[:-1]
+            special = np.array([any(m in w for m in self.marks) for w in words])
+            plain = np.flatnonzero(~special)
+            ids, number = self.of_words(data, begin[plain], end[plain])
+            parts = dict(zip(plain.tolist(), np.split(ids, np.cumsum(number)[:-1]) if len(number) else [], strict=True))
+            found = [np.array(self.plainly(w), np.int32) if i not in parts else parts[i] for i, w in enumerate(words)]
             return np.concatenate(found), np.array([len(x) for x in found], np.int64)
         got = self.library.encode(text, add_special_tokens=False)
-        length = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        start = np.cumsum(length) - length
-        word = np.searchsorted(start, np.array([a for a, _ in got.offsets], np.int64), side="right") - 1
-        return np.array(got.ids, np.int32), np.bincount(word, minlength=len(words)).astype(np.int64)
+        chars = np.cumsum((flat & 0xC0) != 0x80) - 1
+        word = np.searchsorted(chars[at], np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids)), side="right") - 1
+        return np.array(got.ids, np.int32), np.bincount(word, minlength=len(size)).astype(np.int64)
 
-    def added(self, words: Sequence[str], keep: bool) -> tuple[np.ndarray, np.ndarray]:
+    def added(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of words lie in the pool now, and their number; they stay there if ``keep``."""
-        flat, size = self.of_words(words) if words else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        flat, size = self.of_words(data, begin, end)
         if self.used + len(flat) > len(self.pool):
             self.pool = np.append(self.pool, np.zeros(max(len(self.pool), len(flat)), np.int32))
         self.pool[self.used : self.used + len(flat)] = flat
@@ -82,7 +86,6 @@ class WordIds:
         raw = memoryview(np.ascontiguousarray(data))
         if not self.local:
             return self.by_library(raw, offsets)
-        text_at = lambda i: str(raw[word.start[i] : word.end[i]], "utf-8")
         if len(self.at) > REMEMBERED:
             self.forget()
         where = np.flatnonzero(short)
@@ -97,7 +100,7 @@ class WordIds:
             if not same:  # two words share a place in the order: this buffer goes without the table
                 return self.by_library(raw, offsets)
             new = np.flatnonzero(~known)
-            at_new, size_new = self.added([text_at(i) for i in where[one[new]].tolist()], True)
+            at_new, size_new = self.added(data, word.start[where[one[new]]], word.end[where[one[new]]], True)
             merge = lambda old, fresh: np.insert(old, place[new], fresh)
             self.at, self.low, self.high = merge(self.at, at[new]), merge(self.low, low[one[new]]), merge(self.high, high[one[new]])
             self.start, self.size = merge(self.start, at_new), merge(self.size, size_new)
@@ -105,9 +108,10 @@ class WordIds:
             start[where], size[where] = self.start[place][back], self.size[place][back]
         where = np.flatnonzero(~short)
         if len(where):
-            texts: dict[str, int] = {}
-            number = np.array([texts.setdefault(text_at(i), len(texts)) for i in where.tolist()], np.int64)
-            at_new, size_new = self.added(list(texts), False)
+            texts: dict[bytes, int] = {}
+            number = np.array([texts.setdefault(bytes(raw[word.start[i] : word.end[i]]), len(texts)) for i in where.tolist()], np.int64)
+            one = where[np.unique(number, return_index=True)[1]]
+            at_new, size_new = self.added(data, word.start[one], word.end[one], False)
             start[where], size[where] = at_new[number], size_new[number]
         counts = np.bincount(word.doc, size, n).astype(np.int64)
         return self.pool[ragged(start, size)], counts
