@@ -28,8 +28,9 @@ class Runs(NamedTuple):
     doc: np.ndarray
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Runs:
-    """Maximal runs of the bytes that the table ``inside`` marks; they never cross documents."""
+def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, kind: np.ndarray | None = None) -> Runs:
+    """Maximal runs of the bytes that the table ``inside`` marks; they never cross documents. Where ``kind`` goes from 1
+    to 2 or back, a run ends too."""
     got = []
     for lo, hi in pieces(offsets):
         base, off = int(offsets[lo]), offsets[lo : hi + 1] - offsets[lo]
@@ -39,6 +40,10 @@ def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Runs:
         begin, stop = word.copy(), word.copy()
         begin[1:] &= ~word[:-1]
         stop[:-1] &= ~word[1:]
+        if kind is not None:
+            cut = np.bitwise_xor(kind[data[base : base + off[-1]]][1:], kind[data[base : base + off[-1]]][:-1]) == 3
+            begin[1:] |= cut
+            stop[:-1] |= cut
         edge = off[:-1][off[:-1] < len(word)]
         begin[edge] = word[edge]
         edge = off[1:][off[1:] > 0] - 1

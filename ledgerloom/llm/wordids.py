@@ -7,12 +7,16 @@ new words go to the ``tokenizers`` library, many in one text, whose tokens tell
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 
 from .terms import SHORT, SPACES, keys, ragged, runs, spread
 
 _WORD = np.ones(256, bool)
 _WORD[list(SPACES)] = False
+# Fixed value: a pattern that cuts words so that letters never share a piece with other signs but an apostrophe.
+LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Short words that a task remembers; beyond that it begins anew.
 REMEMBERED = 1_000_000
 
@@ -31,8 +35,20 @@ class WordIds:
         self.marks = [t.content for t in added]
         #: Whether special tokens are found by their exact text alone, whatever stands beside them.
         self.local = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added)
+        self.kind = self.kinds(json.loads(self.library.to_str())["pre_tokenizer"])
         self.forget()
 
+    def kinds(self, cutter: dict | None) -> np.ndarray | None:
+        """Under the known pattern words are cut further, between ASCII letters (1) and plain signs (2), which gives fewer
+        distinct ones; signs of special tokens are not cut off."""
+        steps = (cutter or {}).get("pretokenizers", [cutter])
+        if not any(s and s["type"] == "Split" and s["pattern"].get("Regex") == LETTERS_APART for s in steps):
+            return None
+        kind = np.zeros(256, np.uint8)
+        for c in map(chr, range(0x21, 0x7F)):
+            kind[ord(c)] = 1 if c.isalpha() else 2 if not c.isdigit() and c != "'" and not any(c in m for m in self.marks) else 0
+        return kind
+
     def forget(self) -> None:
         none = np.zeros(0, np.uint64)
         self.at, self.low, self.high = none, none, none
@@ -80,7 +96,7 @@ class WordIds:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a buffer one after another, and their number for each text."""
-        n, word = len(offsets) - 1, runs(data, offsets, _WORD)
+        n, word = len(offsets) - 1, runs(data, offsets, _WORD, self.kind)
         start, size = np.zeros(len(word.start), np.int64), np.zeros(len(word.start), np.int64)
         short = word.end - word.start <= SHORT
         raw = memoryview(np.ascontiguousarray(data))
