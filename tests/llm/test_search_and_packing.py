@@ -139,6 +139,8 @@ def test_packed_fields_are_exact():
 def test_word_ids_are_those_of_the_library(planted):
     path = vocabulary_path("word_bpe_49k.json")
     texts = [r["text"] or "" for r in planted.collect()] + ["é ́ x", "ΣΑΣ  ﬁ ½ Ω​", "a<|endoftext|>b c", "'s 'll it's 1234", "\x1c\x85 y"]
+    rng = random.Random(9)
+    texts += ["".join(rng.choices("aZs't.,-=<|>1é€\u0338\u0301 %<|endoftext|>", k=30)) for _ in range(2000)] + ["it's.'s-'s", "a='s", "x<|endoftext|>.", "a\u0301.b\u0338=\u0338"]
     library, own = Tokenizer.from_file(path), WordIds(path)
     for _ in range(2):  # the second time from the table
         data, offsets = text_buffer(pa.array(texts))
