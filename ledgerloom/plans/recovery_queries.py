@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import parse, shown
-from ledgerloom.operators import recovery, resolution
+from ledgerloom.operators import loading, recovery, resolution
 from ledgerloom.plans.base import HASH as WHOLE_HASH
-from ledgerloom.plans.base import TARGETS, by_hash, register
+from ledgerloom.plans.base import ORIGINAL, TARGETS, by_hash, register
 from ledgerloom.session import checkpoint_dir
 from ledgerloom.sources import live
 from ledgerloom.sources.contracts import RECORD, TARGET
@@ -266,18 +266,44 @@ register(
 )(lambda c: recovery.seed_counts(tracked(c), recovery.family_scan(c)))
 register(
     "targets_in_order",
-    """SELECT position, row_number() OVER (ORDER BY CAST(left(recovery_batch, 4) AS INT) DESC, contract_number, entity, family, lookup_mode) AS place FROM t QUALIFY place <= 200""",
+    """SELECT position, row_number() OVER (ORDER BY CAST(left(recovery_batch, 4) AS INT) DESC, contract_number, entity, family, lookup_mode, position) AS place FROM t""",
     TARGETS,
-)(lambda c: targets_of(c).orderBy(*recovery.target_order()).limit(200).select("position").withColumn("place", F.row_number().over(places())))
+)(lambda c: loading.load_ids(targets_of(c).withColumns({f"k{i}": k for i, k in enumerate(recovery.target_order())}), [*(f"k{i}" for i in range(6)), "position"]).select("position", F.col("id").alias("place")))
 
 
-def places():
-    """The places of a list of 200, in its order."""
-    from pyspark.sql import Window
+def spelled(c: DataFrame) -> DataFrame:
+    """Contracts whose numbers and entities are written in several ways, with and without code, accents and capitals."""
+    k = F.col("id")
+    number = F.concat("contract_number", F.when(k % 2 == 0, "-a").otherwise("-A"))
+    entity = F.when(k % 3 == 0, F.concat(F.lit("Educación "), F.lower("entity"))).when(k % 3 == 1, F.concat_ws(" | ", "entity_number", F.concat(F.lit("EDUCACIÓN "), "entity"))).otherwise(F.concat(F.lit("  educacion  "), "entity"))
+    return c.withColumns({"contract_number": number, "entity": entity})
 
-    return Window.orderBy(F.monotonically_increasing_id())
 
+SPELLED = f"""e AS (SELECT * REPLACE (contract_number || CASE WHEN id % 2 = 0 THEN '-a' ELSE '-A' END AS contract_number,
+    CASE id % 3 WHEN 0 THEN 'Educación ' || lower(entity) WHEN 1 THEN entity_number || ' | EDUCACIÓN ' || entity ELSE '  educacion  ' || entity END AS entity), upper(contract_number) || '-A' AS number_key, 'EDUCACION ' || entity AS entity_key FROM c),
+es AS (SELECT number_key, entity_key, family, count(*) AS row_count, CAST(max(CAST({ORIGINAL} AS INT)) AS INT) AS has_original, arg_min(contract_number, row(award_date, id)) AS contract_number, trim(arg_min(entity, row(award_date, id))) AS entity,
+  arg_min(contractor, row(award_date, id)) AS contractor, arg_min(fiscal_year, row(award_date, id)) AS recovery_batch, arg_min(id, row(award_date, id)) AS rep_id FROM e GROUP BY number_key, entity_key, family)"""
+register("family_scan_spelled", "SELECT * FROM es", SPELLED)(lambda c: recovery.family_scan(spelled(c)))
 
+
+def tracked_spelled(c: DataFrame) -> DataFrame:
+    """A tracking file with the folded spelling of two of three families without an original, and of some that have one."""
+    scan = recovery.family_scan(spelled(c))
+    rows = scan.where("(row_count > 1 and has_original = 0 and rep_id % 3 > 0) or (has_original = 1 and row_count > 3)")
+    none = {x: F.lit(None).cast("string").alias(x) for x in ("source_url", "notes", "last_checked_at")}
+    return rows.select(
+        F.col("number_key").alias("contract_number"), F.concat(F.lit("9 |  "), F.lower("entity_key")).alias("entity"), "contractor", F.when(F.col("rep_id") % 2 == 0, F.col("recovery_batch")).alias("recovery_batch"), F.lit("auto_discover").alias("lookup_mode"), none["source_url"],
+        F.when(F.col("rep_id") % 5 == 0, "recovered").otherwise("ambiguous").alias("status"), none["notes"], none["last_checked_at"], F.col("rep_id").alias("position"),
+    )
+
+
+register(
+    "seeded_targets_spelled",
+    """SELECT number_key AS contract_number, '9 |  ' || lower(entity_key) AS entity, contractor, recovery_batch, 'auto_discover' AS lookup_mode, CAST(NULL AS VARCHAR) AS source_url, CASE WHEN rep_id % 5 = 0 THEN 'recovered' ELSE 'ambiguous' END AS status,
+      CAST(NULL AS VARCHAR) AS notes, CAST(NULL AS VARCHAR) AS last_checked_at FROM es WHERE (row_count > 1 AND has_original = 0 AND rep_id % 3 > 0) OR (has_original = 1 AND row_count > 3 AND rep_id % 5 = 0)
+      UNION ALL SELECT contract_number, entity, contractor, recovery_batch, 'auto_discover', NULL, 'pending', NULL, NULL FROM es WHERE row_count > 1 AND has_original = 0 AND rep_id % 3 = 0""",
+    SPELLED,
+)(lambda c: recovery.seeded(tracked_spelled(c), recovery.family_scan(spelled(c))))
 register("targets_of_number", "SELECT * FROM t WHERE status IN ('pending', 'ambiguous') AND lookup_mode IN ('manual_url', 'auto_discover') AND (lookup_mode <> 'manual_url' OR source_url IS NOT NULL) AND contract_number = (SELECT min(contract_number) FROM t WHERE status = 'pending')", TARGETS)(
     lambda c: (lambda t: recovery.selected(t, ("ambiguous",), all_pending=True).join(F.broadcast(t.where("status = 'pending'").agg(F.min("contract_number").alias("contract_number"))), "contract_number", "left_semi"))(targets_of(c))
 )

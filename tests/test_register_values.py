@@ -212,18 +212,113 @@ def test_target_selection_and_order(spark):
 
 
 def test_outcomes_of_targets(spark):
-    t = spark.createDataFrame([("auto_discover", k, "Autoridad de Transporte") for k in range(5)] + [("manual_url", 5, "x"), ("auto_discover", 6, "Doble")], "lookup_mode string, position long, entity string")
+    rows = [("N", "Autoridad de Transporte", "F", "2022-2023", "auto_discover", k, None, "pending") for k in range(5)] + [("N", "x", "F", None, "manual_url", 5, "u", "pending"), ("N", "Doble", "F", None, "auto_discover", 6, None, "pending"), ("N", "x", "F", None, "manual_url", 7, " ", "ambiguous"), ("N", "x", "F", None, "manual_url", 8, "v", "pending")]
+    t = spark.createDataFrame(rows, "contract_number string, entity string, contractor string, recovery_batch string, lookup_mode string, position long, source_url string, status string")
     entities = spark.createDataFrame([("Autoridad de Transporte", "1"), ("Doble", "2"), ("DOBLE", "3")], "name string, code string")
     found = spark.createDataFrame([(0,), (1,), (1,), (2,), (4,)], "position long")
-    told = {r["position"]: (r["discovery"], r["found"]) for r in resolution.discovered(t, entities, found).collect()}
-    assert told[0] == ("search returned 1 exact candidate(s)", True) and told[3] == ("search returned 0 exact candidate(s)", False) and told[5] == (resolution.MANUAL, True) and told[6] == (resolution.NO_ENTITY, False)
+    told = {r["position"]: (r["discovery"], r["found"], r["askable"]) for r in resolution.discovered(t, entities, found).collect()}
+    assert told[0] == ("search returned 1 exact candidate(s)", True, True) and told[3] == ("search returned 0 exact candidate(s)", False, True) and told[5] == (resolution.MANUAL, True, True) and told[6] == (resolution.NO_ENTITY, False, True) and not told[7][2]
     base = records_of(spark, 6)
-    checked = base.withColumn("position", F.least(F.col("source_contract_id").cast("long"), F.lit(5))).withColumn("reason", F.when(F.col("position") == 2, resolution.NO_DATE))
+    checked = base.withColumn("position", F.least(F.col("source_contract_id").cast("long"), F.lit(5))).withColumns({"reason": F.when(F.col("position") == 2, resolution.NO_DATE), "url": F.lit("u"), "missing": F.lit(False)})
     twice = checked.where("position = 1").withColumn("source_contract_id", F.lit("77"))
+    lost = checked.where("position = 0").withColumns({"position": F.lit(8).cast("long"), "url": F.lit("v"), "missing": F.lit(True)})
     known = base.limit(1).withColumns({"id": F.lit(9), "contract_number": F.lit("other"), "row_hash": F.lit("h")})
-    got = {r["position"]: (r["status"], r["notes"]) for r in resolution.resolved(resolution.discovered(t, entities, found), checked.where("position <> 3").unionByName(twice), known, known.limit(0).withColumn("pos", F.lit(0))).collect()}
+    args = resolution.discovered(t, entities, found), checked.where("position <> 3").unionByName(twice).unionByName(lost), known, known.limit(0).withColumn("pos", F.lit(0))
+    done = resolution.resolved(*args)
+    got = {r["position"]: (r["status"], r["notes"]) for r in done.outcomes.collect()}
     assert got[0] == ("recovered", "search returned 1 exact candidate(s); recovered original row") and got[1] == ("ambiguous", "search returned 2 exact candidate(s); 2 validated candidates remain")
     assert got[2] == ("unrecoverable", f"search returned 1 exact candidate(s); {resolution.NO_DATE}") and got[3] == ("unrecoverable", "search returned 0 exact candidate(s)") and got[6] == ("unrecoverable", resolution.NO_ENTITY)
+    assert got[7] == ("ambiguous", resolution.NO_URL) and got[8] == ("pending", "error: no page for v")
+    # targets 0, 4 and 5 found the same contract under three ids: the first in order is written, the others have it already
+    assert got[4] == ("recovered", f"search returned 1 exact candidate(s); {resolution.SAME_ROW}") and got[5] == ("recovered", f"{resolution.MANUAL}; {resolution.SAME_ROW}")
+    assert [r["position"] for r in done.added.collect()] == [0]
+    dry = resolution.resolved(*args, dry_run=True)
+    assert dry.added.count() == 0 and {r["position"]: r["status"] for r in dry.outcomes.collect()}[4] == "recovered"
+
+
+def in_sequence(records, known, recovered):
+    """Conflicts as a loop over the records finds them, each written where it may be."""
+    kinds, written = [], [dict(r) for r in recovered]
+    zero = lambda x: x or 0
+    present = lambda x, y: not x or not y or x == y
+
+    def verdict(old, new, equal):
+        if all((zero(old[c]) == zero(new[c])) if c == "cancelled" else old[c] == new[c] for c in sources.RECORD):
+            return "identical", equal
+        alike = all(old[c] == new[c] for c in ("contract_number", "entity", "amount", "award_date", "valid_from", "valid_to"))
+        if alike and not old["amendment"] and present(old["entity_number"], new["entity_number"]) and zero(old["amount_receivable"]) == zero(new["amount_receivable"]) and present(old["family"], new["family"]):
+            return ("identical", resolution.SAME_ROW) if old["source_type"] == "live_recovery" else ("needs_enrichment", resolution.DEFER)
+        return None
+
+    for r in records:
+        twin = next((x for x in [*known, *written] if x["row_hash"] == r["row_hash"]), None)
+        parent = next((x for x in [*known, *written] if (x["contract_number"], x["entity"]) == (r["contract_number"], r["entity"]) and not x["amendment"]), None)
+        if twin:
+            kinds.append(verdict(twin, r, resolution.SAME_ROW) or ("hash_conflict", resolution.COLLISION))
+        elif parent:
+            kinds.append(verdict(parent, r, resolution.SAME_ORIGINAL) or ("family_conflict", resolution.OTHER_FAMILY if parent["family"] != r["family"] else resolution.OTHER_ROW))
+        else:
+            kinds.append(("ok", resolution.READY))
+            written.append(r)
+    return kinds
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_conflicts_are_those_of_a_loop_over_targets(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    base = records_of(spark, 1).first().asDict()
+
+    def made(n, original):
+        out = []
+        for k in range(n):
+            r = base | {"contract_number": f"N{rng.randrange(6)}", "entity": rng.choice("EF"), "contractor": rng.choice(["Ace", "Ace Inc", "Bolt"]), "amount": rng.choice([1.0, 2.0]), "amount_receivable": rng.choice([None, 0.0, 5.0]), "entity_number": rng.choice([None, "1", "2"]), "source_type": rng.choice(["csv", "live_recovery"]), "cancelled": rng.choice([0, None]), "amendment": "" if original or rng.random() < 0.5 else "A"}
+            out.append(r | {"family": r["contractor"].replace(" Inc", "").upper(), "row_hash": "|".join(str(r[c]) for c in ("contract_number", "entity", "contractor", "amendment", "amount")), "id": k, "pos": k, "rank": k})
+        return out
+
+    records, known, recovered = made(40, True), made(4, False), made(4, False)
+    schema = records_of(spark, 1).limit(0).withColumns({"family": F.lit(""), "id": F.lit(0), "pos": F.lit(0), "rank": F.lit(0)}).schema
+    for field in schema:
+        field.nullable = True
+    frame = lambda rows: spark.createDataFrame([tuple(r[c] for c in schema.names) for r in rows], schema)
+    got = resolution.conflicts(frame(records), frame(known), frame(recovered), True).collect()
+    assert [(r["conflict"], r["conflict_note"]) for r in sorted(got, key=lambda r: r["rank"])] == in_sequence(records, known, recovered)
+
+
+def test_recovery_from_end_to_end(spark, tmp_path):
+    """Seed targets, work on them, write what they recovered, and seed again."""
+    firm, entity = "IEMES PSC", "Autoridad de Transporte"
+    load = lambda rows: rows_of(spark, rows).withColumns({c: F.lit(None).cast("string") for c in ("entity_number", "source_type", "pco_number", "document_url", "source_url", "source_contract_id")} | {"amount_receivable": F.lit(0.0), "row_hash": F.concat(F.lit("h"), F.col("id").cast("string"))})
+    rows = [(1, "2022-000019", f"3136 | {entity}", firm, "A", "c", 1.0), (2, "2022-000019", entity, firm, "B", "c", 1.0)]
+    scan = recovery.family_scan(load(rows))
+    t = recovery.seeded(spark.createDataFrame([], TARGETS), scan).withColumn("position", F.lit(0).cast("long"))
+    assert [tuple(r) for r in t.select("contract_number", "entity", "status").collect()] == [("2022-000019", f"3136 | {entity}", "pending")]
+    search = spark.createDataFrame([search_json()], live.SEARCH_ROW)
+    pages = spark.createDataFrame([(f"{BASE}/contract/details?contractid=5248440", DETAIL)], "url string, html string")
+    entities = spark.createDataFrame([(entity, "3136")], "name string, code string")
+    empty = spark.createDataFrame([], records_of(spark, 1).withColumn("pos", F.lit(0)).schema)
+    done = resolution.recover(t, search, pages, entities, load(rows), empty, BASE)
+    assert [(r["status"], r["notes"]) for r in done.outcomes.collect()] == [("recovered", f"search returned 1 exact candidate(s); {resolution.RECOVERED}")]
+    path = str(tmp_path / "recovered")
+    sources.write_recovered(done.added, path)
+    back = sources.canonical(sources.read_recovered(spark, path), "live_recovery").collect()
+    assert [(r["contract_number"], r["source_type"], r["amendment"]) for r in back] == [("2022-000019", "live_recovery", "")]
+    again = recovery.family_scan(load([*rows, (3, "2022-000019", entity, firm, "", "c", 16200.0)]))
+    assert recovery.missing_originals(again).count() == 0
+    kept = t.drop("position").withColumn("status", F.lit("recovered")).withColumn("position", F.lit(0).cast("long"))
+    assert recovery.seeded(kept, again).count() == 1 and recovery.seeded(t, again).count() == 0
+
+
+def test_files_are_read_by_header(spark, tmp_path):
+    path = tmp_path / "recovered.csv"
+    path.write_text("entity,contract_number,extra,source_type\nE,N1,x,\n")
+    row = sources.read_recovered(spark, str(path)).first()
+    assert (row["contract_number"], row["entity"], row["contractor"], row["source_type"]) == ("N1", "E", None, None)
+    path = tmp_path / "targets.csv"
+    path.write_text("status,contract_number,notes,entity\n ,N1,\" \"\"x\"\" \",E\npending,N2,,E\n")
+    assert [r["status"] for r in sources.read_targets(spark, str(path)).orderBy("position").collect()] == ["pending", "pending"]
+    assert [(r["contract_number"], r["status"], r["notes"]) for r in recovery.publishable(sources.read_targets(spark, str(path), None)).collect()] == [("N1", None, "x")]
 
 
 def records_of(spark, n):
