@@ -8,18 +8,25 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.parse import money
 
 
-def top_contractors(families: DataFrame, n: int = 5) -> DataFrame:
-    got = families.where("family <> ''").groupBy("family").agg(F.max("rep_contractor").alias("contractor"), F.count("*").alias("families"), money(F.col("total")).alias("money"))
+def archived(families: DataFrame, years: tuple[str, ...] = ()) -> DataFrame:
+    """The families whose representative row is of one of the archived years; all if none are named. Families are made
+    of the rows of all years first."""
+    return families.where(F.col("rep_fiscal_year").isin(*years)) if years else families
+
+
+def top_contractors(families: DataFrame, n: int = 5, years: tuple[str, ...] = ()) -> DataFrame:
+    got = archived(families, years).where("family <> ''").groupBy("family").agg(F.max("rep_contractor").alias("contractor"), F.count("*").alias("families"), money(F.col("total")).alias("money"))
     return got.orderBy(F.desc("money"), F.desc("families"), "family").limit(n)
 
 
-def top_entities(families: DataFrame, n: int = 5) -> DataFrame:
-    got = families.where("trim(entity) <> ''").groupBy("entity").agg(F.count("*").alias("families"), money(F.col("total")).alias("money"))
+def top_entities(families: DataFrame, n: int = 5, years: tuple[str, ...] = ()) -> DataFrame:
+    got = archived(families, years).where("trim(entity) <> ''").groupBy("entity").agg(F.count("*").alias("families"), money(F.col("total")).alias("money"))
     return got.orderBy(F.desc("money"), F.desc("families"), "entity").limit(n)
 
 
-def by_year(families: DataFrame) -> DataFrame:
-    return families.groupBy(F.col("rep_fiscal_year").alias("fiscal_year")).agg(F.count("*").alias("families"), money(F.col("total")).alias("money"))
+def by_year(families: DataFrame, years: tuple[str, ...] = ()) -> DataFrame:
+    got = archived(families, years).where("trim(rep_fiscal_year) <> ''")
+    return got.groupBy(F.col("rep_fiscal_year").alias("fiscal_year")).agg(F.count("*").alias("families"), money(F.col("total")).alias("money"))
 
 
 def share_of_largest(ranked: DataFrame) -> DataFrame:

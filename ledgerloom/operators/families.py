@@ -89,10 +89,10 @@ def amendments_of(rows: DataFrame, shown_ids: DataFrame) -> DataFrame:
 
 
 def amendment_counts(rows: DataFrame) -> DataFrame:
-    """For each row the number of rows that amend its family, and the row itself if it does not."""
+    """For each row the number of rows that amend its family, and the row itself if it does not; null keys are equal."""
     original = is_original(F.col("amendment"))
-    amended = rows.groupBy(*KEYS).agg(F.count_if(~original).alias("amended"))
-    return rows.join(amended, KEYS).select("id", (F.col("amended") + original.cast("int")).alias("amendments"))
+    amended = rows.groupBy(*(F.col(k).alias(f"__{k}") for k in KEYS)).agg(F.count_if(~original).alias("amended"))
+    return rows.join(amended, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in KEYS]).select("id", (F.col("amended") + original.cast("int")).alias("amendments"))
 
 
 def placeholders(families: DataFrame, targets: DataFrame) -> DataFrame:

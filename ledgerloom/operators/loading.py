@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import parse, shown, text
 from ledgerloom.operators import dashboard
 from ledgerloom.session import checkpoint_dir
+from ledgerloom.sources.contracts import TARGET
 
 # The published columns; those of exports and printed lists of families and of rows, in their order.
 PUBLISHED = ["id", "contract_number", "entity", "entity_number", "contractor", "amendment", "service_category", "service_type", "amount", "amount_receivable", "award_date", "valid_from", "valid_to", "procurement_method", "fund_type", "pco_number", "cancelled", "document_url", "fiscal_year", "source_type", "source_url", "source_contract_id"]
@@ -87,11 +88,12 @@ def snapshot(rows: DataFrame) -> DataFrame:
     return rows.select(*(day(c) if c in ("award_date", "valid_from", "valid_to") else plain(c) if kinds[c] == "string" else F.col(c) for c in PUBLISHED))
 
 
-def change_report(rows: DataFrame) -> DataFrame:
-    """The rows that normalising would change: id, and the dates and the amendment before (as stored text) and after."""
+def change_report(rows: DataFrame, *keep: str) -> DataFrame:
+    """The rows that normalising would change: id, and the dates and the amendment before (as stored text) and after.
+    ``keep``: further columns to show."""
     names = ("award_date", "valid_from", "valid_to", "amendment")
     after = {c: parse.date(F.col(c)).cast("string") for c in names[:3]} | {"amendment": F.nullif(text.strip(F.replace(F.col("amendment"), F.lit("\x00"), F.lit(""))), F.lit(""))}
-    both = rows.select("id", *(F.col(c).alias(f"{c}_before") for c in names), *(after[c].alias(f"{c}_after") for c in names))
+    both = rows.select("id", *keep, *(F.col(c).alias(f"{c}_before") for c in names), *(after[c].alias(f"{c}_after") for c in names))
     return both.where(reduce(lambda a, b: a | b, (~F.col(f"{c}_before").eqNullSafe(F.col(f"{c}_after")) for c in names)))
 
 
@@ -137,18 +139,45 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
-def manifest(rows: DataFrame, board: DataFrame, targets: DataFrame, archived: DataFrame) -> DataFrame:
-    """One row: statistics, dashboard (top contractors and entities, years) and publishable targets, as JSON. Lists hold a
-    few rows, but for the targets, which the document lists in full as its readers expect."""
-    stats = rows.agg(F.count("*").alias("row_count"), parse.money(F.col("amount")).alias("total_amount"), F.array_sort(F.collect_set("fiscal_year")).alias("fiscal_years"))
-    listed = lambda df, order, name: df.agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in df.columns if c not in order)))).alias(name))
-    top = dashboard.top_contractors(board).withColumn("rank", -F.col("money"))
-    entities = dashboard.top_entities(board).withColumn("rank", -F.col("money"))
-    parts = [listed(top, ["rank", "family"], "top_contractors"), listed(entities, ["rank", "entity"], "top_entities"), listed(dashboard.by_year(board), ["fiscal_year"], "yearly_spending"), listed(targets, ["contract_number", "entity"], "recovery_targets"), archived.agg(F.array_sort(F.collect_set("fiscal_year")).alias("archived_csv_fiscal_years"))]
-    for part in parts:
-        stats = stats.join(F.broadcast(part))  # one row each
-    board_part = F.struct("top_contractors", "top_entities", "yearly_spending").alias("dashboard")
-    return stats.select(F.to_json(F.struct("row_count", "total_amount", "fiscal_years", "archived_csv_fiscal_years", board_part, "recovery_targets")).alias("manifest"))
+def manifest_parts(rows: DataFrame, board: DataFrame, targets: DataFrame, archived: tuple[str, ...] = ()) -> DataFrame:
+    """(section, place, text): the manifest of the register as pieces of one JSON document, which they are when put
+    together by section and place. The first piece has the statistics, years (newest first, or the ``archived`` ones) and
+    dashboard, which are lists of a few rows; then each target is a piece of its own in file order (``position``); the
+    last closes the document. Nothing gathers the targets. Nulls are written; a null status is none that is pending."""
+    as_json = lambda *columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    exact = lambda c: F.col(c).cast("decimal(18,2)").alias("total_amount")
+
+    def listed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+        """A list of few rows, as a one-row table."""
+        shown_ = F.struct(F.col("name") if "name" in df.columns else F.col("fiscal_year"), F.col("families").alias("family_count"), exact("money"))
+        got = df.agg(F.array_sort(F.collect_list(F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)), shown_.alias("shown")))).alias("l"))
+        return got.select(F.to_json(F.transform("l", lambda x: x["shown"]), {"ignoreNullFields": "false"}).alias(name))
+
+    money_down = -F.col("money").cast("decimal(18,2)")
+    years = F.sort_array(F.collect_set("fiscal_year"), asc=False)
+    facts = rows.agg(F.count("*").alias("row_count"), F.coalesce(F.sum(F.col("amount").cast("decimal(18,2)")), F.lit(0)).cast("decimal(28,2)").alias("total_amount"), years.alias("held"))
+    given = F.array(*map(F.lit, archived)) if archived else F.col("held")
+    lists = (
+        listed(dashboard.top_contractors(board, years=archived).withColumn("name", F.col("contractor")), [money_down, -F.col("families"), F.col("family")], "top_contractors"),
+        listed(dashboard.top_entities(board, years=archived).withColumn("name", F.col("entity")), [money_down, -F.col("families"), F.col("entity")], "top_entities"),
+        listed(dashboard.by_year(board, archived), [F.col("fiscal_year")], "yearly_spending"),
+    )
+    for part in lists:
+        facts = facts.join(F.broadcast(part))  # one row each
+    quoted = lambda name: F.concat(F.lit(f'"{name}":'), F.col(name))
+    stats = as_json("row_count", "total_amount", given.alias("fiscal_years"), given.alias("archived_csv_fiscal_years"))
+    head = F.concat(F.substring(stats, F.lit(1), F.length(stats) - 1), F.lit(',"dashboard":{'), F.concat_ws(",", *map(quoted, ("top_contractors", "top_entities", "yearly_spending"))), F.lit('},"recovery_targets":['))
+    piece = lambda section, place, c: (F.lit(section).alias("section"), place.cast("long").alias("place"), c.alias("text"))
+    first = F.broadcast(targets.agg(F.min("position").alias("first")))  # one row
+    comma = F.when(F.col("position") == F.col("first"), "").otherwise(",")
+    middle = targets.join(first).select(*piece(1, F.col("position"), F.concat(comma, as_json(*TARGET))))
+    one = rows.sparkSession.range(1)
+    return facts.select(*piece(0, F.lit(0), head)).unionByName(middle).unionByName(one.select(*piece(2, F.lit(0), F.lit("]}"))))
+
+
+def write_manifest(parts: DataFrame, path: str) -> None:
+    """The pieces as sorted text files: read one after another by name they are the document."""
+    parts.orderBy("section", "place").select("text").write.mode("overwrite").text(path)
 
 
 def digest(new: DataFrame, most: int = 50) -> DataFrame:
@@ -158,6 +187,13 @@ def digest(new: DataFrame, most: int = 50) -> DataFrame:
     return new.orderBy("id").limit(most).join(F.broadcast(more)).select("id", "entity", "contractor", amount.alias("amount_text"), "award_date", "contract_number", "more")
 
 
+def start_date(explicit: str | None, last_success: str | None, today: str, days: int = 7) -> str:
+    """The cursor: the date given, else the last success, else ``days`` before today."""
+    import datetime
+
+    return explicit or last_success or str(datetime.date.fromisoformat(today) - datetime.timedelta(days))
+
+
 def since(rows: DataFrame, explicit: str | None = None, last_success: str | None = None, today: str | None = None, days: int = 7) -> DataFrame:
     """Rows awarded on or after the cursor: the date given, else the last success, else ``days`` before today."""
     start = F.lit(explicit or last_success).cast("date") if explicit or last_success else F.date_sub(F.lit(today).cast("date") if today else F.current_date(), days)

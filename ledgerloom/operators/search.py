@@ -17,24 +17,39 @@ FAMILY_SORTS = ("contract_number", "contractor", "entity", "amount", "award_date
 ROW_SORTS = ("contract_number", "amendment", "contractor", "entity", "amount", "award_date", "valid_from", "valid_to", "service_category", "service_type", "fiscal_year")
 
 
+# The signs of a keyword, and of words.
+KEYWORD_SIGNS, WORD_SIGNS = "0-9A-Za-z\u00c0-\u024f", "0-9A-Z\u00c0-\u024f"
+
+
 def tokens(query: str) -> list[str]:
-    """The words of a keyword query, folded for look-up."""
+    """The words of a keyword query, folded as the words of texts are: without accents, in capitals."""
     import re
     import unicodedata
 
-    plain = "".join(c for c in unicodedata.normalize("NFD", query) if unicodedata.category(c) != "Mn")
-    return re.findall(r"[0-9A-Z]+", plain.upper())
+    plain = lambda w: "".join(c for c in unicodedata.normalize("NFD", w) if unicodedata.category(c) != "Mn").upper()
+    found = re.findall(f"[{KEYWORD_SIGNS}]+", unicodedata.normalize("NFC", query))
+    return [t for w in found for t in re.findall(f"[{WORD_SIGNS}]+", plain(w))]
+
+
+def folded(c) -> Column:
+    """A text as keywords are compared with it."""
+    return F.upper(no_accents(F.coalesce(c, F.lit(""))))
+
+
+def words() -> Column:
+    """The folded words of a row's text columns."""
+    return F.split(folded(F.concat_ws(" ", *TEXT_COLUMNS)), f"[^{WORD_SIGNS}]+")
 
 
 def keyword_prefix(query: str) -> Column:
     """Each word of the query begins some word of a text column."""
-    words = F.split(F.upper(no_accents(F.concat_ws(" ", *TEXT_COLUMNS))), "[^0-9A-Z]+")
-    return reduce(lambda a, t: a & F.exists(words, lambda w: F.startswith(w, F.lit(t))), tokens(query), F.lit(True))
+    found = words()
+    return reduce(lambda a, t: a & F.exists(found, lambda w: F.startswith(w, F.lit(t))), tokens(query), F.lit(True))
 
 
 def keyword_part(query: str) -> Column:
-    """Each word of the query is part of a text column."""
-    inside = lambda t: reduce(lambda a, c: a | F.contains(F.upper(F.coalesce(c, F.lit(""))), F.lit(t)), TEXT_COLUMNS, F.lit(False))
+    """Each word of the query is part of a text column; accents count on neither side."""
+    inside = lambda t: reduce(lambda a, c: a | F.contains(folded(c), F.lit(t)), TEXT_COLUMNS, F.lit(False))
     return reduce(lambda a, t: a & inside(t), tokens(query), F.lit(True))
 
 
@@ -68,8 +83,9 @@ def number_matches(rows: DataFrame, number: str) -> DataFrame:
     return rows.join(found).where(F.when(F.col("any_exact"), key == n).otherwise(F.startswith(key, F.lit(n)))).drop("any_exact")
 
 
-def filtered(rows: DataFrame, f: dict, table: DataFrame | None = None) -> DataFrame:
-    """All given filters together; blank ones are off. Plain comparisons reach the scan.
+def filtered(rows: DataFrame, f: dict, table: DataFrame | None = None, index: str | None = None) -> DataFrame:
+    """All given filters together; blank ones are off. Plain comparisons reach the scan. With the path of the table's
+    ``index`` (``keyword_index``) a keyword is looked up there.
 
     Whether a keyword has any hit by word beginnings, and which value an entity or service type equals, is asked of
     the whole ``table`` (``rows`` unless given), whatever the other filters leave: one aggregation to one row, for all
@@ -82,7 +98,11 @@ def filtered(rows: DataFrame, f: dict, table: DataFrame | None = None) -> DataFr
     }
     given = lambda k: f.get(k) not in (None, "")
     answers, keep = [], []
-    if given("keyword") and tokens(f["keyword"]):
+    if given("keyword") and index:
+        from ledgerloom.operators import keyword_index
+
+        rows = keyword_index.keyword(rows, index, f["keyword"])
+    elif given("keyword") and tokens(f["keyword"]):
         begins, part = keyword_prefix(f["keyword"]), keyword_part(f["keyword"])
         answers.append(F.coalesce(F.max(begins), F.lit(False)).alias("__hit"))
         keep.append(F.when(F.col("__hit"), begins).otherwise(part))

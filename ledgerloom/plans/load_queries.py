@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import families, loading, recovery, search
-from ledgerloom.plans.base import BOARD, DOUBLE, FAMILIES, QUERIES, SCAN, loaded_twice, register
+from ledgerloom.operators import dashboard, families, loading, recovery, rollup_store, search, store
+from ledgerloom.plans.base import BOARD, DOUBLE, FAMILIES, MONEY, TARGETS, by_hash, loaded_twice, register
 from ledgerloom.plans.search_queries import SUMMARY_SQL
-from ledgerloom.sources.contracts import canonical, contracts, raw_text
+from ledgerloom.session import checkpoint_dir
+from ledgerloom.sources.contracts import TARGET, canonical, raw_text
 
 register("load_ids", "SELECT row_number() OVER (ORDER BY file, id) AS load_id, id, file FROM d", DOUBLE)(
     lambda c: loading.load_ids(loaded_twice(c)).select(F.col("id").alias("load_id"), F.col("pos").alias("id"), "file")
@@ -71,12 +74,100 @@ register("printed_detailed", f"SELECT contract_number, amendment, contractor, en
 )
 
 
-def manifest(spark, sf_dir: str):
-    """The manifest document of the register; no SQL, as it is one JSON text (tested field by field)."""
-    c = contracts(spark, sf_dir)
-    scan = recovery.family_scan(c)
-    few = ["contract_number", "entity", "contractor", "recovery_batch", "lookup_mode", "source_url", "status", "notes"]
-    return loading.manifest(c, families.rollup(c, False), recovery.publishable(recovery.targets(scan)).select(*few), c.select("fiscal_year").distinct())
+def shown_rows(source: str, name: str, order: str) -> str:
+    """The rows of a list of the manifest as JSON."""
+    return f"""(SELECT '[' || string_agg('{{"{name}":' || to_json({name}) || ',"family_count":' || CAST(families AS VARCHAR) || ',"total_amount":' || CAST(CAST(money AS DECIMAL(18,2)) AS VARCHAR) || '}}', ',' ORDER BY {order}) || ']' FROM ({source}))"""
+
+
+def board_sql(key: str, name: str, where: str, limit: str = "") -> str:
+    return f"SELECT {key} AS key, {name} AS {'fiscal_year' if key == 'rep_fiscal_year' else 'name'}, count(*) AS families, {MONEY.format('total', 'money')} FROM b WHERE {where} GROUP BY {key} {limit}"
+
+
+def manifest_sql(years: tuple[str, ...] = ()) -> str:
+    among = f" AND rep_fiscal_year IN ({', '.join(map(repr, years))})" if years else ""
+    listed = "[" + ",".join(f'"{y}"' for y in years) + "]"
+    held = f"'{listed}'" if years else "(SELECT '[' || string_agg('\"' || fiscal_year || '\"', ',' ORDER BY fiscal_year DESC) || ']' FROM (SELECT DISTINCT fiscal_year FROM c))"
+    top, down = "ORDER BY money DESC, families DESC, key LIMIT 5", "money DESC, families DESC, key"
+    contractors = shown_rows(board_sql("family", "max(rep_contractor)", "family <> ''" + among, top), "name", down)
+    entities = shown_rows(board_sql("entity", "entity", "trim(entity) <> ''" + among, top), "name", down)
+    yearly = shown_rows(board_sql("rep_fiscal_year", "rep_fiscal_year", "trim(rep_fiscal_year) <> ''" + among), "fiscal_year", "key")
+    fields = " || ',' || ".join(f"'\"{x}\":' || coalesce(CAST(to_json({x}) AS VARCHAR), 'null')" for x in TARGET)
+    return f"""SELECT 0 AS section, CAST(0 AS BIGINT) AS place, '{{"row_count":' || (SELECT CAST(count(*) AS VARCHAR) || ',"total_amount":' || CAST(CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS VARCHAR) FROM c) || ',"fiscal_years":' || {held}
+        || ',"archived_csv_fiscal_years":' || {held} || ',"dashboard":{{"top_contractors":' || {contractors} || ',"top_entities":' || {entities} || ',"yearly_spending":' || {yearly} || '}},"recovery_targets":[' AS text
+      UNION ALL SELECT 1, position, CASE WHEN position = min(position) OVER () THEN '' ELSE ',' END || '{{' || {fields} || '}}'
+        FROM (SELECT *, CASE WHEN position % 2 = 0 THEN '2024-01-05' END AS last_checked_at FROM t WHERE status <> 'pending')
+      UNION ALL SELECT 2, 0, ']}}'"""
+
+
+def manifest(c, years: tuple[str, ...] = ()):
+    """The manifest document of the register, in pieces."""
+    t = recovery.targets(recovery.family_scan(c)).withColumn("last_checked_at", F.when(F.col("position") % 2 == 0, "2024-01-05"))
+    return loading.manifest_parts(c, families.rollup(c, False), recovery.publishable(t), years)
+
+
+YEARS = ("1996-1997", "1994-1995")
+register("manifest", manifest_sql(), BOARD, TARGETS)(manifest)
+register("manifest_of_archived_years", manifest_sql(YEARS), BOARD, TARGETS)(lambda c: manifest(c, YEARS))
+AMONG = f"rep_fiscal_year IN ({', '.join(map(repr, YEARS))})"
+register("top_contractors_archived", f"SELECT family, max(rep_contractor) AS contractor, count(*) AS families, {MONEY.format('total', 'money')} FROM b WHERE family <> '' AND {AMONG} GROUP BY family ORDER BY money DESC, families DESC, family LIMIT 5", BOARD)(
+    lambda c: dashboard.top_contractors(families.rollup(c, False), years=YEARS)
+)
+register("top_entities_archived", f"SELECT entity, count(*) AS families, {MONEY.format('total', 'money')} FROM b WHERE {AMONG} GROUP BY entity ORDER BY money DESC, families DESC, entity LIMIT 5", BOARD)(
+    lambda c: dashboard.top_entities(families.rollup(c, False), years=YEARS)
+)
+register("yearly_spending_archived", f"SELECT rep_fiscal_year AS fiscal_year, count(*) AS families, {MONEY.format('total', 'money')} FROM b WHERE {AMONG} GROUP BY rep_fiscal_year", BOARD)(
+    lambda c: dashboard.by_year(families.rollup(c, False), YEARS)
+)
+
+
+def folder_for(c, name: str) -> str:
+    return f"{checkpoint_dir(c.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept_families(c, name_counts: bool = True):
+    """The roll-up after three loads, the last of them run twice."""
+    path = folder_for(c, "families")
+    for load in (0, 1, 2, 2):
+        rollup_store.refresh(c.where(F.col("id") % 3 == load), path, load, name_counts, 16)
+    return rollup_store.families(c.sparkSession, path)
+
+
+register("stored_rollup", "SELECT * FROM f", FAMILIES)(kept_families)
+register("stored_families_page", f"{SUMMARY_SQL} ORDER BY award_date DESC NULLS LAST, id LIMIT 50 OFFSET 50", FAMILIES)(lambda c: search.page(families.summaries(kept_families(c)), "award_date", "DESC", 2))
+
+
+def kept_records(c):
+    """The records of a store after three loads with common records; its last load is run twice."""
+    spark, path, state = c.sparkSession, folder_for(c, "store"), folder_for(c, "state")
+    rows = by_hash(c).withColumns({"source_rank": F.lit(0), "file": F.lit("a"), "pos": F.col("id")})
+    for key, part in (("a", rows.where("id % 3 < 2")), ("b", rows.where("id % 2 = 0")), ("c", rows), ("c", rows)):
+        store.load(part, path, state, key)
+    return store.stored(spark, path), store.loads(spark, state)
 
 
-QUERIES["manifest"] = manifest
+LOADS = """h3 AS (SELECT row_hash, min(CASE WHEN id % 3 < 2 THEN 1 WHEN id % 2 = 0 THEN 2 ELSE 3 END) AS first FROM h GROUP BY row_hash)"""
+register("stored_records", "SELECT row_hash, chr(96 + CAST(first AS INT)) AS load FROM h3", DOUBLE, LOADS)(lambda c: kept_records(c)[0].select("row_hash", "load"))
+register(
+    "stored_loads",
+    """SELECT key, number, seen, added, seen - added AS known FROM (SELECT chr(CAST(96 + n AS INT)) AS key, CAST(n AS BIGINT) AS number, (SELECT count(*) FROM h WHERE CASE n WHEN 1 THEN id % 3 < 2 WHEN 2 THEN id % 2 = 0 ELSE true END) AS seen,
+      (SELECT count(*) FROM h3 WHERE first = n) AS added FROM range(1, 4) r(n))""",
+    DOUBLE, LOADS,
+)(lambda c: kept_records(c)[1].select("key", "number", "seen", "added", "known"))
+
+
+def rewritten_table(c):
+    """A table by year in which three years hold dates in another style, after two rewrites."""
+    path = folder_for(c, "table")
+    old = F.col("fiscal_year").isin("1994-1995", "1995-1996", "1996-1997") & (F.col("id") % 3 == 0)
+    day = lambda d: F.when(old, F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "yyyy-MM-dd"))
+    rows = c.select("id", "fiscal_year", "amendment", *(day(d).alias(d) for d in ("award_date", "valid_from", "valid_to"))).withColumn("amendment", F.nullif("amendment", F.lit("")))
+    rows.repartition("fiscal_year").withColumn("written", F.lit(0)).write.partitionBy("fiscal_year").parquet(path)
+    first = store.rewrite_changed(c.sparkSession, path)
+    second = store.rewrite_changed(c.sparkSession, path)
+    return c.sparkSession.read.parquet(path).withColumn("touched", F.col("fiscal_year").isin(first)).withColumn("again", F.lit(len(second)))
+
+
+register(
+    "rewritten_partitions",
+    """SELECT id, CAST(fiscal_year AS VARCHAR) AS fiscal_year, CAST(award_date AS VARCHAR) AS award_date, CAST(valid_to AS VARCHAR) AS valid_to, nullif(amendment, '') AS amendment, fiscal_year IN ('1994-1995', '1995-1996', '1996-1997') AS touched, 0 AS again FROM c""",
+)(lambda c: rewritten_table(c).select("id", "fiscal_year", "award_date", "valid_to", "amendment", "touched", "again"))

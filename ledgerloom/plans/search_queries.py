@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import parse, shown, text
-from ledgerloom.operators import families, recovery, search
+from ledgerloom.operators import families, keyword_index, recovery, search
 from ledgerloom.plans.base import FAMILIES, MONEY, ORACLE_SQL, ORIGINAL, QUERIES, RANK, TARGETS, register
-from ledgerloom.session import table
+from ledgerloom.session import checkpoint_dir, table
 from ledgerloom.sources.live import page_fields
 
 ROW = ["id", "contract_number", "entity", "contractor", "amount", "award_date"]
@@ -66,6 +68,35 @@ filters("filters_service_type_value", {"service_type": "Red Widget ", "amount_mi
 filters("filters_number_exact", {"contract_number": "1997-000003", "amount_min": 10}, "amount >= 10", "1997-000003")
 filters("filters_number_prefix", {"contract_number": "1997-0000", "entity": "nation", "amount_min": 5000}, f"{value('entity', 'NATION')} AND amount >= 5000", "1997-0000")
 
+
+
+def indexed(c, name: str) -> str:
+    """The folder of a new index of contracts, made by three loads, the last two merged into the first."""
+    path = f"{checkpoint_dir(c.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for load in range(3):
+        keyword_index.add(c.where(F.col("id") % 3 == load), path)
+    keyword_index.compact(c.sparkSession, path)
+    return path
+
+
+def through_index(name: str, given: dict, where: str) -> None:
+    """Register a combination of filters that looks its keyword up in an index."""
+    register(name, f"SELECT {COLUMNS} FROM c WHERE {where}")(lambda c: search.filtered(c, given, index=indexed(c, name)).select(*ROW))
+
+
+through_index("indexed_keyword", {"keyword": "custom inc", "amount_min": 20000}, f"amount >= 20000 AND {begins('CUSTOM')} AND {begins('INC')}")
+through_index("indexed_keyword_fallback", {"keyword": "ustomer", "fiscal_year": "1995-1996"}, f"fiscal_year = '1995-1996' AND {inside('USTOMER')}")
+register("keyword_postings", f"SELECT DISTINCT word, id FROM (SELECT id, unnest(string_split_regex({WORDS}, '[^0-9A-Z]+')) AS word FROM c) WHERE word <> ''")(lambda c: c.sparkSession.read.parquet(indexed(c, "postings")).select("word", "id"))
+ACCENTED = "a AS (SELECT * REPLACE ('Educación ' || lower(entity) AS entity) FROM c)"
+FOLDED = "upper(strip_accents(concat_ws(' ', contract_number, entity, contractor, service_category, service_type)))"
+accented = lambda c: c.withColumn("entity", F.concat(F.lit("Educación "), F.lower("entity")))
+register("keyword_accents", f"SELECT id, entity FROM a WHERE regexp_matches({FOLDED}, '(^|[^0-9A-Z])EDUCACI') AND regexp_matches({FOLDED}, '(^|[^0-9A-Z])NATION') AND regexp_matches({FOLDED}, '(^|[^0-9A-Z])1') AND amount >= 20000", ACCENTED)(
+    lambda c: search.filtered(accented(c), {"keyword": "educací nation_1", "amount_min": 20000}).select("id", "entity")
+)
+register("keyword_accents_fallback", "SELECT id, entity FROM a WHERE contains(upper(strip_accents(entity)), 'DUCACION') AND amount >= 20000", ACCENTED)(
+    lambda c: search.filtered(accented(c), {"keyword": "ducación", "amount_min": 20000}).select("id", "entity")
+)
+
 SUMMARY_SQL = """SELECT contract_number, entity, family, rep_id AS id, rep_contractor AS contractor, rep_fiscal_year AS fiscal_year, rep_service_type AS service_type, rep_service_category AS service_category,
   rep_valid_from AS valid_from, rep_valid_to AS valid_to, rep_procurement_method AS procurement_method, rep_fund_type AS fund_type, family_size, total AS family_total_amount, has_original AS family_has_original,
   CASE WHEN has_original = 1 THEN rep_amount ELSE total END AS amount, CASE WHEN has_original = 1 THEN rep_award_date ELSE earliest END AS award_date FROM f"""
