@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,20 +90,20 @@ def contract_id_of(url: Column) -> Column:
 
 
 def unescaped(c: Column) -> Column:
-    """Text without HTML entities: numeric ones, and the named ones in ``ENTITIES``. The text is bound to a name, so that
-    its own expression is not repeated in each step."""
-    return F.get(F.transform(F.array(c), _decoded), F.lit(0))
+    """Text without HTML entities: numeric ones, and the named ones in ``ENTITIES``. Only those that a text holds are
+    looked up, what gives an ampersand last, so that nothing is decoded twice. The text is bound to a name, so that its
+    own expression is not repeated."""
+    return F.get(F.transform(F.array(c), lambda x: F.when(F.contains(x, F.lit("&")), _decoded(x)).otherwise(x)), F.lit(0))
 
 
 def _decoded(c: Column) -> Column:
+    known = F.from_json(F.lit(json.dumps({k[1:-1]: v for k, v in ENTITIES.items()})), "map<string,string>")  # one literal
     char = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    swap = lambda text, name, code: F.coalesce(F.replace(text, F.concat(F.lit("&#"), name, F.lit(";")), char(code)), text)
-    names = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1)))
-    number = lambda x: F.when(F.lower(F.substring(x, 1, 1)) == "x", F.conv(F.substring(x, 2, 6), 16, 10)).otherwise(x).try_cast("int")
-    c = F.aggregate(names, c, lambda text, x: swap(text, x, number(x)))
-    for name, text in ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(text))
-    return c
+    number = lambda x: F.when(F.lower(F.substring(x, 2, 1)) == "x", F.conv(F.substring(x, 3, 6), 16, 10)).otherwise(F.substring(x, 2, 7)).try_cast("int")
+    names = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
+    pairs = F.transform(names, lambda x: F.struct(x.alias("name"), F.when(F.startswith(x, F.lit("#")), char(number(x))).otherwise(F.try_element_at(known, x)).alias("text")))
+    ordered = F.concat(F.filter(pairs, lambda p: p["text"] != "&"), F.filter(pairs, lambda p: p["text"] == "&"))
+    return F.aggregate(ordered, c, lambda text, p: F.replace(text, F.concat(F.lit("&"), p["name"], F.lit(";")), p["text"]))
 
 
 def note(*parts: Column) -> Column:

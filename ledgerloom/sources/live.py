@@ -64,26 +64,53 @@ def bare(html: Column) -> Column:
     return F.trim(F.regexp_replace(shown.unescaped(F.regexp_replace(html, r"(?s)<[^>]*>", " ")), r"(?U)\s+", " "))
 
 
-def field(html: Column, name: str) -> Column:
-    """The value of the element with an id: its value attribute, else its text; null if there is no such element."""
-    tag = F.regexp_extract(html, rf"(?is)<\w+\b(?=[^>]*\sid\s*=\s*[\"']{name}[\"'])[^>]*>", 0)
-    value = F.regexp_extract(tag, r"(?is)\svalue\s*=\s*([\"'])(.*?)\1", 2)
-    inside = F.regexp_extract(html, rf"(?is)<(\w+)\b(?=[^>]*\sid\s*=\s*[\"']{name}[\"'])[^>]*>(.*?)</\1>", 2)
-    return F.when(tag == "", F.lit(None)).when(tag.rlike(r"(?is)\svalue\s*="), shown.unescaped(value)).otherwise(F.nullif(bare(inside), F.lit("")))
+#: A tag with its attributes, the id among them (in any quotes or none), and the value.
+TAG = r"""(?s)^((?:[^>"']|"[^"]*"|'[^']*')*>)"""
+ID = r"""(?is)^[^>]*?\sid\s*=\s*["']?([^"'\s>]+)"""
+VALUE = r"""(?is)^(?:[^>"']|"[^"]*"|'[^']*')*?\svalue\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+
+
+def elements(html: Column, names: tuple[str, ...]) -> Column:
+    """A map of the elements with the ids ``names``, the first of each: (text, open). The text is the value attribute,
+    else what the element holds, null if that is blank; ``open`` ones hold an element with an id of its own. The page is
+    cut once, before each tag with an id, and each step over the pieces binds what the next one reads."""
+    found = F.transform(F.split(html, r"(?is)<(?=\w+\b[^>]*\sid\s*=)"), lambda p: F.struct(F.regexp_extract(p, ID, 1).alias("id"), p.alias("piece")))
+    found = F.transform(F.filter(found, lambda e: e["id"].isin(*names)), lambda e: F.struct(e["id"].alias("id"), e["piece"].alias("piece"), F.regexp_extract(e["piece"], TAG, 1).alias("tag")))
+    close = lambda e: F.instr(F.lower(e["piece"]), F.concat(F.lit("</"), F.lower(F.regexp_extract(e["tag"], r"^(\w+)", 1))))
+    found = F.transform(found, lambda e: F.struct(e["id"].alias("id"), e["piece"].alias("piece"), F.length(e["tag"]).alias("size"), F.regexp_extract(e["tag"], VALUE, 1).alias("value"), close(e).alias("close")))
+    quoted = lambda v: F.when(F.substring(v, 1, 1).isin('"', "'"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    inside = lambda e: F.nullif(bare(F.substring(e["piece"], e["size"] + 1, e["close"] - e["size"] - 1)), F.lit(""))
+    given = lambda e: F.when(e["value"] != "", shown.unescaped(quoted(e["value"]))).when(e["close"] > 0, inside(e))
+    found = F.transform(found, lambda e: F.struct(e["id"].alias("id"), F.struct(given(e).alias("text"), ((e["value"] == "") & (e["close"] == 0)).alias("open")).alias("e")))
+    first = F.aggregate(found, F.filter(found, lambda e: F.lit(False)), lambda have, e: F.when(F.exists(have, lambda x: x["id"] == e["id"]), have).otherwise(F.array_append(have, e)))
+    return F.map_from_entries(first)
+
+
+def field(html: Column, found: Column, name: str) -> Column:
+    """The text of the element with an id; null if there is none. An open element is looked up in the whole page."""
+    one = F.try_element_at(found, F.lit(name))
+    whole = rf"(?is)<(\w+)\b(?=[^>]*\sid\s*=\s*[\"']?{name}[\"'\s>])[^>]*>(.*?)</\1\s*>"
+    return F.when(one["open"], F.nullif(bare(F.regexp_extract(html, whole, 2)), F.lit(""))).otherwise(one["text"])
 
 
 def table_names(html: Column, heading: str = CONTRACTORS_HEADING) -> Column:
-    """The first cell of each row of the first table after a heading."""
-    body = F.regexp_extract(html, rf"(?is)<h[4-6][^>]*>\s*{heading}\s*</h[4-6]>.*?<table[^>]*>(.*?)</table>", 1)
-    body = F.regexp_extract(body, r"(?is)<tbody[^>]*>(.*?)</tbody>", 1)
-    return F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<tr[^>]*>\s*<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), bare)
+    """The first cell of each row of the first table after the first heading of this text; accents, case and tags inside
+    the heading do not count. None if that table has no body."""
+    cut = F.split(html, r"(?i)(?=<h[4-6]\b)")
+    titles = F.transform(cut, lambda p: text.fold(bare(F.regexp_extract(p, r"(?is)^<h([4-6])\b[^>]*>(.*?)</h\1\s*>", 2))))
+    place = F.array_position(titles, text.fold(F.lit(heading)))
+    rest = F.when(place > 0, F.array_join(F.slice(cut, F.greatest(place, F.lit(1)).cast("int"), F.size(cut)), ""))
+    body = F.regexp_extract(F.regexp_extract(F.coalesce(rest, F.lit("")), r"(?is)<table\b[^>]*>(.*?)</table\s*>", 1), r"(?is)<tbody\b[^>]*>(.*?)</tbody\s*>", 1)
+    return F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<tr\b[^>]*>\s*<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), F.lit(1)), lambda c: shown.unescaped(bare(c)))
 
 
 def detail_records(pages: DataFrame, source_type: str = "live_recovery", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Canonical records of detail pages (url, html) with all contractor names and the entity as it is shown. The
-    fields are plain attributes and cells, so they are read by patterns, inside generated code."""
+    """Canonical records of detail pages (url, html) with all contractor names and the entity as it is shown. A page is
+    cut at its elements with ids once; the fields are then read from short pieces."""
     html = F.col("html")
-    parts = pages.select(*keep, F.col("url").alias("source_url"), field(html, ENTITY_FIELD).alias("entity_display"), table_names(html).alias("contractor_names"), *(field(html, k).alias(v) for k, v in DETAIL_FIELDS.items()))
+    cut = held(pages.select(*keep, F.col("url").alias("source_url"), "html", elements(html, (ENTITY_FIELD, *DETAIL_FIELDS)).alias("__found"), table_names(html).alias("contractor_names")))
+    found = F.col("__found")
+    parts = cut.select(*keep, "source_url", field(html, found, ENTITY_FIELD).alias("entity_display"), "contractor_names", *(field(html, found, k).alias(v) for k, v in DETAIL_FIELDS.items()))
     entity, parts = text.split_entity(F.col("entity_display")), held(parts)
     raw = parts.withColumns({
         "entity": entity["name"], "entity_number": entity["code"], "contractor": F.get("contractor_names", F.lit(0)), "cancelled": F.lit("0"),
