@@ -15,7 +15,7 @@ How much that saves is a matter of the data: vectors that lie in all directions
 (the 20th nearest of 10,000 is at 0.65 times the median squared distance), leave some two fifths of all points
 to verify at the default level, and boxes of leaves hardly pass over any; the README has measured figures.
 
-Equal vectors are one point with their k + 1 smallest ids (ties go to smaller ids, so no more are
+Equal vectors are one point with their k + 1 smallest ids, each once (ties go to smaller ids, so no more are
 needed); cells with many points are split into blocks by hash. Every row is indexed.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, or have another
@@ -171,10 +171,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str
             _, one, inverse = np.unique(np.ascontiguousarray(v).view(f"V{8 * dim}")[:, 0], return_index=True, return_inverse=True)
             order = np.lexsort((ids, inverse))
             cut = np.searchsorted(inverse[order], np.arange(len(one) + 1))
-            lists = [ids[order[a:b]][: k + 1].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            lists = [np.unique(ids[order[a:b]])[: k + 1].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(one)), pa.array(lists, pa.list_(pa.int64()))], ["v", "ids"])
 
-    points = rows.mapInArrow(few_ids, "v array<double>, ids array<long>").groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+    points = rows.mapInArrow(few_ids, "v array<double>, ids array<long>").groupBy("v").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
     rng = np.random.default_rng(seed)
     directions = rng.normal(size=(dim + 1, DIMS))
     none = np.zeros(0)

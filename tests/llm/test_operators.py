@@ -306,6 +306,34 @@ def test_neighbours(spark, sf):
     assert neighbours.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Rows that are there many times are one candidate; ties go to smaller ids, and no candidate is lost to them."""
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.0])] * 30 + [(2, [1.0, 0.0])] + [(8, [0.5, 0.5])]
+    few = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    asked = few.where("vec_id = 0")
+    for k in (2, 3, 20):
+        got = neighbours.nearest(few, asked, k).orderBy("rank").collect()
+        assert [(r["rank"], r["vec_id"]) for r in got] == [(1, 1), (2, 2), (3, 8)][:k]
+
+
+def test_neighbours_in_many_blocks(spark, monkeypatch):
+    """50,000 rows in hundreds of blocks, some of one hot cell: recall of the 20 nearest."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16))
+    x = centres[np.minimum(rng.geometric(0.3, 50_000) - 1, 39)] + 0.5 * rng.normal(size=(50_000, 16))
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 400)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(set)
+    for r in neighbours.nearest(df, df.where("vec_id % 1000 = 0")).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hit = 0
+    for q in range(0, 50_000, 1000):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(found[q] & set(np.argsort(-score, kind="stable")[:20].tolist()))
+    assert len(found) == 50 and hit >= 0.9 * 1000
+
+
 def test_neighbours_verify_less_than_half():
     """One block of 20,000 points in 16 clusters: recall and the share of points that are verified."""
     rng = np.random.default_rng(6)
