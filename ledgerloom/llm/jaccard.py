@@ -537,9 +537,9 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk_by
     nodes = fitted(nodes)
     # sizes of sets come to the driver as counts by band of 1/64 of their power of two at most
     size_key = F.when(F.col("n") < 128, F.col("n")).otherwise(F.floor(F.col("n") / F.pow(F.lit(2), F.floor(F.log2("n")) - 6)) * F.pow(F.lit(2), F.floor(F.log2("n")) - 6)).cast("long")
-    counts = nodes.groupBy(size_key.alias("size")).agg(F.count("*").alias("c"), F.max("n").alias("most")).toPandas()
-    sizes = np.append(counts["size"].to_numpy(np.int64), counts["most"].max() if len(counts) else 1)
-    scheme = scheme_for(percent, sizes, np.append(counts["c"].to_numpy(np.int64), 0))
+    counts = nodes.groupBy(size_key.alias("size")).agg(F.count("*").alias("c"), F.max("n").alias("most")).collect()
+    sizes = np.array([*(r["size"] for r in counts), max((r["most"] for r in counts), default=1)], np.int64)
+    scheme = scheme_for(percent, sizes, np.array([*(r["c"] for r in counts), 0], np.int64))
     found = fitted(candidates(docs, width, scheme, plan.buckets).checkpoint())
     pairs = found.where("value is null").select("a", "b").distinct()
     links = verified(docs, plan.chunks, nodes, in_reach(pairs, nodes, percent), width, percent).checkpoint()

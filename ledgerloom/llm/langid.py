@@ -122,7 +122,8 @@ def train(texts: list[str], labels: list[str], steps: int = 1500, batch: int = 6
             table[use] -= (lr * 20 * move).astype(np.float32)
             table[ROWS] = 0
     held_texts, of = snippets([texts[i] for i in held] or [""], 60)  # short, so that some are in doubt
-    held = held[of] if len(held) else held
+    held_texts += [texts[i].encode() for i in held]  # and whole, as texts are predicted
+    held = np.append(held[of], held) if len(held) else held
     data, off = np.frombuffer(b"".join(held_texts), np.uint8), np.append(0, np.cumsum([len(x) for x in held_texts]))
     logits = np.concatenate([means(tables, data[off[a] : off[c]], off[a : c + 1] - off[a]) for a, c in pieces(off)]) @ w + b
     truth = y[held] if len(held) else np.zeros(1, int)
@@ -135,15 +136,15 @@ def train(texts: list[str], labels: list[str], steps: int = 1500, batch: int = 6
 
 
 def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame | None:
-    """(text, lang, rank) of about ``sample_docs`` labelled rows of ``sample_bytes`` at most, chosen by a hash, evenly by
-    language; None where no row is labelled."""
+    """(text, lang, rank) of about ``sample_docs`` labelled rows of ``sample_bytes`` at most, chosen by a hash of id and
+    text, evenly by language; rows equal in both count once. None where no row is labelled."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars))
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
     if not counts:
         return None
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, max(1, sample_docs // len(counts)) / r["n"], sample_bytes / len(counts) / max(1, r["bytes"])))))
-    rank = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", F.length("text")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return labelled.where(rank < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("text", "lang", rank.alias("rank"))
+    rank = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return labelled.where(rank < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("text", "lang", rank.alias("rank")).dropDuplicates(["lang", "rank"])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -216,9 +216,9 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFr
     rows = table.where("ids is not null").select("doc_id", "doc_tokens", "start", "ids", "near", "nearer")
     whole = F.octet_length("ids") == 4 * size
     facts = rows.agg(F.count_if(F.col("start") == 0).alias("docs"), F.count_if(~whole).alias("rests"), F.coalesce(F.sum(F.when(~whole, F.octet_length("ids"))), F.lit(0)).alias("bytes")).first()
-    counts = table.where("ids is null").groupBy("token").agg(F.sum("df").alias("df")).toPandas()  # a row for each token of the vocabulary at most
-    df = np.zeros(int(counts["token"].max()) + 1 if len(counts) else 1)
-    df[counts["token"].to_numpy()] = counts["df"].to_numpy()
+    counts = table.where("ids is null").groupBy("token").agg(F.sum("df").alias("df")).collect()  # a row for each token of the vocabulary at most
+    df = np.zeros(max((r["token"] for r in counts), default=0) + 1)
+    df[[r["token"] for r in counts]] = [r["df"] for r in counts]
     idf = np.maximum(0.0, np.log((facts["docs"] - df + 0.5) / (df + 0.5)))  # tokens of more than half of the documents tell nothing
     shards = max(1, -(-facts["bytes"] // (4 * SHARD_TOKENS)))
     dealt = rows.where(~whole).repartitionByRange(shards, "near", "nearer", F.xxhash64("doc_id", "ids")).sortWithinPartitions("near", "nearer", "doc_id", "ids")

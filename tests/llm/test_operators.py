@@ -269,6 +269,16 @@ def test_language_id(spark, sf, nothing):
     assert langid.fit(nothing) is None and langid.predict(nothing, None).count() == 0
 
 
+def test_language_id_without_ids(spark):
+    """The sample is chosen by the text where ids are null, and equal rows count once."""
+    rows = [(None, f"the house number {i} is here", "en") for i in range(1000)] + [(None, f"la maison {i} est la bas", "fr") for i in range(1000)] + [(None, "the same text again", "en")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(docs, 200).collect()
+    assert 100 < len(got) < 300 and len({r["text"] for r in got}) == len(got) and {r["lang"] for r in got} == {"en", "fr"}
+    told = langid.predict(docs, langid.fit(docs, sample_docs=200))
+    assert told.where("lang_pred = lang").count() > 0.9 * len(rows) and told.where("rejected").count() < 0.2 * len(rows)
+
+
 def test_spotsigs(spark, planted, nothing, sf):
     for docs in (planted, spark.read.parquet(f"{sf}/documents.parquet")):
         got = {r["doc_id"]: r for r in spotsigs.edited_fingerprints(docs).collect()}
