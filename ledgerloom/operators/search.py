@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,6 +147,49 @@ def merged_page(families: DataFrame, sort: str, direction: str = "DESC", number:
     return families.orderBy(by, "id").offset(PAGE * (number - 1)).limit(PAGE)
 
 
+class Order(NamedTuple):
+    """The order of pages: a column, nulls last in both directions, then ``tie``, a column without repeats."""
+
+    sort: str
+    down: bool = True
+    tie: str = "id"
+    tie_down: bool = False
+
+    def columns(self) -> list[Column]:
+        return [F.desc_nulls_last(self.sort) if self.down else F.asc_nulls_last(self.sort), F.desc(self.tie) if self.tie_down else F.asc(self.tie)]
+
+    def beyond(self, value, tie, itself: bool = False) -> Column:
+        """Whether a row comes after the one with these values (or is it), as comparisons that reach the scan."""
+        key, by = F.col(self.sort), F.col(self.tie)
+        later = (by < tie if self.tie_down else by > tie) | (by == tie if itself else F.lit(False))
+        if value is None:
+            return key.isNull() & later
+        return (key < F.lit(value) if self.down else key > F.lit(value)) | ((key == F.lit(value)) & later) | key.isNull()
+
+
+def page_after(rows: DataFrame, order: Order, last: tuple | None = None, size: int = PAGE) -> DataFrame:
+    """The page after the row with the values ``last`` (sort, tie), the first one without. It takes the least ``size``
+    rows of what is left, whatever comes before: nothing is sorted as a whole or skipped."""
+    return (rows.where(order.beyond(*last)) if last else rows).orderBy(*order.columns()).limit(size)
+
+
+def page_starts(rows: DataFrame, order: Order, size: int = PAGE) -> DataFrame:
+    """(page, value, tie) of the first row of every page, from one sort by ranges that numbers the rows; to be kept with
+    the table, so that any page is found by its number."""
+    from ledgerloom.operators.loading import load_ids
+
+    placed = load_ids(rows.select(F.col(order.sort).alias("value"), F.col(order.tie).alias("tie")), Order("value", order.down, "tie", order.tie_down).columns())
+    return placed.where((F.col("id") - 1) % size == 0).select(((F.col("id") - 1) / size + 1).cast("long").alias("page"), "value", "tie")
+
+
+def page_at(rows: DataFrame, starts: DataFrame, number: int, order: Order, size: int = PAGE) -> DataFrame:
+    """A page by its number, from where it starts."""
+    first = starts.where(F.col("page") == number).first()
+    if first is None:
+        return rows.limit(0)
+    return rows.where(order.beyond(first["value"], first["tie"], True)).orderBy(*order.columns()).limit(size)
+
+
 def rows_header(rows: DataFrame) -> DataFrame:
     """Number and money of the rows found."""
     return rows.agg(F.count("*").alias("n_rows"), F.coalesce(money(F.col("amount")), F.lit(0.0)).alias("money"))

@@ -128,6 +128,26 @@ register("merged_page", f"SELECT * FROM ({MERGED_SQL}) ORDER BY lower(strip_acce
 register("merged_page_by_amount", f"SELECT * FROM ({MERGED_SQL}) ORDER BY amount, id LIMIT 50", MERGED)(
     lambda c: search.merged_page(families.merged(search.filtered(c, {"contract_number": "1996-"})), "amount", "ASC")
 )
+
+
+def turned(rows, order: search.Order, number: int):
+    """A page reached from the first by the last row of each page before it."""
+    last = None
+    for _ in range(number - 1):
+        row = search.page_after(rows, order, last).orderBy(*(c for c in order.columns())).collect()[-1]
+        last = (row[order.sort], row[order.tie])
+    return search.page_after(rows, order, last)
+
+
+by_type = search.Order("service_type", True, "id", True)
+register("rows_page_by_position", f"SELECT {COLUMNS} FROM c ORDER BY service_type DESC NULLS LAST, id DESC LIMIT 50 OFFSET 100")(lambda c: search.page_at(c, search.page_starts(c, by_type), 3, by_type).select(*ROW))
+register("rows_page_after", f"SELECT {COLUMNS} FROM c ORDER BY service_type DESC NULLS LAST, id DESC LIMIT 50 OFFSET 100")(lambda c: turned(c, by_type, 3).select(*ROW))
+register("families_page_by_position", f"{SUMMARY_SQL} ORDER BY award_date DESC NULLS LAST, id LIMIT 50 OFFSET 200", FAMILIES)(
+    lambda c: (lambda f, o: search.page_at(f, search.page_starts(f, o), 5, o))(families.summaries(families.rollup(c)), search.Order("award_date"))
+)
+register("page_starts", "SELECT CAST((place - 1) // 50 + 1 AS BIGINT) AS page, award_date AS value, id AS tie FROM (SELECT award_date, id, row_number() OVER (ORDER BY award_date NULLS LAST, id) AS place FROM c) WHERE place % 50 = 1")(
+    lambda c: search.page_starts(c, search.Order("award_date", False))
+)
 ASKED = "k AS (SELECT DISTINCT contract_number, entity, family FROM c WHERE fiscal_year = '1994-1995')"
 register(
     "family_look_up",

@@ -71,7 +71,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolve_headers(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """The canonical columns of an export, by the first alias among its headers; missing ones are blank. ``rows``: the
     export with its file and position (__file, __pos), which then come along."""
-    have = {h.strip().lower(): h for h in df.columns}
+    have = {h.strip().lstrip("\ufeff").lower(): h for h in reversed(df.columns)}
     pick = {c: next((have[a.lower()] for a in aliases if a.lower() in have), None) for c, aliases in ALIASES.items()}
     columns = [F.col(f"`{h}`").alias(c) if h else F.lit("").alias(c) for c, h in pick.items()]
     return df.select(*columns) if rows is None else rows.select(*columns, F.col("__file").alias("file"), F.col("__pos").alias("pos"))
@@ -90,21 +90,30 @@ def year_of_name(name: Column) -> Column:
     return F.coalesce(F.get(F.filter(F.split(stem, "_"), lambda x: (F.length(x) == 9) & x.contains("-")), F.lit(0)), stem)
 
 
-def read_exports(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> DataFrame:
-    """Yearly exports of one encoding with any mix of headers, as text columns in load order (file, pos); the fiscal year
-    comes from the file name. Files are read by their headers, so each is one plan."""
-    out = None
-    for path in paths:
-        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
-        at = df.select("*", F.col("_metadata.file_name").alias("__file"), F.monotonically_increasing_id().alias("__pos"))
-        one = resolve_headers(df, at).withColumn("fiscal_year", year_of_name(F.col("file")))
-        out = one if out is None else out.unionByName(one)
-    return out
+def read_exports(spark: SparkSession, paths: list[str], encoding: str = "UTF-8", multiline: bool = True) -> DataFrame:
+    """Yearly exports of one encoding and one header, as text columns in load order (file, pos), in one plan; the fiscal
+    year comes from the file name. Without fields of several lines, large files are read in pieces."""
+    df = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').option("encoding", encoding).csv(paths)
+    at = df.select("*", F.col("_metadata.file_name").alias("__file"), F.monotonically_increasing_id().alias("__pos"))
+    return resolve_headers(df, at).withColumn("fiscal_year", year_of_name(F.col("file")))
+
+
+def export_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, name, utf8, header, multiline) of each file that has a line: whether it is read as UTF-8 or as Latin-1, its
+    first line, and whether fields go over several lines. Files are read once, by lines and in pieces; their bytes are
+    judged as they are, and a line break is no part of a longer character."""
+    at = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_name", "file_block_start")]
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).select("value", *at, F.monotonically_increasing_id().alias("place"))
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    got = lines.groupBy(F.col("file_path").alias("path"), F.col("file_name").alias("name")).agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.min_by(F.col("value").cast("binary"), F.struct("file_block_start", "place")).alias("line"), F.bool_or(quotes % 2 == 1).alias("multiline"),
+    )
+    return got.select("path", "name", "utf8", F.when(F.col("utf8"), F.col("line").cast("string")).otherwise(F.decode("line", "ISO-8859-1")).alias("header"), "multiline")
 
 
 def utf8_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, name, utf8) of each file: whether it must be read as UTF-8 or as Latin-1."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
+    return export_files(spark, folder).select("path", "name", "utf8")
 
 
 def export_years(files: DataFrame) -> DataFrame:
@@ -114,14 +123,14 @@ def export_years(files: DataFrame) -> DataFrame:
 
 
 def load_folder(spark: SparkSession, folder: str, recovered: str | None = None) -> DataFrame:
-    """All exports of a folder in the encoding that each has, as canonical records, then the recovered rows."""
-    files = utf8_files(spark, folder).orderBy("name").collect()  # a row for each yearly file
-    parts = []
-    for utf8, encoding in ((True, "UTF-8"), (False, "ISO-8859-1")):
-        paths = [r["path"] for r in files if r["utf8"] == utf8]
-        if paths:
-            parts.append(canonical(read_exports(spark, paths, encoding), "csv", ("file", "pos")))
-    rows = reduce(DataFrame.unionByName, parts).withColumn("source_rank", F.lit(0))
+    """All exports of a folder in the encoding and with the header that each has, as canonical records, then the
+    recovered rows. Files that agree in both are one plan, however many they are; an empty folder has no records."""
+    layouts: dict[tuple, list[str]] = {}
+    for r in export_files(spark, folder).orderBy("name").collect():  # a row for each file
+        layouts.setdefault((r["utf8"], r["header"], r["multiline"]), []).append(r["path"])
+    raw = [read_exports(spark, paths, "UTF-8" if utf8 else "ISO-8859-1", multiline) for (utf8, _, multiline), paths in layouts.items()]
+    none = spark.createDataFrame([], ", ".join(f"{c} string" for c in ALIASES) + ", file string, pos long, fiscal_year string")
+    rows = canonical(reduce(DataFrame.unionByName, raw, none), "csv", ("file", "pos")).withColumn("source_rank", F.lit(0))
     if recovered:
         more = canonical(read_recovered(spark, recovered), "live_recovery", ("file", "pos")).withColumn("source_rank", F.lit(1))
         rows = rows.unionByName(more)

@@ -214,3 +214,40 @@ def test_manifest_is_one_document(spark, sf, tmp_path):
     none = spark.createDataFrame([], ", ".join(f"{x} string" for x in sources.TARGET) + ", position long")
     empty = json.loads("".join(r["text"] for r in loading.manifest_parts(c.limit(0), families.rollup(c.limit(0), False), none).orderBy("section", "place").collect()))
     assert empty["row_count"] == 0 and empty["recovery_targets"] == [] and empty["dashboard"]["top_contractors"] == []
+
+
+def test_pages_by_position_with_nulls_and_ties(spark):
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(k, rng.choice([None, 1.0, 2.0, 3.0]), rng.choice([None, "a", "b"])) for k in range(333)], "id long, amount double, word string")
+    for order in (search.Order("amount"), search.Order("amount", False), search.Order("word", True, "id", True), search.Order("word", False, "id", True)):
+        want = [r["id"] for r in rows.orderBy(*order.columns()).collect()]
+        starts = search.page_starts(rows, order, 50).persist()
+        assert starts.count() == 7
+        last, seen = None, []
+        for number in range(1, 8):
+            page = sorted(search.page_at(rows, starts, number, order, 50).collect(), key=lambda r: want.index(r["id"]))
+            assert [r["id"] for r in page] == want[50 * number - 50 : 50 * number]
+            again = search.page_after(rows, order, last, 50).collect()
+            assert {r["id"] for r in again} == {r["id"] for r in page}
+            last = (page[-1][order.sort], page[-1]["id"])
+            seen += [r["id"] for r in page]
+        assert seen == want and search.page_at(rows, starts, 8, order).count() == 0
+
+
+def test_many_exports_of_few_layouts(spark, tmp_path):
+    """Files of two encodings and three layouts, fields over several lines, a mark before the header, empty files and folders."""
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    assert sources.load_folder(spark, str(raw)).count() == 0 and set(loading.first_wins(sources.load_folder(spark, str(raw))).columns) >= set(sources.RECORD)
+    for k in range(60):
+        head, row = [("Núm. Contrato,Entidad,Contratista,Cuantía", f"N{k},Educación,José,{k}"), ("NumContrato,Entidad Gubernamental,Contratista,Monto,Enmienda", f'N{k},"Salud, ""A""",X,{k},B'), ("Contratista,Num. Contrato,Entidad", f'"dos\nlíneas",N{k},E')][k % 3]
+        (raw / f"contratos_{1950 + k}-{1951 + k}.csv").write_bytes(f"{head}\n{row}\n".encode("latin-1" if k % 2 else "utf-8-sig" if k % 4 == 0 else "utf-8"))
+    (raw / "contratos_2030-2031.csv").write_bytes(b"")
+    files = sources.export_files(spark, str(raw)).collect()
+    assert len(files) == 60 and {(r["utf8"], r["multiline"]) for r in files if "Contratista,Num" in r["header"]} == {(True, True), (False, True)}
+    rows = sources.load_folder(spark, str(raw))
+    got = {r["contract_number"]: r for r in rows.collect()}
+    assert len(got) == 60 and got["N1"]["entity"] == 'Salud, "A' and got["N1"]["amendment"] == "B" and got["N3"]["contractor"] == "José" and got["N3"]["amount"] == 3.0 and got["N2"]["contractor"] == "dos\nlíneas"
+    assert got["N6"]["fiscal_year"] == "1956-1957" and {got[f"N{k}"]["entity"] for k in range(0, 60, 3)} == {"Educación"}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 12  # one for each layout, and not for each file
