@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, jaccard, langid, lines, mixing
 from ledgerloom.llm.chunks import WORD_CLASS
-from ledgerloom.session import checkpoint_dir
+from ledgerloom.session import checkpoint_dir, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -74,11 +74,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what each keeps is written as Parquet in the shared folder and read again."""
-    import uuid
-
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}-{name}")
     return docs

@@ -160,7 +160,7 @@ def family_sql(c: str) -> str:
     x = f"trim(regexp_replace(regexp_replace({x}, '\\bP\\s*R\\b', 'PUERTO RICO', 'g'), '\\s+', ' ', 'g'))"
     for p in CUT_AFTER:
         x = f"trim(regexp_replace({x}, '{p}', ''))"
-    x = f"trim(regexp_replace({x}, '^(?:ING|INGENIERO)\\b\\s*', ''))"
+    x = f"trim(regexp_replace({x}, '{LEADING_TITLE}', ''))"
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     x = f"array_to_string(list_filter(string_split({x}, ' '), lambda w: w <> '' AND NOT list_contains([{stop}], w)), ' ')"
     return f"(CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in OVERRIDES.items()) + f" ELSE {x} END)"

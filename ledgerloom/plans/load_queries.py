@@ -21,6 +21,12 @@ register(
 )(lambda c: canonical(raw_text(c).withColumn("source_type", F.lit("csv")), keep=("id",)).unionByName(
     canonical(raw_text(c.where("trim(amendment) = ''")).withColumn("source_type", F.lit("live_recovery")), keep=("id",))
 ).groupBy("source_type").agg(F.count("*").alias("n"), F.min("id").alias("first_id")))
+register(
+    "appended_rows",
+    """SELECT id, 'csv' AS source_type, contract_number, entity, award_date, amount, cancelled FROM c UNION ALL SELECT id, 'live_recovery', contract_number, entity, award_date, amount, cancelled FROM c WHERE trim(amendment) = ''""",
+)(lambda c: canonical(raw_text(c).withColumn("source_type", F.lit("csv")), keep=("id",)).unionByName(
+    canonical(raw_text(c.where("trim(amendment) = ''")).withColumn("source_type", F.lit("live_recovery")), keep=("id",))
+).select("id", "source_type", "contract_number", "entity", "award_date", "amount", "cancelled"))
 
 
 def as_stored(c):

@@ -230,6 +230,13 @@ register(
       SELECT amount, true FROM (SELECT DISTINCT * EXCLUDE (id, family) FROM c WHERE id % 3 = 0) n WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.id % 2 = 0 AND
         """ + " AND ".join(f"o.{x} IS NOT DISTINCT FROM n.{x}" for x in ("contract_number", "entity", "entity_number", "contractor", "amendment", "service_category", "service_type", "amount", "amount_receivable", "award_date", "valid_from", "valid_to", "procurement_method", "fund_type", "cancelled", "fiscal_year", "source_type")) + "))",
 )(lambda c: (lambda known: resolution.upserted(known.where("id % 2 = 0").withColumn("pos", F.col("id")), known.where("id % 3 = 0")).agg(F.count("*").alias("n"), F.count_if(F.col("pos").isNull()).alias("added"), parse.money(F.col("amount")).alias("money")))(varied(c)[0]))
+UPSERT = ("contract_number", "entity", "contractor", "amendment", "award_date", "amount", "service_type")
+register(
+    "upserted_record_rows",
+    f"""SELECT {', '.join(UPSERT)}, id AS pos FROM c WHERE id % 2 = 0 UNION ALL
+      SELECT {', '.join(UPSERT)}, NULL FROM (SELECT DISTINCT * EXCLUDE (id, family) FROM c WHERE id % 3 = 0) n WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.id % 2 = 0 AND
+        """ + " AND ".join(f"o.{x} IS NOT DISTINCT FROM n.{x}" for x in ("contract_number", "entity", "entity_number", "contractor", "amendment", "service_category", "service_type", "amount", "amount_receivable", "award_date", "valid_from", "valid_to", "procurement_method", "fund_type", "cancelled", "fiscal_year", "source_type")) + ")",
+)(lambda c: (lambda known: resolution.upserted(known.where("id % 2 = 0").withColumn("pos", F.col("id")), known.where("id % 3 = 0")).select(*UPSERT, "pos"))(varied(c)[0]))
 
 
 def tracked(c: DataFrame) -> DataFrame:

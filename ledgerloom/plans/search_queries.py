@@ -208,8 +208,7 @@ def years_down():
 def family_function(spark, sf_dir: str):
     """Customers by contractor family, through the SQL function that the session offers."""
     text.register_functions(spark)
-    table(spark, sf_dir, "customer").createOrReplaceTempView("ledger_customers")
-    return spark.sql("SELECT c_custkey, normalize_contractor_family(concat('Ing. ', c_name, ' y Asociados, L.L.C.')) AS family FROM ledger_customers")
+    return spark.sql("SELECT c_custkey, normalize_contractor_family(concat('Ing. ', c_name, ' y Asociados, L.L.C.')) AS family FROM {customers}", customers=table(spark, sf_dir, "customer"))
 
 
 QUERIES["family_function"] = family_function
