@@ -570,3 +570,15 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk_by
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Sets of four-word shingles at least 85 percent alike, over all documents."""
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=85)
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+OP9_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS shingle FROM w, unnest(range(1, greatest(len(words) - 2, 2))) t(i) WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT a AS doc_id, a AS other FROM e UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON e.a = reach.other)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least_id, doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS least_id FROM reach GROUP BY doc_id) USING (doc_id)"""

@@ -165,3 +165,14 @@ def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Windows of 50 words over all documents."""
     got = remove_repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+OP3_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h FROM w, unnest(range(1, len(words) - 48)) t(i)),
+hit AS (SELECT doc_id, i FROM s JOIN (SELECT h, min(doc_id) AS first FROM s GROUP BY h) USING (h) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM hit),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM w) ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id)"""
