@@ -483,6 +483,10 @@ def test_class_lm_places_every_word_by_its_contexts(spark):
 
 def test_roots_are_complete_or_raise(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
-    assert {r["root"] for r in components_of.roots(path).collect()} == {0}
+    assert {r["root"] for r in components_of.roots(path).collect()} == {0} == {r["root"] for r in components_of.roots(path, one_task=0).collect()}
     with pytest.raises(RuntimeError):
-        components_of.roots(path, most_rounds=1)
+        components_of.roots(path, most_rounds=1, one_task=0)
+    rng = random.Random(4)
+    links = spark.createDataFrame([(rng.randrange(300) - 150, rng.randrange(300) - 150) for _ in range(160)], "a long, b long")
+    one, rounds = (sorted(map(tuple, components_of.roots(links, one_task=n).collect())) for n in (components_of.ONE_TASK, 0))
+    assert one == rounds and len(one) > 100 and components_of.roots(links.limit(0)).count() == 0
