@@ -18,11 +18,17 @@ def member_order(name_counts: bool = True) -> Column:
     return F.struct(F.when(is_original(F.col("amendment"), name_counts), 0).otherwise(1).alias("amended"), F.coalesce("award_date", F.lit("0001-01-01").cast("date")).alias("d"), F.col("id"))
 
 
-def rollup(rows: DataFrame, name_counts: bool = True) -> DataFrame:
-    """One row for each family, by hash aggregation only: size, total, representative and earliest date."""
-    rep = F.min_by(F.struct(*REP), member_order(name_counts))
+def rollup(rows: DataFrame, name_counts: bool = True, shows: tuple[str, ...] = REP) -> DataFrame:
+    """One row for each family, by hash aggregation only: size, total, earliest date, and what it ``shows`` of its
+    representative row (fewer columns make a smaller aggregation)."""
+    rep = F.min_by(F.struct(*shows), member_order(name_counts))
     got = rows.groupBy(*KEYS).agg(F.count("*").alias("family_size"), money(F.col("amount")).alias("total"), F.max(is_original(F.col("amendment"), name_counts).cast("int")).alias("has_original"), F.min("award_date").alias("earliest"), rep.alias("rep"))
-    return got.select(*KEYS, "family_size", "total", "has_original", "earliest", *(F.col(f"rep.{c}").alias(f"rep_{c}") for c in REP))
+    return got.select(*KEYS, "family_size", "total", "has_original", "earliest", *(F.col(f"rep.{c}").alias(f"rep_{c}") for c in shows))
+
+
+def board(rows: DataFrame) -> DataFrame:
+    """The roll-up as dashboards need it: an original is a blank amendment, and two columns are shown."""
+    return rollup(rows, False, ("contractor", "fiscal_year"))
 
 
 def shown(families: DataFrame) -> DataFrame:

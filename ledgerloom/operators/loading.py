@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import parse, shown, text
 from ledgerloom.operators import dashboard
-from ledgerloom.session import checkpoint_dir
+from ledgerloom.session import checkpoint_dir, written
 from ledgerloom.sources.contracts import TARGET
 
 # The published columns; those of exports and printed lists of families and of rows, in their order.
@@ -109,11 +109,13 @@ def publish(rows: DataFrame, path: str) -> None:
 
 def export(rows: DataFrame, mode: str = "summary", cap: int = EXPORT_CAP) -> DataFrame:
     """All rows found, newest first, with the columns of their mode: ``summary`` takes families as pages show them,
-    ``detailed`` contract rows. None, or more than ``cap``, are refused."""
-    n = rows.limit(cap + 1).count()
+    ``detailed`` contract rows. None, or more than ``cap``, are refused. The search runs once, up to one row more than
+    may be exported; what it found is kept in a table of the shared folder."""
+    found = written(rows.limit(cap + 1), "export")
+    n = found.count()
     if not 0 < n <= cap:
         raise ValueError("nothing to export" if not n else f"more than {cap} rows to export: narrow the search")
-    return exported(rows, mode)
+    return exported(found, mode)
 
 
 def exported(rows: DataFrame, mode: str = "summary") -> DataFrame:

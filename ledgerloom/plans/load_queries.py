@@ -108,7 +108,7 @@ def manifest_sql(years: tuple[str, ...] = ()) -> str:
 def manifest(c, years: tuple[str, ...] = ()):
     """The manifest document of the register, in pieces."""
     t = recovery.targets(recovery.family_scan(c)).withColumn("last_checked_at", F.when(F.col("position") % 2 == 0, "2024-01-05"))
-    return loading.manifest_parts(c, families.rollup(c, False), recovery.publishable(t), years)
+    return loading.manifest_parts(c, families.board(c), recovery.publishable(t), years)
 
 
 YEARS = ("1996-1997", "1994-1995")
@@ -116,13 +116,13 @@ register("manifest", manifest_sql(), BOARD, TARGETS)(manifest)
 register("manifest_of_archived_years", manifest_sql(YEARS), BOARD, TARGETS)(lambda c: manifest(c, YEARS))
 AMONG = f"rep_fiscal_year IN ({', '.join(map(repr, YEARS))})"
 register("top_contractors_archived", f"SELECT family, max(rep_contractor) AS contractor, count(*) AS families, {MONEY.format('total', 'money')} FROM b WHERE family <> '' AND {AMONG} GROUP BY family ORDER BY money DESC, families DESC, family LIMIT 5", BOARD)(
-    lambda c: dashboard.top_contractors(families.rollup(c, False), years=YEARS)
+    lambda c: dashboard.top_contractors(families.board(c), years=YEARS)
 )
 register("top_entities_archived", f"SELECT entity, count(*) AS families, {MONEY.format('total', 'money')} FROM b WHERE {AMONG} GROUP BY entity ORDER BY money DESC, families DESC, entity LIMIT 5", BOARD)(
-    lambda c: dashboard.top_entities(families.rollup(c, False), years=YEARS)
+    lambda c: dashboard.top_entities(families.board(c), years=YEARS)
 )
 register("yearly_spending_archived", f"SELECT rep_fiscal_year AS fiscal_year, count(*) AS families, {MONEY.format('total', 'money')} FROM b WHERE {AMONG} GROUP BY rep_fiscal_year", BOARD)(
-    lambda c: dashboard.by_year(families.rollup(c, False), YEARS)
+    lambda c: dashboard.by_year(families.board(c), YEARS)
 )
 
 

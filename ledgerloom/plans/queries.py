@@ -12,10 +12,10 @@ from ledgerloom.sources.contracts import canonical, raw_text
 R = register
 ROW = "id, contract_number, entity, contractor, amount, award_date"
 cols = [c.strip() for c in ROW.split(",")]
-R("top_contractors", f"SELECT family, max(rep_contractor) AS contractor, count(*) AS families, {MONEY.format('total', 'money')} FROM b WHERE family <> '' GROUP BY family ORDER BY money DESC, families DESC, family LIMIT 5", BOARD)(lambda c: dashboard.top_contractors(families.rollup(c, False)))
-R("top_entities", f"SELECT entity, count(*) AS families, {MONEY.format('total', 'money')} FROM b GROUP BY entity ORDER BY money DESC, families DESC, entity LIMIT 5", BOARD)(lambda c: dashboard.top_entities(families.rollup(c, False)))
-R("yearly_spending", f"SELECT rep_fiscal_year AS fiscal_year, count(*) AS families, {MONEY.format('total', 'money')} FROM b GROUP BY rep_fiscal_year", BOARD)(lambda c: dashboard.by_year(families.rollup(c, False)))
-R("share_of_largest_year", f"SELECT *, money / max(money) OVER () AS share FROM (SELECT rep_fiscal_year AS fiscal_year, count(*) AS families, {MONEY.format('total', 'money')} FROM b GROUP BY rep_fiscal_year)", BOARD)(lambda c: dashboard.share_of_largest(dashboard.by_year(families.rollup(c, False))))
+R("top_contractors", f"SELECT family, max(rep_contractor) AS contractor, count(*) AS families, {MONEY.format('total', 'money')} FROM b WHERE family <> '' GROUP BY family ORDER BY money DESC, families DESC, family LIMIT 5", BOARD)(lambda c: dashboard.top_contractors(families.board(c)))
+R("top_entities", f"SELECT entity, count(*) AS families, {MONEY.format('total', 'money')} FROM b GROUP BY entity ORDER BY money DESC, families DESC, entity LIMIT 5", BOARD)(lambda c: dashboard.top_entities(families.board(c)))
+R("yearly_spending", f"SELECT rep_fiscal_year AS fiscal_year, count(*) AS families, {MONEY.format('total', 'money')} FROM b GROUP BY rep_fiscal_year", BOARD)(lambda c: dashboard.by_year(families.board(c)))
+R("share_of_largest_year", f"SELECT *, money / max(money) OVER () AS share FROM (SELECT rep_fiscal_year AS fiscal_year, count(*) AS families, {MONEY.format('total', 'money')} FROM b GROUP BY rep_fiscal_year)", BOARD)(lambda c: dashboard.share_of_largest(dashboard.by_year(families.board(c))))
 R("table_stats", f"SELECT count(*) AS n_rows, {MONEY.format('amount', 'money')}, min(fiscal_year) AS first_year, max(fiscal_year) AS last_year FROM c")(dashboard.table_stats)
 R("rows_by_entity", f"SELECT entity, count(*) AS n_rows, {MONEY.format('amount', 'money')} FROM c GROUP BY entity ORDER BY n_rows DESC, entity LIMIT 10")(lambda c: dashboard.rows_by(c, "entity").orderBy(F.desc("n_rows"), "entity").limit(10))
 R("rows_by_year", f"SELECT fiscal_year, count(*) AS n_rows, {MONEY.format('amount', 'money')} FROM c GROUP BY fiscal_year")(lambda c: dashboard.rows_by(c, "fiscal_year"))
