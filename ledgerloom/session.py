@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,3 +37,11 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.parquet(folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files, broadcasts and checkpoints of tables that nothing refers to any more. It does so
+    when the driver's garbage is collected, which an idle driver puts off while they fill disks and its own memory; for
+    use between the rounds of a long job."""
+    gc.collect()
+    spark._jvm.System.gc()
