@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import checkpoint_dir
+from ledgerloom.session import checkpoint_dir, release
 
 from . import chunks as C
 from .components import fitted, roots
@@ -531,6 +531,7 @@ def open_pairs(member: DataFrame, nodes: DataFrame, percent: int, turn: int | No
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: the smallest doc_id that it is linked to."""
     checkpoint_dir(docs.sparkSession)
+    release(docs.sparkSession)
     plan = C.layout(docs, chunk_bytes, bucket_bytes=32 << 20)
     table = set_table(docs, plan.chunks, width).checkpoint()
     nodes = table.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "chunk", "n", "sketch")).alias("one")).select("node", "one.*").checkpoint()
@@ -542,11 +543,14 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk_by
     scheme = scheme_for(percent, sizes, np.array([*(r["c"] for r in counts), 0], np.int64))
     found = fitted(candidates(docs, width, scheme, plan.buckets).checkpoint())
     pairs = found.where("value is null").select("a", "b").distinct()
+    release(docs.sparkSession)
     links = verified(docs, plan.chunks, nodes, in_reach(pairs, nodes, percent), width, percent).checkpoint()
+    release(docs.sparkSession)
     tree = fitted(roots(links).checkpoint())
     members = found.where("value is not null")
     rounds = [] if members.isEmpty() else ["pivots", *range(FEW_ROUNDS), None]
     for turn in rounds:
+        release(docs.sparkSession)
         member = fitted(split_groups(members, tree).checkpoint())
         if turn == "pivots":
             more = pivot_pairs(picked(member), nodes, percent).withColumn("cut", F.lit(True))
