@@ -36,3 +36,19 @@ def test_dealt_rows_same_as_sql(spark, sf, duck, large, name):
 def test_dealt_export_keeps_its_order(spark, sf, large):
     got = [(r["award_date"], r["contract_number"]) for r in QUERIES["export_detailed"](spark, sf).collect()]
     assert [d for d, _ in got] == sorted((d for d, _ in got), reverse=True)
+
+
+def test_canonical_step_is_generated_in_pieces(spark, sf):
+    """The step that reads the text columns is no part of a whole-stage method, which the JVM would not compile."""
+    plan = QUERIES["canonical_records"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(array(award_date" in plan
+
+
+def test_strip_takes_all_white_space(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions.text import strip
+
+    texts = [chr(c) + "a" + chr(c) for c in [*range(0x300), *range(0x1680, 0x1690), *range(0x2000, 0x2070), 0x3000, 0xFEFF] if c] + [" \t　", "", "a b\n \n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(strip(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
