@@ -2,8 +2,9 @@
 
 import re
 
+import duckdb
 import pytest
-from conftest import rows
+from conftest import TABLES, rows
 from test_register_queries import near
 
 from ledgerloom import session
@@ -52,3 +53,24 @@ def test_strip_takes_all_white_space(spark):
     texts = [chr(c) + "a" + chr(c) for c in [*range(0x300), *range(0x1680, 0x1690), *range(0x2000, 0x2070), 0x3000, 0xFEFF] if c] + [" \t　", "", "a b\n \n"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert df.where(strip(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def shared_numbers(sf, tmp_path_factory):
+    """Tables whose order keys have seven digits, so that ten orders share a contract number; two nations, two years."""
+    folder = tmp_path_factory.mktemp("shared")
+    change = {"orders": "o_orderkey + 1000000 AS o_orderkey, TIMESTAMP '1995-03-01' + INTERVAL (o_orderkey % 2 * 365) DAY AS o_orderdate", "lineitem": "l_orderkey + 1000000 AS l_orderkey", "customer": "c_nationkey % 2 AS c_nationkey"}
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"COPY (SELECT * {f'REPLACE ({change[t]})' if t in change else ''} FROM '{sf}/{t}.parquet') TO '{folder}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ["detail_checks", "enriched_records", "target_outcomes", "recovered_records"])
+def test_targets_that_share_their_number(spark, shared_numbers, name):
+    folder, con = shared_numbers
+    got, rel = QUERIES[name](spark, folder), con.sql(ORACLE_SQL[name])
+    names = sorted(rel.columns)
+    want = sorted((tuple(r) for r in rel.project(", ".join(f'"{n}"' for n in names)).fetchall()), key=repr)
+    assert rows(got) == want and len(want) > 0
