@@ -47,7 +47,7 @@ def anchor_at(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int) ->
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     p = C.prefix_hash(data.astype(np.uint64) + np.uint64(1))
     at = np.arange(n - anchor + 1)
-    h = C.span_hash(p, at, at + anchor)
+    h = C.mix((p[anchor:] - p[:-anchor]) * C.powers(len(p), inverse=True)[: len(at)])
     del p
     least = (h & ~_LOW) | (at.astype(np.uint64) & _LOW)  # of equal hashes the first place
     span, have = width - anchor + 1, 1
@@ -111,11 +111,11 @@ def reach(data: np.ndarray, offsets: np.ndarray, runs: Runs) -> tuple[np.ndarray
     (else the document's last byte), and whether that byte is the document's last."""
     n = len(data)
     rising = np.zeros(n, bool)
-    if n > 1:
-        change = np.flatnonzero(data[1:] != data[:-1])
-        nxt = np.searchsorted(change, np.arange(n - 1))
-        inside = nxt < len(change)
-        rising[:-1][inside] = data[change[nxt[inside]] + 1] > data[change[nxt[inside]]]
+    rising[:-1] = data[1:] > data[:-1]
+    same = np.flatnonzero(data[1:] == data[:-1])  # equal bytes rise where the last of them does
+    if len(same):
+        last = np.append(np.flatnonzero(np.diff(same) != 1), len(same) - 1)
+        rising[same] = np.repeat(rising[same[last] + 1], np.diff(last, prepend=-1))
     end = offsets[runs.doc + 1] - 1
     places = np.append(np.flatnonzero(rising), n)
     to = np.minimum(places[np.searchsorted(places, runs.last)], end)
