@@ -30,7 +30,9 @@ from .suffixes import ragged
 
 # Fixed value: the pattern of byte-level BPE pre-tokenization.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONG, WORDS_KEPT = 128, 400_000
+LONG = 128
+#: Most words that a worker's table holds: some 60 MB. Workers of earlier stages may stay beside those that encode, each with its own.
+WORDS_KEPT = 200_000
 NEVER = 1 << 60
 
 
@@ -50,15 +52,16 @@ class Encoder(dict):
             spec = json.load(file)
         letters = byte_letters()
         to_bytes = lambda token: bytes(letters[c] for c in token)
-        self.ids = {to_bytes(t): i for t, i in spec["model"]["vocab"].items()}
+        ids = {to_bytes(t): i for t, i in spec["model"]["vocab"].items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.ranks = {(to_bytes(a), to_bytes(b)): k for k, (a, b) in enumerate(pairs)}
         self.step = len(spec["model"]["vocab"]) + 1
-        self.rank_of = {self.ids[a] * self.step + self.ids[b]: k for (a, b), k in self.ranks.items()}
-        self.joined = [self.ids[a + b] for a, b in self.ranks]
-        self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
+        self.rank_of, self.joined = {}, []
+        for k, (a, b) in enumerate((to_bytes(a), to_bytes(b)) for a, b in pairs):
+            self.rank_of[ids[a] * self.step + ids[b]] = k
+            self.joined.append(ids[a + b])
+        self.byte_ids = [ids[bytes([b])] for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        table = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
+        table = {i: b for b, i in ids.items()} | {i: s.encode() for s, i in self.special.items()}
         size = np.zeros(max(table) + 1, np.int64)
         for i, b in table.items():
             size[i] = len(b)
@@ -69,7 +72,7 @@ class Encoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         raw = word.encode()
-        parts = [self.ids[p] for p in self.merge_long(raw)] if len(raw) > LONG else self.merge(raw)
+        parts = self.merge_long(raw) if len(raw) > LONG else self.merge(raw)
         out = array("i", parts).tobytes()
         if len(raw) <= LONG:
             if len(self) >= WORDS_KEPT:
@@ -95,32 +98,33 @@ class Encoder(dict):
                 near[k] = rank(parts[k] * step + parts[k + 1], NEVER)
         return parts
 
-    def merge_long(self, raw: bytes) -> list[bytes]:
-        """The same parts for a long word, with a heap of (rank, start) and links between parts."""
+    def merge_long(self, raw: bytes) -> list[int]:
+        """The same ids for a long word, with a heap of (rank, start) and links between parts."""
         n = len(raw)
         stop, before = list(range(1, n + 1)), list(range(-1, n))
         alive = [True] * n
-        rank = self.ranks.get
+        parts = [self.byte_ids[b] for b in raw]
+        rank, step, joined = self.rank_of.get, self.step, self.joined
 
         def offer(i: int) -> None:
             j = stop[i]
-            if j < n and (r := rank((raw[i:j], raw[j : stop[j]]))) is not None:
+            if j < n and (r := rank(parts[i] * step + parts[j])) is not None:
                 heapq.heappush(heap, (r, i, j, stop[j]))
 
         heap: list[tuple[int, int, int, int]] = []
         for i in range(n):
             offer(i)
         while heap:
-            _, i, j, k = heapq.heappop(heap)
+            r, i, j, k = heapq.heappop(heap)
             if not (alive[i] and stop[i] == j and j < n and alive[j] and stop[j] == k):
                 continue
-            stop[i], alive[j] = k, False
+            stop[i], alive[j], parts[i] = k, False, joined[r]
             if k < n:
                 before[k] = i
             offer(i)
             if before[i] >= 0:
                 offer(before[i])
-        return [raw[i : stop[i]] for i in range(n) if alive[i]]
+        return [parts[i] for i in range(n) if alive[i]]
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as int32 bytes."""

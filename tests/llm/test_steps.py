@@ -38,3 +38,26 @@ def test_reach_takes_few_arrays():
     offsets = np.arange(0, n + 1, 1 << 12)
     runs = suffixes.Runs(data, offsets, 50, suffixes.ANCHOR)
     assert peak_bytes(suffixes.reach, data, offsets, runs)[1] < 14 * n
+
+
+def test_encoder_keeps_a_bounded_table():
+    """However many different words a worker meets, what it keeps of them stays small."""
+    from ledgerloom.llm import bpe
+
+    enc = bpe.Encoder(bpe.vocabulary_path())
+    tracemalloc.start()
+    try:
+        for lo in range(0, 390_000, 1_000):
+            enc.encode(" ".join("".join(chr(97 + k // 26**i % 26) for i in range(4)) for k in range(lo, lo + 1_000)))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 40 << 20
+
+
+def test_long_words_have_the_ids_of_short_merges():
+    from ledgerloom.llm import bpe
+
+    enc = bpe.Encoder(bpe.vocabulary_path())
+    for word in ("ab" * 90, "the" * 60, "é" * 80, "internationalization" * 9):
+        assert enc.merge_long(word.encode()) == enc.merge(word.encode())
