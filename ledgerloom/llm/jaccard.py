@@ -430,13 +430,24 @@ def pivot_pairs(member: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def blocks(member: DataFrame) -> DataFrame:
-    """The members with the cell (value, i, j) of each pair of blocks of their group in which they take part; ``h`` is
-    their own block."""
-    sizes = member.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("p"))
-    member = member.join(sizes, "value").withColumn("h", F.pmod(F.xxhash64("node"), F.col("p")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("p") - 1)
-    cells = F.concat(F.transform(every, lambda k: F.struct(F.col("h").alias("i"), k.alias("j"))), F.transform(F.filter(every, lambda k: k != F.col("h")), lambda k: F.struct(k.alias("i"), F.col("h").alias("j"))))
-    return member.withColumn("cell", F.explode(cells)).select("value", "cell.i", "cell.j", "h", "node", "role", "root", (F.col("root") == F.col("main")).alias("in_main"))
+    """The members with the cells (value, i, j) of their group in which they take part. In every pair one node probes and
+    one is whole, so the group's probing members, or its whole ones where they are fewer, ask all others: block i of those
+    who ask meets block j of all. A member is sent once for each block of those who ask, and only those who ask also to
+    each block of all; ``asks`` (-1: does not) and ``told`` are its own blocks."""
+    probes, whole = has("role", PROBE), ~has("role", DELETED)
+    of = lambda n: F.ceil(n / BLOCK).cast("int")
+    few = F.least(F.count_if(probes), F.count_if(whole))
+    sizes = member.groupBy("value").agg(of(few).alias("p"), of(F.count("*")).alias("q"), (F.count_if(whole) < F.count_if(probes)).alias("by_whole"))
+    asking = F.when(F.col("by_whole"), whole).otherwise(probes)
+    member = member.join(sizes, "value").withColumns({
+        "told": F.pmod(F.xxhash64("node"), F.col("q")).cast("int"),
+        "asks": F.when(asking, F.pmod(F.xxhash64(F.lit("asks"), "node"), F.greatest("p", F.lit(1)))).otherwise(-1).cast("int"),
+    })
+    below = lambda n: F.sequence(F.lit(0), F.col(n))  # noqa: E731  # one more, so that none is possible
+    hears = F.transform(F.filter(below("p"), lambda k: k < F.col("p")), lambda k: F.struct(k.alias("i"), F.col("told").alias("j")))
+    others = F.filter(below("q"), lambda k: (F.col("asks") >= 0) & (k < F.col("q")) & (k != F.col("told")))
+    cells = F.concat(hears, F.transform(others, lambda k: F.struct(F.col("asks").alias("i"), k.alias("j"))))
+    return member.withColumn("cell", F.explode(cells)).select("value", "cell.i", "cell.j", "asks", "told", "node", "role", "root", (F.col("root") == F.col("main")).alias("in_main"))
 
 
 def folded(sketch: np.ndarray) -> np.ndarray:
@@ -446,21 +457,20 @@ def folded(sketch: np.ndarray) -> np.ndarray:
 
 
 def alike(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the rows of one cell, all pairs (places of a probing row of block i and of an indexed row of block j) of
-    different components whose sizes and sketches allow them to be alike."""
+    """Of the rows of one cell, all pairs (places of a row of block i of those who ask and of a row of block j of all) of
+    different components that meet and whose sizes and sketches allow them to be alike."""
     i, j = table["i"][0].as_py(), table["j"][0].as_py()
-    h, role, root, n, main = (table[c].to_numpy() for c in ("h", "role", "root", "n", "in_main"))
+    asks, told, role, root, n, main = (table[c].to_numpy() for c in ("asks", "told", "role", "root", "n", "in_main"))
     lists = table["sketch"].combine_chunks()
     bounds, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
     words = np.diff(bounds)
-    left = np.flatnonzero((h == i) & (role & PROBE > 0))
-    right = np.flatnonzero((h == j) & (role & INDEX > 0))
+    left, right = np.flatnonzero(asks == i), np.flatnonzero(told == j)
     right = right[np.argsort(n[right], kind="stable")]
     sides: dict[tuple[int, bool], tuple] = {}
     for w in np.unique(words[right]).tolist() if len(right) else []:
         at = right[words[right] == w]
         sketch = flat[(bounds[at][:, None] + np.arange(w))]
-        for away in (False, True):  # all indexed rows, and those outside the main component
+        for away in (False, True):  # all rows, and those outside the main component
             keep = ~main[at] if away else np.ones(len(at), bool)
             sides[w, away] = at[keep], n[at[keep]], sketch[keep], folded(sketch[keep]) if w > 1 else None
     xs, ys = [], []
@@ -494,7 +504,7 @@ def alike(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     if not xs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     x, y = np.concatenate(xs), np.concatenate(ys)
-    ok = (root[x] != root[y]) & ~((role[x] & DELETED > 0) & (role[y] & DELETED > 0))
+    ok = (root[x] != root[y]) & may_match(role[x], role[y])
     return x[ok], y[ok]
 
 
