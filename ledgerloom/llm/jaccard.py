@@ -19,7 +19,8 @@ the members: in the few groups that each node picks it meets ``PIVOTS`` of the m
 in all groups, and what is verified is contracted; most copies of one text are connected by that. Then every
 pair that is still open is looked at, in tasks that hold one block of a group against another. In the first of these
 rounds each component sends on ``FEW`` pairs of each task, by the same hash everywhere, as most links would only
-connect again what others have connected; the last round sends all that are still open.
+connect again what others have connected; the last round sends all that are still open, of the groups in which a
+task had more than it sent: in all others every pair has been looked at.
 
 Defined results: null text has no words; sets without words are empty, linked with nothing and their own
 component; a null doc_id is larger than every other and comes back null; rows that share a doc_id are
@@ -520,7 +521,7 @@ def few(node_a: np.ndarray, node_b: np.ndarray, root_a: np.ndarray, root_b: np.n
 
 def open_pairs(member: DataFrame, nodes: DataFrame, percent: int, turn: int | None = None) -> DataFrame:
     """(a, b, cut): pairs in large groups that may be alike and are not connected yet; without ``turn`` all of them, else
-    some of each component, and ``cut`` where a task had more."""
+    some of each component. ``cut``: the groups of those tasks that had more, each with a row at least."""
 
     def meet(table: pa.Table) -> pa.Table:
         x, y = alike(table, percent)
@@ -532,10 +533,11 @@ def open_pairs(member: DataFrame, nodes: DataFrame, percent: int, turn: int | No
         if turn is not None and len(one):
             keep = few(pair[:, 0].copy(), pair[:, 1].copy(), root[x], root[y], turn)
             cut, pair = len(keep) < len(pair), pair[keep]
-        return pa.table({"a": pa.array(pair[:, 0]), "b": pa.array(pair[:, 1]), "cut": pa.array(np.full(len(pair), cut))})
+        value = pa.array(np.full(len(pair), table["value"][0].as_py()), pa.int64(), mask=np.full(len(pair), not cut))
+        return pa.table({"a": pa.array(pair[:, 0]), "b": pa.array(pair[:, 1]), "cut": value})
 
     rows = blocks(member).join(nodes.select("node", "n", "sketch"), "node")
-    return rows.groupBy("value", "i", "j").applyInArrow(meet, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    return rows.groupBy("value", "i", "j").applyInArrow(meet, "a long, b long, cut long").groupBy("a", "b").agg(F.collect_set("cut").alias("cut"))
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk_bytes: int = 8 << 20) -> DataFrame:
@@ -563,15 +565,18 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk_by
         release(docs.sparkSession)
         member = fitted(split_groups(members, tree).checkpoint())
         if turn == "pivots":
-            more = pivot_pairs(picked(member), nodes, percent).withColumn("cut", F.lit(True))
+            more = pivot_pairs(picked(member), nodes, percent)
         else:
             more = open_pairs(member, nodes, percent, turn)
         more = fitted(more.checkpoint())
         if not more.isEmpty():
             links = verified(docs, plan.chunks, nodes, more.select("a", "b"), width, percent)
             tree = fitted(roots(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links)).checkpoint())
-        if turn != "pivots" and more.where("cut").isEmpty():
-            break  # all open pairs have been looked at
+        if turn != "pivots":
+            cut = more.select(F.explode("cut").alias("value")).distinct()
+            if cut.isEmpty():
+                break  # all open pairs have been looked at
+            members = members.join(cut, "value", "left_semi")
     joined = table.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return joined.join(least, "root", "left").select(

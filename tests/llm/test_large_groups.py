@@ -44,3 +44,38 @@ def test_blocks_grow_with_their_group(spark, monkeypatch, name):
 def test_group_that_nobody_asks_sends_nothing(spark):
     _, member, nodes = group(spark, (INDEX, INDEX))
     assert jaccard.open_pairs(member, nodes, 80).isEmpty()
+
+
+def test_only_groups_that_had_more_are_open(spark, monkeypatch):
+    """Of two groups, one has more pairs than are sent at once; the other has been looked at whole, and is done."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    _, many, nodes = group(spark, (BOTH, BOTH))
+    two = spark.createDataFrame([(2, 0, BOTH, 0, 0), (2, 1, BOTH, 77, 0)], many.schema)
+    got = jaccard.open_pairs(many.unionAll(two), nodes, 80, 0).collect()
+    assert {v for r in got for v in r["cut"]} == {1}
+    got = jaccard.open_pairs(two, nodes, 80, 0).collect()
+    assert [(r["a"], r["b"], r["cut"]) for r in got] == [(0, 1, [])]
+
+
+def test_last_round_leaves_finished_groups(spark, monkeypatch):
+    """A round after the first takes only the groups that had more pairs, and finds the same components."""
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard, "FEW", 1)
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    words = [f"w{k}" for k in range(400)]
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(60):  # twelve originals, each with copies that lack a word
+        own = words[30 * (k % 12) : 30 * (k % 12) + 40]
+        texts.append((k, " ".join(w for i, w in enumerate(own) if k < 12 or i != rng.integers(0, 40))))
+    asked, whole = [], jaccard.blocks
+    monkeypatch.setattr(jaccard, "blocks", lambda member: asked.append({r["value"] for r in member.select("value").distinct().collect()}) or whole(member))
+    got = jaccard.near_components(spark.createDataFrame(texts, "doc_id long, text string"), 1, 80).collect()
+    sets = {k: set(t.split()) for k, t in texts}
+    component = {k: k for k in sets}
+    for _ in sets:
+        for a, b in itertools.combinations(sets, 2):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                component[a] = component[b] = min(component[a], component[b])
+    assert {r["doc_id"]: r["component_id"] for r in got} == component
+    assert all(later <= first for first, later in itertools.pairwise(asked))
