@@ -251,3 +251,28 @@ def test_many_exports_of_few_layouts(spark, tmp_path):
     assert got["N6"]["fiscal_year"] == "1956-1957" and {got[f"N{k}"]["entity"] for k in range(0, 60, 3)} == {"Educación"}
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= 12  # one for each layout, and not for each file
+
+
+def test_words_and_prefixes_of_odd_texts(spark):
+    """Words, their beginnings and parts of them as plain Python finds them, over signs, accents, marks and blanks of all kinds."""
+    import re
+    import unicodedata
+
+    rng = random.Random(5)
+    pieces = ["Educación", "EDUCACIÓN", "x1", "ac", "Acme", "ÁCME", "ß", "́", "-", "_", "\n", "\x00", "", "ɏo", "Ω", "1", "a.b", "&", "𝔸1", " ñ "]
+    texts = [[None if rng.random() < 0.1 else "".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(4)) for _ in search.TEXT_COLUMNS] for _ in range(400)]
+    rows = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "id long, " + ", ".join(f"{c} string" for c in search.TEXT_COLUMNS))
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").upper()
+    words = {k: set(re.findall("[0-9A-ZÀ-ɏ]+", plain(" ".join(x for x in t if x is not None)))) for k, t in enumerate(texts)}
+    got = {r["id"]: set(r["w"]) - {""} for r in rows.select("id", search.words().alias("w")).collect()}
+    assert got == words
+    assert {(r["word"], r["id"]) for r in keyword_index.postings(rows).collect()} == {(w, k) for k, ws in words.items() for w in ws}
+    for query in ("educ", "ac 1", "ácme x", "ss", "b a", "ñ", "cme", "1 1", "ɏ"):
+        asked = search.tokens(query)
+        begins = {k for k, ws in words.items() if all(any(w.startswith(t) for w in ws) for t in asked)}
+        part = {k for k, t in enumerate(texts) if all(any(q in plain(x or "") for x in t) for q in asked)}
+        assert {r["id"] for r in rows.where(search.keyword_prefix(query)).collect()} == begins, query
+        assert {r["id"] for r in rows.where(search.keyword_part(query)).collect()} == part, query
+    # a pattern of a split is compiled for each row, and an exists looks at all words once for each word asked
+    plan = rows.where(search.keyword_prefix("educ ac x")).select(search.words())._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "exists(" not in plan
