@@ -276,3 +276,24 @@ def test_words_and_prefixes_of_odd_texts(spark):
     # a pattern of a split is compiled for each row, and an exists looks at all words once for each word asked
     plan = rows.where(search.keyword_prefix("educ ac x")).select(search.words())._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan and "exists(" not in plan
+
+
+def test_index_makes_its_contracts_once(spark, sf):
+    """Loads, ranges and the query read one table, and a merge moves the postings once."""
+    from ledgerloom.plans.registry import QUERIES
+
+    plan = QUERIES["indexed_keyword_fallback"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
+
+
+def test_merged_index_moves_its_postings_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    rows, path, plans = contracts_of(spark), str(tmp_path / "index"), []
+    for part in (rows, rows.where("id < 5")):
+        keyword_index.add(part, path)
+    kept = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or kept(self, *a, **b))
+    keyword_index.compact(spark, path)
+    assert len(plans) == 1 and plans[0].count("Exchange") == 1
+    assert spark.read.parquet(path).count() == keyword_index.postings(rows).count()
