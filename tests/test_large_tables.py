@@ -74,3 +74,10 @@ def test_targets_that_share_their_number(spark, shared_numbers, name):
     names = sorted(rel.columns)
     want = sorted((tuple(r) for r in rel.project(", ".join(f'"{n}"' for n in names)).fetchall()), key=repr)
     assert rows(got) == want and len(want) > 0
+
+
+@pytest.mark.parametrize("name", ["seeded_targets", "seeded_targets_spelled", "seed_counts"])
+def test_seeding_scans_its_families_once(spark, sf, name):
+    """Targets, tracking file and seeding read one scan; none of them makes the contracts again."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
