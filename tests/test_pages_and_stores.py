@@ -297,3 +297,24 @@ def test_merged_index_moves_its_postings_once(spark, tmp_path, monkeypatch):
     keyword_index.compact(spark, path)
     assert len(plans) == 1 and plans[0].count("Exchange") == 1
     assert spark.read.parquet(path).count() == keyword_index.postings(rows).count()
+
+
+def test_a_load_moves_its_rows_once(spark, tmp_path, monkeypatch):
+    """One exchange for the first rows, the known hashes and the store's ranges; repeats and rows without a hash as before."""
+    from pyspark.sql import DataFrameWriter
+
+    path, state, plans = str(tmp_path / "store"), str(tmp_path / "state"), []
+    rows = by_hash(contracts_of(spark, 400)).withColumns({"source_rank": F.lit(0), "file": F.lit("a"), "pos": F.col("id")})
+    rows = rows.withColumn("row_hash", F.when(F.col("id") % 50 > 0, F.col("row_hash")))  # eight rows without a hash
+    twice = rows.unionByName(rows.withColumns({"file": F.lit("b"), "contractor": F.lit("later")}))
+    store.load(rows.where("id < 100"), path, state, "one")
+    kept = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, to, *a, **b: plans.append((to, self._df._jdf.queryExecution().executedPlan().toString())) or kept(self, to, *a, **b))
+    monkeypatch.setattr(store, "BY_VALUE", 2)  # the way of large batches
+    second = store.load(twice, path, state, "two")
+    assert [to for to, _ in plans] == [path, state] and plans[0][1].count("Exchange") == 1
+    assert (second["seen"], second["added"], second["known"]) == (800, 295, 505)  # 392 hashes, 98 known; one of the rows without
+    got = store.stored(spark, path)
+    assert got.groupBy("row_hash").count().where("count > 1").where("row_hash is not null").count() == 0 and got.where("contractor = 'later'").count() == 0
+    sizes = [os.path.getsize(f) for f in files_of(path)]
+    assert max(sizes) < 100_000  # a filter of a megabyte for few hashes would show
