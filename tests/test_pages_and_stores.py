@@ -318,3 +318,17 @@ def test_a_load_moves_its_rows_once(spark, tmp_path, monkeypatch):
     assert got.groupBy("row_hash").count().where("count > 1").where("row_hash is not null").count() == 0 and got.where("contractor = 'later'").count() == 0
     sizes = [os.path.getsize(f) for f in files_of(path)]
     assert max(sizes) < 100_000  # a filter of a megabyte for few hashes would show
+
+
+def test_a_refresh_moves_rows_and_parts_once(spark, tmp_path, monkeypatch):
+    """Nothing is written but the roll-up itself, after one exchange; folders in several pieces give the same families."""
+    from pyspark.sql import DataFrameWriter
+
+    rows, path, plans = contracts_of(spark, 200), str(tmp_path / "families"), []
+    kept = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, to, *a, **b: plans.append((to, self._df._jdf.queryExecution().executedPlan().toString())) or kept(self, to, *a, **b))
+    monkeypatch.setattr(rollup_store, "many_parts", lambda *a: 7)
+    for load in range(3):
+        rollup_store.refresh(rows.where(F.col("id") % 3 == load), path, load, True, 3)
+    assert [to for to, _ in plans] == [path] * 3 and all(plan.count("Exchange") == 1 for _, plan in plans)
+    assert sorted_rows(rollup_store.families(spark, path)) == sorted_rows(families.rollup(rows))
